@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: The base rules' numbers, white space and symbols.
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -57,6 +59,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     df = df.select(*keep, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)).cast("double")
     features = {"symbol_share": share("n_symbols", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words"), "word_length": share("word_chars", "n_words"), "upper_share": share("n_upper", "word_chars"), "mark_share": share("n_marks", "n_words"), "distinct_share": share("n_distinct", "n_words")}
+    df = common.fenced(df)
     return df.select(F.col("id").alias(id_col), *[F.col(f"also_{c}").alias(c) for c in also], *COUNTS, *[features[f].alias(f) for f in FEATURES if f != "n_words"])
 
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Kinds in their order of rank, with their patterns and the least length of a match (of the value for assign).
 KINDS = ["assign", "access", "hex", "linked_name", "linked_token", "linked_endpoint"]
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -74,7 +76,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep = [lambda s: F.length(F.regexp_extract(s["match"], VALUE, 1)) >= 6, lambda s: s["end"] - s["start"] >= 20, lambda s: F.lit(True), lambda s: F.lit(True), mixed, lambda s: F.lit(True)]
     rank = lambda k: lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("rank"), s["end"].alias("end"))
     ranked = [F.transform(F.filter(F.col(f"s{k}"), keep[k]), rank(k)) for k in range(len(KINDS))]
-    df = df.select("id", F.sort_array(F.concat(*ranked)).alias("parts"))
+    df = common.fenced(df.select("id", F.sort_array(F.concat(*ranked)).alias("parts")))
     near = lambda i: F.slice("parts", F.greatest(i - BAND, F.lit(0)) + 1, 2 * BAND + 1)
 
     def beside(s: Column, i: Column, *ranks: int) -> Column:
