@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, quality_rules, secrets, token_counts
+from . import byte_bpe, chat, decontaminate, jaccard, quality_rules, secrets, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,13 +38,17 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_examples(turns.unionByName(more)))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_rules.apply_rules(docs, quality_rules.fit_rules(docs, _table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_counts, op3_secrets, op5_byte_bpe, op7_decontaminate, op8_chat_format, op10_quality_rules]
+    own = [op1_token_counts, op3_secrets, op5_byte_bpe, op7_decontaminate, op8_chat_format, op9_jaccard, op10_quality_rules]
     return {f.__name__: f for f in own}
 
 
