@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, jaccard, quality_rules, secrets, suffix_dedup, token_counts
+from . import byte_bpe, chat, decontaminate, jaccard, pseudonyms, quality_model, quality_rules, secrets, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,20 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is for tests; in production it comes from a secret store."""
+    return pseudonyms.pseudonymise(_table(spark, sf_dir, "documents"), b"leafspan test key")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_overlap(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -52,7 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_counts, op2_suffix_dedup, op3_secrets, op5_byte_bpe, op7_decontaminate, op8_chat_format, op9_jaccard, op10_quality_rules]
+    own = [op1_token_counts, op2_suffix_dedup, op3_secrets, op4_pseudonyms, op5_byte_bpe, op6_quality_model, op7_decontaminate, op8_chat_format, op9_jaccard, op10_quality_rules]
     return {f.__name__: f for f in own}
 
 

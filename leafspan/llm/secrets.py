@@ -104,8 +104,9 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """docs, all its columns, with every reported span of the text replaced by mask; overlapping spans become one. A null text stays null.
+def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", length_col: str | None = None) -> DataFrame:
+    """docs, all its columns, with every reported span of the text replaced by mask; overlapping spans become one. A null text stays null. length_col names a column that holds
+    the text's length, which then follows where something was masked.
 
     Spans come from the text itself, so nothing is joined: the row is carried along.
     """
@@ -123,4 +124,7 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sub = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
     kept = F.transform(F.sequence(F.lit(0), F.size(cut)), lambda i: sub(F.coalesce(F.get(cut, i - 1)["end"], zero), F.coalesce(F.get(cut, i)["start"], F.length(text).cast("long"))))
     masked = F.when(F.size(cut) > 0, F.array_join(kept, mask)).otherwise(text)
-    return found.select(*[masked.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    found = found.select("row", masked.alias("masked"), (F.size(cut) > 0).alias("any"))
+    own = lambda c: F.col(f"row.`{c}`")
+    length = lambda c: F.when(F.col("any"), F.length("masked").cast(docs.schema[c].dataType)).otherwise(own(c))
+    return found.select(*[(F.col("masked") if c == text_col else length(c) if c == length_col else own(c)).alias(c) for c in docs.columns])
