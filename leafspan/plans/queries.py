@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.leaves import document, number_leaf, text_leaf
 from ..functions.paths import FieldRules
-from ..operators import consistency, prompts, stats
-from ..sources import flatten
+from ..operators import assign, consistency, prompts, stats
+from ..sources import converters, flatten
+from ..streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -331,7 +332,11 @@ def joint_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.entropy(o, "v"), "entropy")
 
 
-@query(f"with t as (select conv_id, turn, text, lower(text) as low from conversations where role = 'user') select conv_id, turn, ({' + '.join(f'''contains(low, '{t}')::int''' for t in prompts.VAGUE)})::bigint as n_vague, ({' + '.join('''len(regexp_extract_all(text, '(?i)''' + p.replace(chr(39), chr(39) * 2) + '''))''' for p in prompts.CONSTRAINTS)})::bigint as n_constraints from t")
+_VAGUE = " + ".join(f"contains(low, '{t}')::int" for t in prompts.VAGUE)
+_CONSTRAINTS = " + ".join("len(regexp_extract_all(text, '(?i)" + p.replace("'", "''") + "'))" for p in prompts.CONSTRAINTS)
+
+
+@query(f"with t as (select conv_id, turn, text, lower(text) as low from conversations where role = 'user') select conv_id, turn, ({_VAGUE})::bigint as n_vague, ({_CONSTRAINTS})::bigint as n_constraints from t")
 def prompt_factors(spark: SparkSession, sf: str) -> DataFrame:
     t = _t(spark, sf, "conversations").where("role = 'user'")
     return t.select("conv_id", "turn", F.size(prompts.vague_terms(F.col("text"))).cast("long").alias("n_vague"), prompts.constraint_count(F.col("text")).cast("long").alias("n_constraints"))
@@ -352,3 +357,25 @@ def diff_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     b = p.where("p_partkey % 11 <> 0").select(F.col("p_partkey").alias("ib"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("vb"))
     status = F.when(F.col("ia").isNull(), "new_after").when(F.col("ib").isNull(), "missing_after").when(F.col("va") == F.col("vb"), "same").otherwise("different")
     return a.join(b, F.col("ia") == F.col("ib"), "full_outer").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+@query()
+def html_to_json_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Every terminal of every page read as a document."""
+    doc = converters.converted(F.col("html"), "html")
+    return _t(spark, sf, "pages").select("page_id", F.explode(doc).alias("path", "x")).select("page_id", "path", "x.vtype", "x.sval")
+
+
+@query("with s as (select o_custkey as p, list(o_orderpriority order by o_orderkey)[:6] as s from orders group by 1 having count(*) >= 2), x as (select a.p, a.s as s, b.s as t from s a join s b on b.p = a.p + 1 where len(a.s) = len(b.s)) select p as prompt_id, list_sort(s) = list_sort(t) as same_as_sets from x")
+def unordered_priorities(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether two neighbouring customers' first priorities are the same multiset: an optimal assignment of cost 0."""
+    o = _t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("prompt_id")).agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]), 1, 6).alias("s"), F.count("*").alias("n")).where("n >= 2")
+    nxt = o.select((F.col("prompt_id") - 1).alias("prompt_id"), F.col("s").alias("t"))
+    both = o.join(nxt, "prompt_id").where(F.size("s") == F.size("t"))
+    return both.select("prompt_id", (assign.unordered_similarity(F.col("s"), F.col("t"))["total"] == 0).alias("same_as_sets"))
+
+
+@query("select user_id, count(*) as n_events, round(avg(value), 6) as mean_value from events group by user_id")
+def stream_user_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a file stream, aggregated until all is read."""
+    return rounded(stream.file_totals(spark, f"{sf}/events.parquet", "user_id", "value"), "mean_value")
