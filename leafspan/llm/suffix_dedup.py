@@ -33,7 +33,7 @@ ANCHOR = 20
 LEFT = WINDOW - ANCHOR
 #: Bytes of a sorted suffix with the two lengths (before and from the anchor) at its end.
 KEY = WINDOW + LEFT + 2
-CHUNK_ROWS, CHUNK_BYTES, SUFFIXES_A_PART = 8192, 8 << 20, 300_000
+CHUNK_ROWS, CHUNK_BYTES, PART_BYTES, SUFFIXES_A_PART = 8192, 4 << 20, 16 << 20, 300_000
 NO_ID = 2**63 - 1
 
 _LETTER = np.random.default_rng(20).integers(1, 2**63, 256, np.int64).astype(np.uint64)
@@ -246,6 +246,12 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.mapInArrow(scanned, "chunk string, rows array<struct<id: bigint, n: bigint, sig: binary>>, text binary")
 
 
+def _rows(batch: pa.RecordBatch):
+    """A batch's rows one at a time, as Python values but for binary columns, which stay buffers: chunks are large, so few are copied at once."""
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_buffer() if pa.types.is_binary(c.type) else c[i].as_py() for c in batch.columns)
+
+
 def _texts(rows: list[dict], text: bytes, own: list[int]) -> list[np.ndarray]:
     ends = np.cumsum([r["n"] for r in rows])
     whole = np.frombuffer(text, np.uint8)
@@ -255,7 +261,7 @@ def _texts(rows: list[dict], text: bytes, own: list[int]) -> list[np.ndarray]:
 def _keyed(batches):
     """The distinct anchors of each chunk's classes, and whether two classes of it have them."""
     for batch in batches:
-        for chunk, rows, text, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for chunk, rows, text, own in _rows(batch):
             parts = [np.unique(anchors(data)[1]) for data in _texts(rows, text, sorted(own))]
             keys, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.record_batch([pa.array([chunk]), pa.array([keys.tobytes()], pa.binary()), pa.array([(n > 1).astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "keys", "twice"])
@@ -264,7 +270,7 @@ def _keyed(batches):
 def _chosen(batches):
     """Of each chunk, the classes with repeated anchors: their rows, bytes, and the anchors' positions."""
     for batch in batches:
-        for chunk, rows, text, own, answers in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        for chunk, rows, text, own, answers in _rows(batch):
             own = sorted(own)
             data = _texts(rows, text, own)
             found = [anchors(d) for d in data]
@@ -348,17 +354,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = rows.where(F.col("n") >= WINDOW).groupBy("sig").agg(F.min(order).alias("first"), F.min("id").alias("least"))
     classes = common.saved(classes.select("sig", "least", "first.chunk", "first.pos"), "classes")
     firsts = classes.groupBy("chunk").agg(F.collect_list("pos").alias("own"))
-    own = table.join(firsts, "chunk")
     n_bytes = table.select(F.explode("rows.n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    spread = max(8, int(n_bytes) // PART_BYTES)  # chunks are large rows: a partition gets a bounded number of bytes
+    dealt = lambda df: df.repartition(spread, "chunk")
+    own = dealt(table).join(dealt(firsts), "chunk")
     answers = repeated(own.select("chunk", "rows", "text", "own").mapInArrow(_keyed, "chunk string, keys binary, twice binary"), n_bytes * 2 // (WINDOW - ANCHOR + 2))
-    chosen = own.join(answers, "chunk").select("chunk", "rows", "text", "own", "answers").mapInArrow(_chosen, "chunk string, rows array<struct<id: bigint, n: bigint, sig: binary, anchors: bigint>>, text binary, at binary")
+    chosen = own.join(dealt(answers), "chunk").select("chunk", "rows", "text", "own", "answers").mapInArrow(_chosen, "chunk string, rows array<struct<id: bigint, n: bigint, sig: binary, anchors: bigint>>, text binary, at binary")
     chosen = common.saved(chosen, "suffixes")
     n_suffixes = chosen.select(F.explode("rows.anchors").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(1, -(-int(n_suffixes) // SUFFIXES_A_PART))
 
     def sent(batches):
         for batch in batches:
-            for chunk, rows, text, at in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for chunk, rows, text, at in _rows(batch):
                 keys, _, least, *_ = _sorted(rows, text, at)
                 part_of = _part_of(keys, parts)
                 for p in np.unique(part_of).tolist():
@@ -376,13 +384,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def resolved(batches):
         for batch in batches:
-            for rows, text, at, answers in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for rows, text, at, answers in _rows(batch):
                 sig, n, spans, kept = zip(*_covered(rows, text, at, answers))
                 yield pa.record_batch([pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())], names=["sig", "removed", "spans", "kept"])
 
     replies = chosen.mapInArrow(sent, "part int, chunk string, shared binary, rest binary, ids binary").groupBy("part").applyInArrow(met, "chunk string, part int, parts int, places binary, leasts binary, extra binary")
     replies = replies.groupBy("chunk").agg(F.collect_list(F.struct("part", "parts", "places", "leasts", "extra")).alias("answers"))
-    cut = chosen.join(replies, "chunk", "left").select("rows", "text", "at", "answers").mapInArrow(resolved, "sig binary, removed bigint, spans bigint, kept string").where("removed > 0")
+    cut = dealt(chosen).join(dealt(replies), "chunk", "left").select("rows", "text", "at", "answers").mapInArrow(resolved, "sig binary, removed bigint, spans bigint, kept string").where("removed > 0")
     known = classes.select("sig", "least").join(cut, "sig", "left").select(F.col("sig").alias("class"), "least", "removed", "spans", "kept")
     rows = rows.select("id", "n", "sig")
     out = rows.join(known, rows["sig"] == known["class"], "left")
