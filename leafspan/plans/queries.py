@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.leaves import document, number_leaf, text_leaf
 from ..functions.paths import FieldRules
-from ..operators import assign, consistency, prompts, stats
+from ..operators import assign, consistency, prompts, risk, stats
 from ..sources import converters, flatten
 from ..streaming import stream
 
@@ -379,3 +379,41 @@ def unordered_priorities(spark: SparkSession, sf: str) -> DataFrame:
 def stream_user_scores(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a file stream, aggregated until all is read."""
     return rounded(stream.file_totals(spark, f"{sf}/events.parquet", "user_id", "value"), "mean_value")
+
+
+def _steps(v: str, medium: float, high: float) -> str:
+    return f"case when {v} <= 0 then 0.0 when {v} < {medium} then 0.1 * {v} / {medium} when {v} < {high} then 0.1 + 0.4 * ({v} - {medium}) / ({high} - {medium}) else least(0.5 + 0.5 * ({v} - {high}) / {max(high, 1)}, 1.0) end"
+
+
+_RISK = f"with t as (select conv_id, count(*) as k, max(length(text)) as q, avg(case when length(text) = 0 then 0.0 when length(text) < 10 then 0.3 when length(text) < 30 then 0.6 else 1.0 end) as d, sum({_VAGUE.replace('low', 'lower(text)')}) as v from conversations group by 1), r as (select conv_id, least(0.17 * ({_steps('k', 7, 10)}) + 0.05 * ({_steps('q', 400, 600)}) + 0.04 * least(v / 5.0, 1.0) + 0.04 + 0.07 * (case when k < 2 then 0.0 when d >= 0.6 then 0.1 * (1 - d) / 0.4 when d >= 0.3 then 0.1 + 0.4 * (0.6 - d) / 0.3 else least(0.5 + 0.5 * (0.3 - d) / 0.3, 1.0) end), 1.0) as risk from t)"
+
+
+@query(f"{_RISK} select conv_id, round(risk, 6) as risk, case when risk >= 0.6 then 'high' when risk >= 0.3 then 'medium' else 'low' end as level from r")
+def risk_score(spark: SparkSession, sf: str) -> DataFrame:
+    """A conversation's turns stand for the parameters of a tool, their texts for the descriptions."""
+    t = _t(spark, sf, "conversations")
+    g = t.groupBy("conv_id").agg(F.count("*").alias("k"), F.max(F.length("text")).alias("q"), F.avg(risk.description_score(F.col("text"))).alias("d"), F.sum(F.size(prompts.vague_terms(F.col("text")))).alias("v"))
+    score = risk.overall_risk({"total_params": F.col("k"), "query_length": F.col("q"), "description_quality": F.col("d"), "vague_term_count": F.col("v")})
+    return rounded(g.select("conv_id", score.alias("risk")).withColumn("level", risk.level(F.col("risk"))), "risk")
+
+
+@query("select min(s) as min_size, count(*) as n_triples, round(avg((ab + bc >= ac)::int), 6) as rate, round(min(ab + bc - ac), 6) as least_margin from (select a.p_size as s, abs(a.p_retailprice - b.p_retailprice) as ab, abs(b.p_retailprice - c.p_retailprice) as bc, abs(a.p_retailprice - c.p_retailprice) as ac from part a join part b on b.p_partkey = a.p_partkey + 1 join part c on c.p_partkey = a.p_partkey + 2)")
+def triangle_inequality(spark: SparkSession, sf: str) -> DataFrame:
+    """How often, and by what margin, a distance keeps the triangle inequality, over neighbouring triples."""
+    p = _t(spark, sf, "part")
+    at = lambda k, name: p.select((F.col("p_partkey") - k).alias("key"), F.col("p_retailprice").alias(name))
+    t = p.select(F.col("p_partkey").alias("key"), "p_size", F.col("p_retailprice").alias("a")).join(at(1, "b"), "key").join(at(2, "c"), "key")
+    margin = F.abs(F.col("a") - F.col("b")) + F.abs(F.col("b") - F.col("c")) - F.abs(F.col("a") - F.col("c"))
+    g = t.agg(F.min("p_size").alias("min_size"), F.count("*").alias("n_triples"), F.avg((margin >= 0).cast("double")).alias("rate"), F.min(margin).alias("least_margin"))
+    return rounded(g, "rate", "least_margin")
+
+
+@query("with f as (select c_mktsegment as s, o_orderpriority as p, row_number() over (partition by c_mktsegment order by o_orderkey) as k from orders join customer on o_custkey = c_custkey), g as (select * from f where k <= 3) select a.s as model_a, b.s as model_b, count(*) as n, round(avg(case when a.p = b.p then 1.0 else 0.0 end), 6) as agreement from g a join g b on a.s < b.s group by all")
+def cross_segment_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three outputs of every pair of segments."""
+    o, c = _t(spark, sf, "orders"), _t(spark, sf, "customer")
+    k = F.row_number().over(Window.partitionBy("s").orderBy("o_orderkey"))
+    g = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("s"), F.col("o_orderpriority").alias("p"), "o_orderkey").withColumn("k", k).where("k <= 3")
+    a, b = g.select(F.col("s").alias("model_a"), F.col("p").alias("x")), g.select(F.col("s").alias("model_b"), F.col("p").alias("y"))
+    both = a.join(b, F.col("model_a") < F.col("model_b"))
+    return rounded(both.groupBy("model_a", "model_b").agg(F.count("*").alias("n"), F.avg((F.col("x") == F.col("y")).cast("double")).alias("agreement")), "agreement")
