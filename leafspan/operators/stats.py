@@ -86,3 +86,32 @@ def entropy(df: DataFrame, value: str, *by: str) -> DataFrame:
 
 def fitted_line(df: DataFrame, y: str, x: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
+
+
+def fleiss_kappa(ratings: DataFrame, item: str, choice: str) -> DataFrame:
+    """Agreement of several raters beyond chance; ratings has a row for each item and rater. Items with fewer than two ratings do not count."""
+    cells = ratings.select(F.col(item).alias("item"), F.col(choice).alias("choice")).dropna().groupBy("item", "choice").agg(F.count("*").alias("k"))
+    items = cells.groupBy("item").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("kk")).where("m > 1")
+    agreed = items.agg(F.count("*").alias("n_items"), F.avg((F.col("kk") - F.col("m")) / (F.col("m") * (F.col("m") - 1))).alias("observed"))
+    shares = cells.join(items.select("item"), "item", "left_semi").groupBy("choice").agg(F.sum("k").cast("double").alias("c"))
+    expected = shares.agg((F.sum(F.col("c") * F.col("c")) / (F.sum("c") * F.sum("c"))).alias("expected"))
+    both = agreed.crossJoin(expected)  # one row each
+    return both.select("n_items", "observed", "expected", F.when(F.col("expected") >= 1, 0.0).otherwise((F.col("observed") - F.col("expected")) / (1 - F.col("expected"))).alias("kappa"))
+
+
+def holm(tests: DataFrame, p: str, key: str) -> DataFrame:
+    """Holm's step-down adjustment over a table of tests: adjusted p values, which never fall with p. The table of tests is small: one window."""
+    w = Window.orderBy(p, key)
+    n = tests.agg(F.count("*").alias("n_tests"))
+    scaled = tests.crossJoin(n).withColumn("scaled", F.least(F.lit(1.0), F.col(p) * (F.col("n_tests") - F.row_number().over(w) + 1)))
+    return scaled.withColumn("p_adjusted", F.max("scaled").over(w)).drop("scaled", "n_tests")
+
+
+def partitions(df: DataFrame, run: str, position: str, value: str) -> DataFrame:
+    """Positions that induce the same partition of the runs, hence share one entropy: class (its least position), positions, size.
+
+    A position's partition is written as each run's first run with an equal value.
+    """
+    first = F.min(run).over(Window.partitionBy(position, value))
+    signature = df.select(position, run, first.alias("f")).groupBy(position).agg(F.sort_array(F.collect_list(F.struct(run, "f"))).alias("signature"))
+    return signature.groupBy(F.xxhash64("signature").alias("h"), "signature").agg(F.sort_array(F.collect_set(position)).alias("positions")).select(F.element_at("positions", 1).alias("class"), "positions", F.size("positions").alias("size"))

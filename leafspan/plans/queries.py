@@ -417,3 +417,29 @@ def cross_segment_agreement(spark: SparkSession, sf: str) -> DataFrame:
     a, b = g.select(F.col("s").alias("model_a"), F.col("p").alias("x")), g.select(F.col("s").alias("model_b"), F.col("p").alias("y"))
     both = a.join(b, F.col("model_a") < F.col("model_b"))
     return rounded(both.groupBy("model_a", "model_b").agg(F.count("*").alias("n"), F.avg((F.col("x") == F.col("y")).cast("double")).alias("agreement")), "agreement")
+
+
+_THREE = "select doc_id, quality = 1 as c from labels union all select doc_id, toxic = 0 from labels union all select doc_id, n_chars >= 1000 from documents join labels using (doc_id)"
+
+
+@query(f"with x as ({_THREE}), k as (select doc_id, c, count(*) as k from x group by all), i as (select doc_id, sum(k) as m, sum(k * k) as kk from k group by 1 having sum(k) > 1), o as (select count(*) as n, avg((kk - m) / (m * (m - 1))) as o from i), e as (select sum(c * c) / (sum(c) * sum(c)) as e from (select sum(k)::double as c from k where doc_id in (select doc_id from i) group by k.c)) select n as n_items, round(o, 6) as observed, round(e, 6) as expected, round(case when e >= 1 then 0 else (o - e) / (1 - e) end, 6) as kappa from o, e")
+def fleiss_kappa(spark: SparkSession, sf: str) -> DataFrame:
+    """Three raters of each labelled document: its quality, its freedom from insults, and its length."""
+    own, docs = _t(spark, sf, "labels"), _t(spark, sf, "documents")
+    rows = own.select("doc_id", (F.col("quality") == 1).alias("c")).union(own.select("doc_id", F.col("toxic") == 0)).union(own.select("doc_id").join(docs, "doc_id").select("doc_id", F.col("n_chars") >= 1000))
+    return rounded(stats.fleiss_kappa(rows, "doc_id", "c"), "observed", "expected", "kappa")
+
+
+@query("with t as (select label as test, (label + 1) / 100.0 as p from (select distinct label from embeddings)), r as (select *, least(1.0, p * (count(*) over () - row_number() over (order by p, test) + 1)) as s from t) select test, round(p, 6) as p, round(max(s) over (order by p, test), 6) as p_adjusted from r")
+def holm_adjusted(spark: SparkSession, sf: str) -> DataFrame:
+    t = _t(spark, sf, "embeddings").select(F.col("label").alias("test"), ((F.col("label") + 1) / 100.0).cast("double").alias("p")).distinct()
+    return rounded(stats.holm(t, "p", "test"), "p", "p_adjusted")
+
+
+@query("with r as (select r_regionkey as run, 'name' as position, r_name as value from region union all select r_regionkey, 'key', r_regionkey::varchar from region union all select r_regionkey, 'half', (r_regionkey // 2)::varchar from region union all select r_regionkey, 'one', 'x' from region), f as (select position, run, min(run) over (partition by position, value) as f from r), s as (select position, string_agg(run || ':' || f, ',' order by run) as sig from f group by 1) select min(position) as class, string_agg(position, ',' order by position) as members, count(*) as size from s group by sig")
+def redundancy_classes(spark: SparkSession, sf: str) -> DataFrame:
+    r = _t(spark, sf, "region")
+    each = F.create_map(F.lit("name"), F.col("r_name"), F.lit("key"), F.col("r_regionkey").cast("string"), F.lit("half"), F.floor(F.col("r_regionkey") / 2).cast("string"), F.lit("one"), F.lit("x"))
+    rows = r.select(F.col("r_regionkey").alias("run"), F.explode(each).alias("position", "value"))
+    g = stats.partitions(rows, "run", "position", "value")
+    return g.select("class", F.array_join("positions", ",").alias("members"), F.col("size").cast("long").alias("size"))
