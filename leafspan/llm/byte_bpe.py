@@ -18,7 +18,7 @@ from . import common
 from .pretokens import LETTERS, PATTERN, Splitter, mapped
 
 #: Remembered pre-tokens of a worker, and the longest that is remembered.
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 150_000, 48
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:

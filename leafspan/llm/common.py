@@ -53,7 +53,7 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].alias("id"), df[text_col].alias("text"))
 
 
-def pieces(batch: pa.RecordBatch, most: int = 32 << 20):
+def pieces(batch: pa.RecordBatch, most: int = 4 << 20):
     """Slices of a batch of about `most` bytes, so that few very long texts meet in Python at once."""
     size = batch.nbytes
     step = max(1, int(batch.num_rows * most / size)) if size > most else max(1, batch.num_rows)
@@ -61,6 +61,12 @@ def pieces(batch: pa.RecordBatch, most: int = 32 << 20):
         yield batch.slice(i, step)
 
 
+def rows(batch: pa.RecordBatch):
+    """A batch's rows one at a time, as Python values but for binary columns, which stay buffers: chunks are large, so few are copied at once."""
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_buffer() if pa.types.is_binary(c.type) else c[i].as_py() for c in batch.columns)
+
+
 def fenced(df: DataFrame) -> DataFrame:
     """The same rows behind a generator of one row each. A later filter is then not pushed into df's projections, where it would be written out from
     the inputs and repeat costly array expressions many times over."""

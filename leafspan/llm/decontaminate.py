@@ -22,7 +22,7 @@ from . import common
 
 WORDS = 13
 #: Bytes of benchmark text in a block, and of document text in a shard.
-BLOCK, SHARD = 8 << 20, 24 << 20
+BLOCK, SHARD = 8 << 20, 6 << 20
 SAMPLED = 8
 BIGRAM_BITS = 22
 

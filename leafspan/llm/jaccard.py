@@ -26,8 +26,8 @@ from .repeats import repeated
 #: Shingle length and similarity in percent.
 SHINGLE, PERCENT = 5, 80
 #: Documents and text bytes of a chunk, and shingles of a block in a large group.
-CHUNK_ROWS, CHUNK_BYTES, BLOCK_SHINGLES = 8192, 16 << 20, 1_500_000
-REMEMBERED = 400_000
+CHUNK_ROWS, CHUNK_BYTES, PART_BYTES, BLOCK_SHINGLES = 4096, 4 << 20, 8 << 20, 1_000_000
+REMEMBERED = 150_000
 
 #: bytes → itself, with A-Z in lower case and white space as a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -111,7 +111,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return id_type.mapInArrow(scanned, f"chunk string, rows array<struct<id: {kind}, n: bigint, sig: binary>>, tokens binary")
 
 
-def _cut(tokens: bytes, sizes: list[int]) -> list[np.ndarray]:
+def _cut(tokens, sizes: list[int]) -> list[np.ndarray]:
     return np.split(np.frombuffer(tokens, np.uint64), np.cumsum([prefix(n) for n in sizes])[:-1]) if sizes else []
 
 
@@ -120,7 +120,7 @@ def _candidates(table: DataFrame, firsts: DataFrame) -> DataFrame:
 
     def keyed(batches):
         for batch in batches:
-            for chunk, rows, tokens, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for chunk, rows, tokens, own in common.rows(batch):
                 own = set(own or ())
                 parts = [t for k, t in enumerate(_cut(tokens, [r["n"] for r in rows])) if k in own]
                 keys, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -128,7 +128,7 @@ def _candidates(table: DataFrame, firsts: DataFrame) -> DataFrame:
 
     def judged(batches):
         for batch in batches:
-            for rows, tokens, own, answers in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for rows, tokens, own, answers in common.rows(batch):
                 own = sorted(own or ())
                 parts = _cut(tokens, [r["n"] for r in rows])
                 if not own or not answers:
@@ -139,10 +139,12 @@ def _candidates(table: DataFrame, firsts: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array([rows[k]["id"] for k in keep], batch.schema.field(0).type.value_type.field("id").type), pa.array([rows[k]["sig"] for k in keep], pa.binary())], names=["id", "sig"])
 
     kind = table.schema["rows"].dataType.elementType["id"].dataType.simpleString()
-    chosen = table.join(firsts, "chunk").select("chunk", "rows", "tokens", "own")
     n_keys = table.select(F.explode("rows.n").alias("n")).agg(F.coalesce(F.sum(F.col("n") * 2 / 5 + 1), F.lit(0))).first()[0]
+    spread = max(8, int(n_keys) * 8 // PART_BYTES)  # chunks are large rows: a partition gets a bounded number of bytes
+    dealt = lambda df: df.repartition(spread, "chunk")
+    chosen = dealt(table).join(dealt(firsts), "chunk").select("chunk", "rows", "tokens", "own")
     answers = repeated(chosen.mapInArrow(keyed, "chunk string, keys binary, twice binary"), int(n_keys))
-    return chosen.join(answers, "chunk").select("rows", "tokens", "own", "answers").mapInArrow(judged, f"id {kind}, sig binary")
+    return chosen.join(dealt(answers), "chunk").select("rows", "tokens", "own", "answers").mapInArrow(judged, f"id {kind}, sig binary")
 
 
 def _sets(docs: DataFrame, candidates: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Keys that a range should get, and bytes of a key that are sent beyond its range.
-KEYS_A_RANGE, SENT = 3_000_000, 5
+KEYS_A_RANGE, SENT = 1_000_000, 5
 
 
 def _packed(keys: np.ndarray, bits: int) -> bytes:

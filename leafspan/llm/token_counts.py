@@ -18,7 +18,7 @@ from . import common
 from .pretokens import LETTERS, Splitter, mapped
 
 #: Remembered pre-tokens of a worker, and the longest that is remembered; beyond them counts are made again, not dropped.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 200_000, 48
 
 
 def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
