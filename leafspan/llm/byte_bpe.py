@@ -105,16 +105,9 @@ class Codec:
         return ",".join(map(self.names.__getitem__, ids))
 
 
-_made: dict[int, Codec] = {}
-
-
 def _codec(sent) -> Codec:
     rank_file, pattern = sent.value
-    key = hash((rank_file, pattern))
-    if key not in _made:
-        _made.clear()
-        _made[key] = Codec(rank_file, pattern)
-    return _made[key]
+    return common.kept(("codec", hash((rank_file, pattern))), lambda: Codec(rank_file, pattern))
 
 
 def _send(docs: DataFrame, vocabulary_path: str | None, pattern: str | None):
@@ -141,7 +134,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return common.texts(docs, id_col, text_col).mapInArrow(encoded, f"`{id_col}` {kind}, ids array<int>")
+    return common.texts(docs, id_col, text_col).mapInArrow(common.thrifty(encoded), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary_path: str | None = None) -> DataFrame:

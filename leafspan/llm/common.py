@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import tempfile
@@ -67,6 +68,38 @@ def rows(batch: pa.RecordBatch):
         yield tuple(c[i].as_buffer() if pa.types.is_binary(c.type) else c[i].as_py() for c in batch.columns)
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What make() returns, made once in a worker and kept until another operator keeps something: workers outlive stages, and memory is short."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Give freed memory back to the system, which Arrow and the C library else keep for later."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def thrifty(work):
+    """A function for mapInArrow that gives back freed memory when its partition is done."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 def fenced(df: DataFrame) -> DataFrame:
     """The same rows behind a generator of one row each. A later filter is then not pushed into df's projections, where it would be written out from
     the inputs and repeat costly array expressions many times over."""

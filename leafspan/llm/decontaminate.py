@@ -187,18 +187,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[bytes]:
     return [*out, pickle.dumps(block)]
 
 
-_made: dict[int, Phrases] = {}
-
-
 def _phrases(block: bytes, alone: bool) -> Phrases:
-    key = hash(block)
-    if key not in _made:
-        _made.clear()
-        made = Phrases(pickle.loads(block))
-        if not alone:
-            return made
-        _made[key] = made
-    return _made[key]
+    return common.kept(("phrases", hash(block)), lambda: Phrases(pickle.loads(block))) if alone else Phrases(pickle.loads(block))
 
 
 def _search(texts: list[str | None], sent: list) -> tuple[list[int], list[list[dict]], list[list[str]]]:
@@ -248,7 +238,7 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, carry: Column | str = "d
                 yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], names=["carry", "n_words", "spans", "items"])
 
     kind = df.schema["carry"].dataType.simpleString()
-    found = df.mapInArrow(searched, f"carry {kind}, n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>")
+    found = df.mapInArrow(common.thrifty(searched), f"carry {kind}, n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>")
     return found.withColumnRenamed("carry", name)
 
 

@@ -46,13 +46,11 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
-
-
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
     split = text.encode().translate(TABLE).split(b" ") if text else ()
-    own = np.array([_words[w] for w in split if w], np.uint64)
+    hashes = common.kept("words", _Words)
+    own = np.array([hashes[w] for w in split if w], np.uint64)
     if not len(own):
         return own
     length = min(SHINGLE, len(own))
@@ -108,7 +106,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     rows = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), rows)
                     yield pa.record_batch([pa.array([uuid.uuid4().hex]), rows, pa.array([np.concatenate(tokens).tobytes()], pa.binary())], names=["chunk", "rows", "tokens"])
 
-    return id_type.mapInArrow(scanned, f"chunk string, rows array<struct<id: {kind}, n: bigint, sig: binary>>, tokens binary")
+    return id_type.mapInArrow(common.thrifty(scanned), f"chunk string, rows array<struct<id: {kind}, n: bigint, sig: binary>>, tokens binary")
 
 
 def _cut(tokens, sizes: list[int]) -> list[np.ndarray]:
@@ -143,8 +141,8 @@ def _candidates(table: DataFrame, firsts: DataFrame) -> DataFrame:
     spread = max(8, int(n_keys) * 8 // PART_BYTES)  # chunks are large rows: a partition gets a bounded number of bytes
     dealt = lambda df: df.repartition(spread, "chunk")
     chosen = dealt(table).join(dealt(firsts), "chunk").select("chunk", "rows", "tokens", "own")
-    answers = repeated(chosen.mapInArrow(keyed, "chunk string, keys binary, twice binary"), int(n_keys))
-    return chosen.join(dealt(answers), "chunk").select("rows", "tokens", "own", "answers").mapInArrow(judged, f"id {kind}, sig binary")
+    answers = repeated(chosen.mapInArrow(common.thrifty(keyed), "chunk string, keys binary, twice binary"), int(n_keys))
+    return chosen.join(dealt(answers), "chunk").select("rows", "tokens", "own", "answers").mapInArrow(common.thrifty(judged), f"id {kind}, sig binary")
 
 
 def _sets(docs: DataFrame, candidates: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -163,7 +161,7 @@ def _sets(docs: DataFrame, candidates: DataFrame, id_col: str, text_col: str) ->
                 data = [s.tobytes() for s in sets]
                 yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(d) for d in data], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(data, pa.binary())], names=["sig", "n", "tokens"])
 
-    return chosen.select("id", "text").mapInArrow(hashed, "sig binary, n bigint, tokens binary").dropDuplicates(["sig"])
+    return chosen.select("id", "text").mapInArrow(common.thrifty(hashed), "sig binary, n bigint, tokens binary").dropDuplicates(["sig"])
 
 
 def _chains(sets: DataFrame) -> DataFrame:
@@ -176,7 +174,7 @@ def _chains(sets: DataFrame) -> DataFrame:
             who = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             yield pa.record_batch([pa.array(np.concatenate(parts).view(np.int64) if parts else [], pa.int64()), sig.take(pa.array(who)), n.take(pa.array(who))], names=["token", "sig", "n"])
 
-    posts = sets.select("sig", "n", "tokens").mapInArrow(posted, "token bigint, sig binary, n bigint")
+    posts = sets.select("sig", "n", "tokens").mapInArrow(common.thrifty(posted), "token bigint, sig binary, n bigint")
     # A shingle that many classes share is dealt by size too: sizes in one bin of a ratio of 5/4 or the next can link, no others.
     size = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.26))))
     binned = posts.withColumn("bin", F.explode(F.array(size, size + 1)))
@@ -254,6 +252,7 @@ def _links(sets: DataFrame, groups: DataFrame) -> DataFrame:
     own = own.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sig", "tokens")
 
     def linked(table: pa.Table) -> pa.Table:
+        common.release()
         edges = _forest(table.column("sig").to_pylist(), [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()])
         return pa.table({"a": pa.array([a for a, _ in edges], pa.binary()), "b": pa.array([b for _, b in edges], pa.binary())})
 

@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: Model, carry: Column | str = "doc_id", text_co
                 yield pa.record_batch([part.column(0), pa.array([sum(t) for t in tails], pa.float64()), pa.array([t[-1] for t in tails], pa.float64()), pa.array([t[-1] >= least for t in tails], pa.bool_())], names=["carry", "expected_grade", "tail", "kept"])
 
     kind = df.schema["carry"].dataType.simpleString()
-    return df.mapInArrow(scored, f"carry {kind}, expected_grade double, tail double, kept boolean").withColumnRenamed("carry", name)
+    return df.mapInArrow(common.thrifty(scored), f"carry {kind}, expected_grade double, tail double, kept boolean").withColumnRenamed("carry", name)
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Keys that a range should get, and bytes of a key that are sent beyond its range.
 KEYS_A_RANGE, SENT = 1_000_000, 5
 
@@ -52,6 +54,7 @@ def repeated(chunks: DataFrame, n_keys: int) -> DataFrame:
                     yield pa.record_batch([pa.array(p, pa.int32()), pa.array(c, pa.string()), pa.array(k, pa.binary()), pa.array(t, pa.binary())], names=["part", "chunk", "keys", "twice"])
 
     def answered(table: pa.Table) -> pa.Table:
+        common.release()
         packed = table.column("keys").to_pylist()
         keys = np.concatenate([_unpacked(k) for k in packed])
         twice = np.frombuffer(b"".join(table.column("twice").to_pylist()), np.uint8) > 0
@@ -67,6 +70,6 @@ def repeated(chunks: DataFrame, n_keys: int) -> DataFrame:
         flags = [out[a:b].tobytes() for a, b in zip([0, *ends], ends)]
         return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "flags": pa.array(flags, pa.binary())})
 
-    sent = chunks.select("chunk", "keys", "twice").mapInArrow(dealt, "part int, chunk string, keys binary, twice binary")
+    sent = chunks.select("chunk", "keys", "twice").mapInArrow(common.thrifty(dealt), "part int, chunk string, keys binary, twice binary")
     replies = sent.groupBy("part").applyInArrow(answered, "chunk string, part int, flags binary")
     return replies.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "flags"))).alias("answers"))

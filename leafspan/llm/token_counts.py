@@ -94,9 +94,6 @@ def supported(read: dict) -> None:
         raise ValueError("only byte-level BPE without normalizer, dropout or stripping added tokens is supported")
 
 
-_made: dict[int, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, limit: int = 512) -> DataFrame:
     """One row for each row of docs: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
@@ -112,10 +109,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = hash(spec)
 
     def counted(batches):
-        if key not in _made:
-            _made.clear()
-            _made[key] = Counter(*sent.value)
-        count = _made[key]
+        count = common.kept(("counter", key), lambda: Counter(*sent.value))
         for batch in batches:
             for part in common.pieces(batch):
                 n = [count(t) for t in part.column(1).to_pylist()]
