@@ -33,7 +33,7 @@ ANCHOR = 20
 LEFT = WINDOW - ANCHOR
 #: Bytes of a sorted suffix with the two lengths (before and from the anchor) at its end.
 KEY = WINDOW + LEFT + 2
-CHUNK_ROWS, CHUNK_BYTES, PART_BYTES, SUFFIXES_A_PART = 8192, 4 << 20, 16 << 20, 300_000
+CHUNK_ROWS, CHUNK_BYTES, PART_BYTES, SUFFIXES_A_PART = 8192, 4 << 20, 16 << 20, 200_000
 NO_ID = 2**63 - 1
 
 _LETTER = np.random.default_rng(20).integers(1, 2**63, 256, np.int64).astype(np.uint64)
@@ -243,7 +243,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     rows = pa.StructArray.from_arrays([piece.column(0), pa.array([len(d) for d in data], pa.int64()), pa.array([hashlib.sha256(d).digest() for d in data], pa.binary())], names=["id", "n", "sig"])
                     yield pa.record_batch([pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, len(data)], pa.int32()), rows), pa.array([b"".join(data)], pa.binary())], names=["chunk", "rows", "text"])
 
-    return own.mapInArrow(scanned, "chunk string, rows array<struct<id: bigint, n: bigint, sig: binary>>, text binary")
+    return own.mapInArrow(common.thrifty(scanned), "chunk string, rows array<struct<id: bigint, n: bigint, sig: binary>>, text binary")
 
 
 def _rows(batch: pa.RecordBatch):
@@ -358,8 +358,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spread = max(8, int(n_bytes) // PART_BYTES)  # chunks are large rows: a partition gets a bounded number of bytes
     dealt = lambda df: df.repartition(spread, "chunk")
     own = dealt(table).join(dealt(firsts), "chunk")
-    answers = repeated(own.select("chunk", "rows", "text", "own").mapInArrow(_keyed, "chunk string, keys binary, twice binary"), n_bytes * 2 // (WINDOW - ANCHOR + 2))
-    chosen = own.join(dealt(answers), "chunk").select("chunk", "rows", "text", "own", "answers").mapInArrow(_chosen, "chunk string, rows array<struct<id: bigint, n: bigint, sig: binary, anchors: bigint>>, text binary, at binary")
+    answers = repeated(own.select("chunk", "rows", "text", "own").mapInArrow(common.thrifty(_keyed), "chunk string, keys binary, twice binary"), n_bytes * 2 // (WINDOW - ANCHOR + 2))
+    chosen = own.join(dealt(answers), "chunk").select("chunk", "rows", "text", "own", "answers").mapInArrow(common.thrifty(_chosen), "chunk string, rows array<struct<id: bigint, n: bigint, sig: binary, anchors: bigint>>, text binary, at binary")
     chosen = common.saved(chosen, "suffixes")
     n_suffixes = chosen.select(F.explode("rows.anchors").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(1, -(-int(n_suffixes) // SUFFIXES_A_PART))
@@ -375,6 +375,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.record_batch([pa.array([p], pa.int32()), pa.array([chunk]), pa.array([shared], pa.binary()), pa.array([rest], pa.binary()), pa.array([least[mine].tobytes()], pa.binary())], names=["part", "chunk", "shared", "rest", "ids"])
 
     def met(run: pa.Table) -> pa.Table:
+        common.release()
         part = run.column("part")[0].as_py()
         runs = [Run(s, r, np.frombuffer(i, np.int64)) for s, r, i in zip(*(run.column(c).to_pylist() for c in ("shared", "rest", "ids")))]
         out = [(c, part, parts, p.tobytes(), x.tobytes(), e.tobytes()) for c, p, x, e in _merge_part(run.column("chunk").to_pylist(), runs)]
@@ -388,9 +389,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 sig, n, spans, kept = zip(*_covered(rows, text, at, answers))
                 yield pa.record_batch([pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())], names=["sig", "removed", "spans", "kept"])
 
-    replies = chosen.mapInArrow(sent, "part int, chunk string, shared binary, rest binary, ids binary").groupBy("part").applyInArrow(met, "chunk string, part int, parts int, places binary, leasts binary, extra binary")
+    replies = chosen.mapInArrow(common.thrifty(sent), "part int, chunk string, shared binary, rest binary, ids binary").groupBy("part").applyInArrow(met, "chunk string, part int, parts int, places binary, leasts binary, extra binary")
     replies = replies.groupBy("chunk").agg(F.collect_list(F.struct("part", "parts", "places", "leasts", "extra")).alias("answers"))
-    cut = dealt(chosen).join(dealt(replies), "chunk", "left").select("rows", "text", "at", "answers").mapInArrow(resolved, "sig binary, removed bigint, spans bigint, kept string").where("removed > 0")
+    cut = dealt(chosen).join(dealt(replies), "chunk", "left").select("rows", "text", "at", "answers").mapInArrow(common.thrifty(resolved), "sig binary, removed bigint, spans bigint, kept string").where("removed > 0")
     known = classes.select("sig", "least").join(cut, "sig", "left").select(F.col("sig").alias("class"), "least", "removed", "spans", "kept")
     rows = rows.select("id", "n", "sig")
     out = rows.join(known, rows["sig"] == known["class"], "left")
