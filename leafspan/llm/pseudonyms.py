@@ -4,6 +4,10 @@ Numbers and dates are found by pattern, validated (check digits, ranges, the cal
 values their format allows: a card number becomes another valid one with its separators and issuer, a date another date written alike.
 Equal values map to equal pseudonyms in every document, different values to different ones, and the key's holder can invert the map. E-mail
 addresses, which have no such domain, get a keyed name at a reserved host. A row depends on its text alone; there is no shuffle.
+
+Short numbers beside a card or IBAN (a security code, an expiry date) do not hide it: every stretch of whole digit groups of an admissible length is
+tried, and those valid are chosen that cover most digits. A row of other numbers that holds a valid card by chance is permuted too. Where a pseudonym
+would make another stretch beside it valid, it is permuted on until it does not, so that the map can be inverted; there alone equal values may differ.
 """
 
 from __future__ import annotations
@@ -12,7 +16,6 @@ import datetime
 import hashlib
 import hmac
 import re
-from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -37,6 +40,12 @@ NUMBER = re.compile(
     )""",
     re.X,
 )
+#: Digit groups a card may be written in, and beside, and a group of them.
+RUN, DIGITS = re.compile("[0-9](?:[ -]?[0-9])*"), re.compile("[0-9]+")
+#: What no number holds and none looks at: numbers on either side of it are found independently.
+BORDER = re.compile(r"([^\w\x20().+/@-]+)")
+#: Steps of a walk back to the same places in a text.
+WALK = 1000
 
 
 class Feistel:
@@ -117,13 +126,94 @@ class Pseudonyms:
     def email(self, s: str) -> str | None:
         return f"u{hmac.digest(self.key, b'email|' + s.lower().encode(), 'sha256').hex()[:24]}@mail.invalid"
 
+    @staticmethod
+    def is_card(d: str) -> bool:
+        return bool(ISSUED.match(d)) and luhn(d[:-1]) == int(d[-1])
+
+    def cards(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
+        """Places of the valid cards in a run of digit groups: those that cover most digits, the earlier and longer ones of equals."""
+        groups = [m.span() for m in DIGITS.finditer(text, start, end)]
+        best, after = [0] * (len(groups) + 1), [0] * len(groups)
+        for i in reversed(range(len(groups))):
+            best[i], d = best[i + 1], ""
+            for j in range(i, len(groups)):
+                d += text[slice(*groups[j])] if groups[j][1] - groups[j][0] <= 19 else "0" * 20
+                if len(d) > 19:
+                    break
+                if len(d) >= 13 and len(d) + best[j + 1] >= best[i] and self.is_card(d):
+                    best[i], after[i] = len(d) + best[j + 1], j + 1
+        out, i = [], 0
+        while i < len(groups):
+            if after[i]:
+                out.append((groups[i][0], groups[after[i] - 1][1]))
+            i = after[i] or i + 1
+        return out
+
+    def found(self, text: str) -> list[tuple[int, int, str]]:
+        """Places and kinds of the valid numbers and dates, in order."""
+        out: list[tuple[int, int, str]] = []
+        ahead: list[tuple[int, int]] = []
+        at = known = 0  # cards before `known` have been looked for: they are in `ahead`, last first
+        while True:
+            m = NUMBER.search(text, at, ahead[-1][0] if ahead else len(text))
+            if m is None:
+                if not ahead:
+                    return out
+                out.append((*ahead.pop(), "card"))
+                at = out[-1][1]
+                continue
+            kind, start = m.lastgroup, m.start()
+            ends = [m.end()] if kind != "card" else []
+            if kind == "iban":
+                ends += [e for e in reversed(range(start + 12, m.end())) if text[e] == " "]
+            end = next((e for e in ends if (kind != "iban" or NUMBER.fullmatch(text, start, e)) and getattr(self, kind)(text[start:e]) is not None), None)
+            if end is not None:
+                out.append((start, end, kind))
+                at = end
+            elif start >= known and text[start].isdigit():
+                run = RUN.match(text, start)
+                known = run.end()
+                ahead = self.cards(text, start, known)[::-1]
+                at = start if ahead else start + 1
+            else:
+                at = start + 1
+
+    def numbers(self, text: str) -> tuple[str, list[str]]:
+        """The text with its numbers and dates permuted, and their kinds. The new text shows its numbers at the same places, so the key's holder finds them."""
+        places = self.found(text)
+        if not places:
+            return text, []
+        kinds = [k for *_, k in places]
+        cuts = [0, *(x for a, b, _ in places for x in (a, b)), len(text)]
+        parts = [text[a:b] for a, b in zip(cuts, cuts[1:])]  # plain and found by turns
+        first = None
+        for _ in range(WALK):
+            parts[1::2] = [getattr(self, k)(v) for k, v in zip(kinds, parts[1::2])]
+            new, want, at = "".join(parts), [], 0
+            for i, part in enumerate(parts):
+                if i % 2:
+                    want.append((at, at + len(part), kinds[i // 2]))
+                at += len(part)
+            if self.found(new) == want:
+                return new, kinds
+            pieces = BORDER.split(text) if first is None else []
+            if len(pieces) > 1:  # only what stands together walks on
+                made = [self.numbers(p) for p in pieces]
+                return "".join(t for t, _ in made), [k for _, own in made for k in own]
+            first = first or new
+        return first, kinds  # hidden, but not sure to be inverted: far too many ambiguous numbers in one stretch
+
     def card(self, s: str) -> str | None:
         d = re.sub("[^0-9]", "", s)
-        if not ISSUED.match(d) or luhn(d[:-1]) != int(d[-1]):
+        if not self.is_card(d):
             return None
-        middle = self.permuted("card", [int(d[4:-1])], [10 ** (len(d) - 5)])[0]
-        d = d[:4] + f"{middle:0{len(d) - 5}d}"
-        return _refill(s, d + str(luhn(d)))
+        new = d
+        while True:  # walking on until the digit that would follow is the same: longer stretches around the card then stay as valid or invalid as they were
+            middle = self.permuted("card", [int(new[4:-1])], [10 ** (len(d) - 5)])[0]
+            new = d[:4] + f"{middle:0{len(d) - 5}d}"
+            new += str(luhn(new))
+            if luhn(new) == luhn(d):
+                return _refill(s, new)
 
     def phone(self, s: str) -> str | None:
         d = re.sub("[^0-9]", "", s)
@@ -184,17 +274,12 @@ class Pseudonyms:
         if not text:
             return text, n
 
-        def swap(m: re.Match, kind: str, make: Callable[[str], str | None]) -> str:
-            new = make(m[0])
-            if new is None:
-                return m[0]
-            n[kind] += 1
-            return new
-
         if any(c in text for c in "0123456789"):
-            text = NUMBER.sub(lambda m: swap(m, m.lastgroup, getattr(self, m.lastgroup)), text)
+            text, kinds = self.numbers(text)
+            for kind in kinds:
+                n[kind] += 1
         if "@" in text and not self.back:
-            text = EMAIL.sub(lambda m: swap(m, "email", self.email), text)
+            text, n["email"] = EMAIL.subn(lambda m: self.email(m[0]), text)
         return text, n
 
 

@@ -40,6 +40,37 @@ def test_kinds():
     assert n["email"] == 2 and len(set(text.split())) == 1
 
 
+def test_numbers_beside_short_numbers():
+    make, back = pseudonyms.Pseudonyms(KEY), pseudonyms.Pseudonyms(KEY, True)
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    new = make(card)[0]
+    for text in (f"{card} 123", f"{card} 12/25", f"no 12 {card}", f"12-{card}", f"12345 {card} 123", f"3 {card} {card} 77", f"2024-02-30 {card}", f"{card} 212-555-0199"):
+        out, n = make(text)
+        assert "1111" not in out and new in out and n["card"] == text.count(card) and back(out)[0] == text, (text, out)
+    assert make(f"{card} 212-555-0199")[1]["phone"] == 1
+    for text in (f"{iban} EUR", f"{iban} 2024 12", f"AB12 {iban}", f"{iban} {iban}"):
+        out, n = make(text)
+        assert "0418 4502" not in out and n["iban"] == text.count(iban) and back(out)[0] == text, (text, out)
+
+
+def test_any_neighbours_invert():
+    make, back = pseudonyms.Pseudonyms(KEY), pseudonyms.Pseudonyms(KEY, True)
+    rng = random.Random(7)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def card():
+        d = rng.choice("45") + rng.choice("12345") + digits(rng.choice([11, 13, 13, 13]))
+        d += str(pseudonyms.luhn(d))
+        return rng.choice([d, re.sub("(....)(?=.)", r"\1 ", d), re.sub("(....)(?=.)", r"\1-", d)])
+
+    for _ in range(1500):
+        parts = [rng.choice([card, card, lambda: digits(rng.randint(1, 6)), lambda: "4" + digits(3), lambda: "212-555-0199", lambda: "GB82 WEST 1234 5698 7654 32", lambda: "1.2.3.4", lambda: "2024-02-30", lambda: "EUR"])() for _ in range(rng.randint(1, 6))]
+        text = "".join(p + rng.choice([" ", "-", ", ", "  "]) for p in parts)
+        out, n = make(text)
+        assert back(out)[0] == text and make(out)[1] == n, (text, out)
+    assert make("12 " * 30_000)[0] == "12 " * 30_000
+
+
 def test_pseudonymise(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("n_found", F.lit("x"))
     docs = docs.unionByName(spark.createDataFrame([(None, "ip 1.2.3.4"), (5, None), (5, None)], "doc_id long, text string"), allowMissingColumns=True)
