@@ -44,11 +44,18 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def self_consistency(runs: DataFrame, prompt: str, run: str, items: str) -> DataFrame:
-    """Mean Jaccard similarity of all pairs of a prompt's item sets, and confidence: 1 less their population deviation, 0.5 for one pair."""
-    a, b = runs.select(F.col(prompt).alias("p"), F.col(run).alias("r"), F.col(items).alias("s")), runs.select(F.col(prompt).alias("p2"), F.col(run).alias("r2"), F.col(items).alias("s2"))
-    each = a.join(b, (F.col("p") == F.col("p2")) & (F.col("r") < F.col("r2"))).select("p", jaccard(F.col("s"), F.col("s2")).alias("j"))
-    g = each.groupBy("p").agg(F.count("*").alias("n_pairs"), F.avg("j").alias("consistency"), F.stddev_pop("j").alias("sd"))
-    return g.select(F.col("p").alias(prompt), "n_pairs", "consistency", F.when(F.col("n_pairs") > 1, 1 - F.col("sd")).otherwise(0.5).alias("confidence"))
+    """Mean Jaccard similarity of all pairs of a prompt's item sets, and confidence: 1 less their population deviation, 0.5 for one pair.
+
+    A run has one row. Equal sets of a prompt are compacted, each distinct pair is scored once and weighted, as in consistency.pairs.
+    """
+    own = runs.where(F.col(prompt).isNotNull() & F.col(run).isNotNull()).groupBy(F.col(prompt).alias("p"), F.array_sort(F.array_distinct(items)).alias("s")).agg(F.count("*").alias("n"))
+    a, b = own, own.select(F.col("p").alias("p2"), F.col("s").alias("s2"), F.col("n").alias("n2"))
+    weight = F.when(F.col("s") == F.col("s2"), F.expr("n * (n - 1) div 2")).otherwise(F.col("n") * F.col("n2"))
+    each = a.join(b, (F.col("p") == F.col("p2")) & (F.col("s") <= F.col("s2"))).select("p", weight.alias("w"), jaccard(F.col("s"), F.col("s2")).alias("j")).where("w > 0")
+    w, j = F.col("w"), F.col("j")
+    g = each.groupBy("p").agg(F.sum(w).alias("n_pairs"), (F.sum(w * j) / F.sum(w)).alias("consistency"), F.sum(w * j * j).alias("jj"))
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("jj") / F.col("n_pairs") - F.col("consistency") * F.col("consistency")))
+    return g.select(F.col("p").alias(prompt), "n_pairs", "consistency", F.when(F.col("n_pairs") > 1, 1 - sd).otherwise(0.5).alias("confidence"))
 
 
 def transitions(events: DataFrame, group: str, kind: str, *order: str) -> DataFrame:

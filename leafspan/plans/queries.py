@@ -283,11 +283,18 @@ _RUNS = "select user_id as p, strftime(ts, '%Y-%m-%d') as r, list_distinct(list(
 
 @query(f"with j as (select a.p, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) as j from ({_RUNS}) a join ({_RUNS}) b on a.p = b.p and a.r < b.r) select p as user_id, count(*) as n_pairs, round(avg(j), 6) as consistency, round(case when count(*) > 1 then 1 - stddev_pop(j) else 0.5 end, 6) as confidence from j group by p")
 def self_consistency_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    """A user's days as runs, the event types of a day as its set of tools; for every fifth user, as pairs of days are quadratic in a user's history."""
+    """A user's days as runs, the event types of a day as its set of tools; for every fifth user, as its SQL has it."""
     e = _t(spark, sf, "events").where("user_id % 5 = 0").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.collect_set("event_type").alias("items"))
     return rounded(prompts.self_consistency(e, "user_id", "day", "items"), "consistency", "confidence")
 
 
+@query("with r as (select user_id as p, strftime(ts, '%Y-%m-%d') as r, list_distinct(list(event_type)) as s from events group by 1, 2), j as (select a.p, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) as j from r a join r b on a.p = b.p and a.r < b.r) select p as user_id, count(*) as n_pairs, round(avg(j), 6) as consistency, round(case when count(*) > 1 then 1 - stddev_pop(j) else 0.5 end, 6) as confidence from j group by p")
+def self_consistency_jaccard_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user's days as runs, the event types of a day as its set of tools."""
+    e = _t(spark, sf, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.collect_set("event_type").alias("items"))
+    return rounded(prompts.self_consistency(e, "user_id", "day", "items"), "consistency", "confidence")
+
+
 @query("select o_orderstatus, count(*) as n, round(regr_slope(o_totalprice, k), 4) as slope, round(regr_intercept(o_totalprice, k), 4) as intercept, round(regr_r2(o_totalprice, k), 6) as r2 from orders join (select l_orderkey, count(*) as k from lineitem group by 1) on l_orderkey = o_orderkey group by 1")
 def linear_bound(spark: SparkSession, sf: str) -> DataFrame:
     k = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("k"))
