@@ -184,9 +184,20 @@ _TEXTS = "select 'p' || p_partkey as id, p_name as s from part union all select
 
 @query(f"select id, s, case when regexp_matches(s, '=>') then 'code' when length(s) > 64 or regexp_matches(s, '[A-Za-z]{{4,}}') then null when regexp_matches(s, '^[-+]?([0-9][0-9,]*)?(\\.[0-9]+)?([eE][-+]?[0-9]+)?$') and regexp_matches(s, '[0-9]') then 'number' when regexp_matches(s, '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}:[0-9]{{2}}(:[0-9]{{2}})?)$') then 'datetime' when regexp_matches(s, '^[-+]?[0-9]+(\\.[0-9]+)?((\\s*[,;/]\\s*|\\s+)[-+]?[0-9]+(\\.[0-9]+)?)+$') then 'number_list' when regexp_matches(s, '^[$]?\\s*[-+]?[0-9][0-9,]*(\\.[0-9]+)?\\s*(%|[A-Za-z]{{1,3}})?$') then 'amount' when regexp_matches(s, '^[A-Za-z]{{0,3}}[-_#]?[0-9][0-9A-Za-z_.:-]*$') then 'identifier' end as class from ({_TEXTS})")
 def literal_class_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """With the dates of every fifth order, as its SQL has it."""
+    return _literal_classes(spark, sf, "o_orderkey % 5 = 0")
+
+
+@query(ORACLES["literal_class_texts"].replace(" where o_orderkey % 5 = 0", ""))
+def literal_class_texts_all(spark: SparkSession, sf: str) -> DataFrame:
+    """With the dates of all orders."""
+    return _literal_classes(spark, sf, "true")
+
+
+def _literal_classes(spark: SparkSession, sf: str, which: str) -> DataFrame:
     part, orders, lines = _t(spark, sf, "part"), _t(spark, sf, "orders"), _t(spark, sf, "lineitem")
     a = part.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("s"))
-    b = orders.where("o_orderkey % 5 = 0").select(F.concat(F.lit("d"), "o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    b = orders.where(which).select(F.concat(F.lit("d"), "o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd"))
     made = F.expr("case l_linenumber % 6 when 0 then '$' || cast(l_quantity as int) when 1 then cast(l_quantity as int) || ', ' || l_linenumber when 2 then 'A-' || l_orderkey when 3 then '1,' || l_linenumber || '00' when 4 then 'x => ' || l_linenumber else l_linenumber || ':30' end")
     c = lines.select(F.concat(F.lit("n"), "l_orderkey", F.lit("-"), "l_linenumber"), made)
     return a.union(b).union(c).withColumn("class", kernels.literal_class(F.col("s")))

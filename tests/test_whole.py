@@ -17,3 +17,9 @@ def test_self_consistency_weights(spark):
     got = prompts.self_consistency(spark.createDataFrame(rows, "p long, r long, s array<string>"), "p", "r", "s").collect()
     got = {r.p: (r.n_pairs, round(r.consistency, 6), round(r.confidence, 6)) for r in got}
     assert got == {1: (6, round(4 / 6, 6), 0.764298), 2: (1, 1.0, 0.5)}
+
+
+def test_classes_of_all_orders(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    got = queries.QUERIES["literal_class_texts_all"](spark, SF).where("id like 'd%'")
+    assert got.where("class = 'datetime'").count() == orders.count() and got.select("id").distinct().count() == orders.count()
