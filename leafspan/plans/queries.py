@@ -386,13 +386,22 @@ def html_to_json_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("with s as (select o_custkey as p, list(o_orderpriority order by o_orderkey)[:6] as s from orders group by 1 having count(*) >= 2), x as (select a.p, a.s as s, b.s as t from s a join s b on b.p = a.p + 1 where len(a.s) = len(b.s)) select p as prompt_id, list_sort(s) = list_sort(t) as same_as_sets from x")
 def unordered_priorities(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether two neighbouring customers' first priorities are the same multiset: an optimal assignment of cost 0."""
+    """Whether two neighbouring customers' first six priorities, as its SQL has it, are the same multiset: an optimal assignment of cost 0."""
     o = _t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("prompt_id")).agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]), 1, 6).alias("s"), F.count("*").alias("n")).where("n >= 2")
     nxt = o.select((F.col("prompt_id") - 1).alias("prompt_id"), F.col("s").alias("t"))
     both = o.join(nxt, "prompt_id").where(F.size("s") == F.size("t"))
     return both.select("prompt_id", (assign.unordered_similarity(F.col("s"), F.col("t"))["total"] == 0).alias("same_as_sets"))
 
 
+@query("with s as (select o_custkey as p, list_sort(list(o_orderpriority)) as s from orders group by 1) select a.p as prompt_id, a.s = b.s as same_as_sets from s a join s b on b.p = a.p + 1")
+def unordered_priorities_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether all priorities of two neighbouring customers are the same multiset: an optimal assignment of cost 0 that leaves no element without partner."""
+    o = _t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("prompt_id")).agg(F.collect_list("o_orderpriority").alias("s"))
+    nxt = o.select((F.col("prompt_id") - 1).alias("prompt_id"), F.col("s").alias("t"))
+    both = o.join(nxt, "prompt_id").withColumn("m", assign.unordered_similarity(F.col("s"), F.col("t")))
+    return both.select("prompt_id", ((F.col("m.total") == 0) & (F.col("m.extra") == 0)).alias("same_as_sets"))
+
+
 @query("select user_id, count(*) as n_events, round(avg(value), 6) as mean_value from events group by user_id")
 def stream_user_scores(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a file stream, aggregated until all is read."""

@@ -23,3 +23,11 @@ def test_classes_of_all_orders(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet")
     got = queries.QUERIES["literal_class_texts_all"](spark, SF).where("id like 'd%'")
     assert got.where("class = 'datetime'").count() == orders.count() and got.select("id").distinct().count() == orders.count()
+
+
+def test_priorities_beyond_the_sixth(spark, tmp_path):
+    own = {1: "AAAAAABC", 2: "AAAAAACB", 3: "AAAAAACC", 4: "AAAAAAC", 5: "D", 6: "D"}
+    rows = [(c, 100 * c + k, x) for c, s in own.items() for k, x in enumerate(s)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = queries.QUERIES["unordered_priorities_all"](spark, str(tmp_path)).collect()
+    assert {r.prompt_id: r.same_as_sets for r in got} == {1: True, 2: False, 3: False, 4: False, 5: True}
