@@ -437,7 +437,7 @@ def triangle_inequality(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("with f as (select c_mktsegment as s, o_orderpriority as p, row_number() over (partition by c_mktsegment order by o_orderkey) as k from orders join customer on o_custkey = c_custkey), g as (select * from f where k <= 3) select a.s as model_a, b.s as model_b, count(*) as n, round(avg(case when a.p = b.p then 1.0 else 0.0 end), 6) as agreement from g a join g b on a.s < b.s group by all")
 def cross_segment_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    """The first three outputs of every pair of segments."""
+    """The first three outputs of every pair of segments, in the whole table, as its SQL has it."""
     o, c = _t(spark, sf, "orders"), _t(spark, sf, "customer")
     k = F.row_number().over(Window.partitionBy("s").orderBy("o_orderkey"))
     g = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("s"), F.col("o_orderpriority").alias("p"), "o_orderkey").withColumn("k", k).where("k <= 3")
@@ -446,6 +446,17 @@ def cross_segment_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(both.groupBy("model_a", "model_b").agg(F.count("*").alias("n"), F.avg((F.col("x") == F.col("y")).cast("double")).alias("agreement")), "agreement")
 
 
+@query("with f as (select c_mktsegment as s, o_orderdate as d, o_orderpriority as p, row_number() over (partition by c_mktsegment, o_orderdate order by o_orderkey) as k from orders join customer on o_custkey = c_custkey), g as (select * from f where k <= 3) select a.s as model_a, b.s as model_b, count(*) as n, round(avg(case when a.p = b.p then 1.0 else 0.0 end), 6) as agreement from g a join g b on a.d = b.d and a.s < b.s group by all")
+def cross_segment_agreement_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three outputs of every pair of segments on the same sample, over all samples: the order dates."""
+    o, c = _t(spark, sf, "orders"), _t(spark, sf, "customer")
+    k = F.row_number().over(Window.partitionBy("s", "d").orderBy("o_orderkey"))
+    g = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("s"), F.col("o_orderdate").alias("d"), F.col("o_orderpriority").alias("p"), "o_orderkey").withColumn("k", k).where("k <= 3")
+    a, b = g.select("d", F.col("s").alias("model_a"), F.col("p").alias("x")), g.select(F.col("d").alias("e"), F.col("s").alias("model_b"), F.col("p").alias("y"))
+    both = a.join(b, (F.col("d") == F.col("e")) & (F.col("model_a") < F.col("model_b")))
+    return rounded(both.groupBy("model_a", "model_b").agg(F.count("*").alias("n"), F.avg((F.col("x") == F.col("y")).cast("double")).alias("agreement")), "agreement")
+
+
 _THREE = "select doc_id, quality = 1 as c from labels union all select doc_id, toxic = 0 from labels union all select doc_id, n_chars >= 1000 from documents join labels using (doc_id)"
 
 

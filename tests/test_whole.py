@@ -31,3 +31,11 @@ def test_priorities_beyond_the_sixth(spark, tmp_path):
     spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     got = queries.QUERIES["unordered_priorities_all"](spark, str(tmp_path)).collect()
     assert {r.prompt_id: r.same_as_sets for r in got} == {1: True, 2: False, 3: False, 4: False, 5: True}
+
+
+def test_agreement_over_all_samples(spark, tmp_path):
+    rows = [(10 * day + k, c, f"2024-01-{day:02d}", "x" if day < 20 or c == 1 else "y") for day in range(1, 29) for k, c in enumerate((1, 2))]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "A"), (2, "B")], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = queries.QUERIES["cross_segment_agreement_all"](spark, str(tmp_path)).collect()
+    assert [(r.model_a, r.model_b, r.n, r.agreement) for r in got] == [("A", "B", 28, round(19 / 28, 6))]
