@@ -221,10 +221,21 @@ def char_sim_names(spark: SparkSession, sf: str) -> DataFrame:
 @query("with p as (select a.vec_id as a, b.vec_id as b, round(greatest(0.0, list_cosine_similarity(a.embedding::double[], b.embedding::double[])), 6) as similarity from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 20 = 0) select a, b, similarity from (select *, row_number() over (partition by a order by similarity desc, b) as k from p) where k <= 3")
 def embedding_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The three nearest vectors of the same label for every twentieth vector."""
+    return _nearest(spark, sf, same_label=True)
+
+
+@query(ORACLES["embedding_cosine_topk"].replace("a.label = b.label and ", ""))
+def embedding_cosine_topk_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The three nearest of all vectors for every twentieth vector."""
+    return _nearest(spark, sf, same_label=False)
+
+
+def _nearest(spark: SparkSession, sf: str, same_label: bool) -> DataFrame:
     e = _t(spark, sf, "embeddings")
-    a = e.where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
+    a = e.where("vec_id % 20 = 0").select(F.col("label").alias("own"), F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
     b = e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    p = a.join(b, "label").where("a <> b").select("a", "b", F.round(kernels.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
+    p = a.join(b, (F.col("a") != F.col("b")) & (F.col("own") == F.col("label") if same_label else F.lit(True)))
+    p = p.select("a", "b", F.round(kernels.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
     k = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
     return p.withColumn("k", k).where("k <= 3").drop("k")
 

@@ -39,3 +39,10 @@ def test_agreement_over_all_samples(spark, tmp_path):
     spark.createDataFrame([(1, "A"), (2, "B")], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     got = queries.QUERIES["cross_segment_agreement_all"](spark, str(tmp_path)).collect()
     assert [(r.model_a, r.model_b, r.n, r.agreement) for r in got] == [("A", "B", 28, round(19 / 28, 6))]
+
+
+def test_nearest_of_any_label(spark, tmp_path):
+    rows = [(0, 1, [1.0, 0.0]), (1, 2, [1.0, 0.1]), (2, None, [1.0, 0.2]), (3, 1, [0.0, 1.0]), (4, 1, [1.0, 1.0]), (20, None, [0.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.QUERIES["embedding_cosine_topk_all"](spark, str(tmp_path)).collect()
+    assert {(r.a, r.b) for r in got} == {(0, 1), (0, 2), (0, 4), (20, 3), (20, 4), (20, 2)}
