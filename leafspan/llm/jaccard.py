@@ -28,6 +28,8 @@ SHINGLE, PERCENT = 5, 80
 #: Documents and text bytes of a chunk, and shingles of a block in a large group.
 CHUNK_ROWS, CHUNK_BYTES, PART_BYTES, BLOCK_SHINGLES = 4096, 4 << 20, 8 << 20, 1_000_000
 REMEMBERED = 150_000
+#: More than the sets of a group.
+STEP = 1 << 32
 
 #: bytes → itself, with A-Z in lower case and white space as a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -183,6 +185,17 @@ def _chains(sets: DataFrame) -> DataFrame:
     return pairs.where(F.col("sig") != F.col("first")).select(F.col("sig").alias("a"), F.col("first").alias("b")).distinct()
 
 
+def _blocks(lists: np.ndarray, start: np.ndarray, keys: np.ndarray, tokens: np.ndarray, low: int, high: int) -> np.ndarray:
+    """The positions in low .. high-1 of some index lists, one list after another; lists of one set, or with none there, are skipped unread.
+
+    keys are the lists' positions, each with its token before it, so that all lists are bisected at once.
+    """
+    tokens = tokens[start[tokens + 1] - start[tokens] > 1]
+    a, b = (np.searchsorted(keys, tokens * STEP + at) for at in (low, high))
+    n = b - a
+    return lists[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
 def _forest(sigs: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
     """A spanning forest of the links among some sets."""
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), sigs[i]))
@@ -202,20 +215,28 @@ def _forest(sigs: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, byte
             i = parent[i]
         return i
 
-    def add(overlap: np.ndarray, tokens: np.ndarray, by: int) -> None:
-        longest = start[tokens + 1] - start[tokens]
-        for t in tokens[longest > 1].tolist():
-            overlap[lists[start[t] : start[t + 1]]] += by  # a set is in a list once
+    keys = flat[by] * STEP + lists
+    # The block of sizes that can link with each set.
+    lows = np.searchsorted(sizes * 100, sizes * PERCENT, "left").tolist()
+    highs = np.searchsorted(sizes * PERCENT, sizes * 100, "right").tolist()
+
+    def add(overlap: np.ndarray, origin: int, tokens: np.ndarray, low: int, high: int, by: int) -> None:
+        if low < high:
+            overlap[low - origin : high - origin] += (by * np.bincount(_blocks(lists, start, keys, tokens, low, high) - low, minlength=high - low)).astype(np.int32)
 
-    def answers(i: int, base: int | None, overlap: np.ndarray | None) -> np.ndarray:
-        """Overlaps of set i with all sets of the group, those with itself aside."""
+    def answers(i: int, base: int | None, before: np.ndarray | None) -> np.ndarray:
+        """Overlaps of set i with the sets of its block, those with itself aside. Those in the block of the base too are derived from its own."""
+        low, high = lows[i], highs[i]
+        overlap = np.zeros(high - low, np.int32)
         if base is None:
-            overlap = np.zeros(len(sets), np.int32)
-            add(overlap, own[i], 1)
+            add(overlap, low, own[i], low, high, 1)
             return overlap
-        overlap = overlap.copy()
-        add(overlap, np.setdiff1d(own[i], own[base], assume_unique=True), 1)
-        add(overlap, np.setdiff1d(own[base], own[i], assume_unique=True), -1)
+        a, b = max(low, lows[base]), min(high, highs[base])  # not empty, as both sets are in both blocks
+        overlap[a - low : b - low] = before[a - lows[base] : b - lows[base]]
+        add(overlap, low, np.setdiff1d(own[i], own[base], assume_unique=True), a, b, 1)
+        add(overlap, low, np.setdiff1d(own[base], own[i], assume_unique=True), a, b, -1)
+        add(overlap, low, own[i], low, a, 1)
+        add(overlap, low, own[i], b, high, 1)
         return overlap
 
     edges: list[tuple[bytes, bytes]] = []
@@ -227,9 +248,8 @@ def _forest(sigs: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, byte
         done[first] = True
         while stack:
             i, base, before = stack.pop()
-            overlap = answers(i, base, before)
-            low, high = np.searchsorted(sizes * 100, len(sets[i]) * PERCENT, "left"), np.searchsorted(sizes * PERCENT, len(sets[i]) * 100, "right")
-            near = overlap[low:high]
+            near = answers(i, base, before)
+            low, high = lows[i], highs[i]
             linked = np.flatnonzero(100 * near >= PERCENT * (sizes[low:high] + len(sets[i]) - near)) + low
             new = linked[~done[linked]]
             done[new] = True
@@ -238,7 +258,7 @@ def _forest(sigs: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, byte
                 if a != b:
                     parent[b] = a
                     edges.append((sigs[i], sigs[j]))
-            stack += [(j, i, overlap) for j in new.tolist()]
+            stack += [(j, i, near) for j in new.tolist()]
     return edges
 
 

@@ -100,3 +100,33 @@ def test_components(spark):
     got = sorted((r.node, r.label) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
     want = sorted([(i, 0) for i in range(61)] + [(i, 100) for i in (100, 101, 200)] + [(1000 + i, 1000) for i in range(50)])
     assert not differ(got, want)
+
+
+def test_blocks_skip_lists():
+    lists, start = np.array([0, 1, 7, 8, 3, 2, 5, 9, 0, 9]), np.array([0, 4, 5, 8, 10])
+    keys = np.repeat(np.arange(4), np.diff(start)) * jaccard.STEP + lists
+    found = lambda tokens, low, high: jaccard._blocks(lists, start, keys, np.array(tokens), low, high).tolist()
+    assert found([0, 1, 2, 3], 2, 8) == [7, 2, 5] and found([0, 3], 0, 2) == [0, 1, 0] and found([0, 2], 10, 12) == []
+
+
+def test_forest_over_many_sizes():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        sets = [np.arange(rng.integers(1, 40), dtype=np.uint64)]
+        for _ in range(rng.integers(1, 60)):  # each grows, shrinks or changes from an earlier one, so that blocks of sizes shift along a chain
+            s = sets[rng.integers(len(sets))]
+            s = np.union1d(s[rng.random(len(s)) > rng.choice([0, 0.05, 0.2])], rng.integers(0, 150, rng.integers(0, 8)).astype(np.uint64))
+            sets.append(s if len(s) else np.array([1], np.uint64))
+        sigs = [b"%d" % i for i in range(len(sets))]
+        edges = {frozenset(e) for e in jaccard._forest(sigs, sets)}
+        links = {frozenset((sigs[i], sigs[j])) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+
+        def groups(pairs):
+            of = {x: {x} for x in sigs}
+            for a, b in map(tuple, pairs):
+                of[a] |= of[b]
+                for x in of[a]:
+                    of[x] = of[a]
+            return {frozenset(g) for g in of.values()}
+
+        assert edges <= links and groups(edges) == groups(links)
