@@ -49,6 +49,29 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """As saved(), in n buckets by a key: joins by that key do not shuffle the table again. The catalogue forgets it at once; the files stay."""
+    spark = df.sparkSession
+    table = f"leafspan_{name}_{uuid.uuid4().hex}"
+    df.write.option("path", f"{shared_folder(spark)}/{table}").option("compression", "zstd").bucketBy(n, key).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+#: A key with more than one of so many rows is hot.
+HOT = 200
+
+
+def join_one(many: DataFrame, one: DataFrame, key: str, weight: str, total: int, how: str = "left") -> DataFrame:
+    """many joined to one, which has each key once, with the number of its rows in many under weight. Keys with more than a share of the total rows
+    are fewer than HOT, so they are broadcast; the rest is shuffled, and no task gets one key's rows alone."""
+    hot = F.broadcast(one.where(F.col(weight) > total // HOT + 1))
+    cold = one.where(F.col(weight) <= total // HOT + 1)
+    rest = many.join(hot.select(key), key, "left_anti")
+    return many.join(hot, key).unionByName(rest.join(cold, key, how)).drop(weight)
+
+
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under fixed names, so that other columns cannot clash."""
     return df.select(df[id_col].alias("id"), df[text_col].alias("text"))

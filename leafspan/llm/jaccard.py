@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .repeats import repeated
+from .repeats import counted, most
 
 #: Shingle length and similarity in percent.
 SHINGLE, PERCENT = 5, 80
@@ -106,9 +106,9 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         tokens.append(own[: prefix(len(own))])
                     rows = pa.StructArray.from_arrays([piece.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["id", "n", "sig"])
                     rows = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), rows)
-                    yield pa.record_batch([pa.array([uuid.uuid4().hex]), rows, pa.array([np.concatenate(tokens).tobytes()], pa.binary())], names=["chunk", "rows", "tokens"])
+                    yield pa.record_batch([pa.array([uuid.uuid4().int >> 65], pa.int64()), rows, pa.array([np.concatenate(tokens).tobytes()], pa.binary())], names=["chunk", "rows", "tokens"])
 
-    return id_type.mapInArrow(common.thrifty(scanned), f"chunk string, rows array<struct<id: {kind}, n: bigint, sig: binary>>, tokens binary")
+    return id_type.mapInArrow(common.thrifty(scanned), f"chunk bigint, rows array<struct<id: {kind}, n: bigint, sig: binary>>, tokens binary")
 
 
 def _cut(tokens, sizes: list[int]) -> list[np.ndarray]:
@@ -124,7 +124,7 @@ def _candidates(table: DataFrame, firsts: DataFrame) -> DataFrame:
                 own = set(own or ())
                 parts = [t for k, t in enumerate(_cut(tokens, [r["n"] for r in rows])) if k in own]
                 keys, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                yield pa.record_batch([pa.array([chunk]), pa.array([keys.tobytes()], pa.binary()), pa.array([(n > 1).astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "keys", "twice"])
+                yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([most(n)], pa.binary())], names=["chunk", "keys", "many"])
 
     def judged(batches):
         for batch in batches:
@@ -134,7 +134,7 @@ def _candidates(table: DataFrame, firsts: DataFrame) -> DataFrame:
                 if not own or not answers:
                     continue
                 keys = np.unique(np.concatenate([parts[k] for k in own]))
-                many = np.frombuffer(b"".join(a["flags"] for a in answers), np.uint8)
+                many = np.frombuffer(b"".join(a["many"] for a in answers), np.uint8) > 1
                 keep = [k for k in own if int(many[np.searchsorted(keys, parts[k])].sum()) >= needed(rows[k]["n"])]
                 yield pa.record_batch([pa.array([rows[k]["id"] for k in keep], batch.schema.field(0).type.value_type.field("id").type), pa.array([rows[k]["sig"] for k in keep], pa.binary())], names=["id", "sig"])
 
@@ -143,7 +143,7 @@ def _candidates(table: DataFrame, firsts: DataFrame) -> DataFrame:
     spread = max(8, int(n_keys) * 8 // PART_BYTES)  # chunks are large rows: a partition gets a bounded number of bytes
     dealt = lambda df: df.repartition(spread, "chunk")
     chosen = dealt(table).join(dealt(firsts), "chunk").select("chunk", "rows", "tokens", "own")
-    answers = repeated(chosen.mapInArrow(common.thrifty(keyed), "chunk string, keys binary, twice binary"), int(n_keys))
+    answers = counted(chosen.mapInArrow(common.thrifty(keyed), "chunk bigint, keys binary, many binary"), int(n_keys))
     return chosen.join(dealt(answers), "chunk").select("rows", "tokens", "own", "answers").mapInArrow(common.thrifty(judged), f"id {kind}, sig binary")
 
 

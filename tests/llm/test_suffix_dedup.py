@@ -60,7 +60,19 @@ def test_against_brute_force(spark, monkeypatch, small):
         assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_loser_tree():
+def shared(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+
+
+def test_loser_tree(monkeypatch):
+    told, real = [], suffix_dedup._differ
+
+    def told_of(p, q, known):
+        assert p[:known] == q[:known]
+        told.append((known, real(p, q, known)))
+        return told[-1][1]
+
+    monkeypatch.setattr(suffix_dedup, "_differ", told_of)
     rng = np.random.default_rng(3)
     for n in (1, 2, 3, 5, 8, 13):
         keys = rng.integers(97, 99, (n, 30, suffix_dedup.KEY), np.uint8)
@@ -74,6 +86,29 @@ def test_loser_tree():
         for number, share in suffix_dedup.merged(runs):
             key = runs[number].key
             if got:
-                assert share == suffix_dedup._common(last, key)
+                assert share == shared(last, key)
             got.append(last := key)
         assert got == sorted(want)
+        # No byte is matched twice: what a suffix is found to share only grows, up to what it shares with the one before it.
+        assert sum(n - known for known, n in told) <= sum(map(shared, got, got[1:]))
+        told.clear()
+
+
+def test_looks_at_nothing_known():
+    p, q = b"?" * 30 + b"a" * 52, b"!" * 30 + b"a" * 51 + b"b"
+    assert suffix_dedup._differ(p, q, 30) == suffix_dedup.KEY - 1 and suffix_dedup._differ(p, p[:-1] + b"c", 81) == 81 and suffix_dedup._differ(p, p, 3) == suffix_dedup.KEY
+
+
+def test_anchors_block_by_block(monkeypatch):
+    data = np.random.default_rng(1).integers(97, 100, 5000).astype(np.uint8)
+    whole = suffix_dedup.anchors(data)
+    for block in (64, 333, 4999):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        assert all((a == b).all() for a, b in zip(suffix_dedup.anchors(data), whole))
+
+
+def test_ids_of_any_ordered_type(spark):
+    text = "It was a long and winding road that went on and on for many miles. "
+    rows = [("b", text + "x"), ("a", "y" + text), (None, text), ("c", None), ("a", "y" + text)]
+    got = {(r[0], r[1]): r[2] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("b", 68): 67, ("a", 68): 0, (None, 67): 67, ("c", 0): 0}
