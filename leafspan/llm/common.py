@@ -11,7 +11,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -64,12 +64,23 @@ HOT = 200
 
 
 def join_one(many: DataFrame, one: DataFrame, key: str, weight: str, total: int, how: str = "left") -> DataFrame:
-    """many joined to one, which has each key once, with the number of its rows in many under weight. Keys with more than a share of the total rows
-    are fewer than HOT, so they are broadcast; the rest is shuffled, and no task gets one key's rows alone."""
-    hot = F.broadcast(one.where(F.col(weight) > total // HOT + 1))
-    cold = one.where(F.col(weight) <= total // HOT + 1)
+    """many joined to one, a saved table that has each key once, with the number of its rows in many under weight. Keys with more than a share of the
+    total rows are hot. They are fewer than HOT, so they are broadcast; the rest is shuffled, and no task gets one key's rows alone."""
+    is_hot = F.col(weight) > total // HOT + 1
+    if one.where(is_hot).isEmpty():
+        return many.join(one, key, how).drop(weight)
+    hot = F.broadcast(one.where(is_hot))
     rest = many.join(hot.select(key), key, "left_anti")
-    return many.join(hot, key).unionByName(rest.join(cold, key, how)).drop(weight)
+    return many.join(hot, key).unionByName(rest.join(one.where(~is_hot), key, how)).drop(weight)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole(df: DataFrame) -> Column:
+    """A row as a struct, whatever its columns' names."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
 
 
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -91,6 +102,20 @@ def rows(batch: pa.RecordBatch):
         yield tuple(c[i].as_buffer() if pa.types.is_binary(c.type) else c[i].as_py() for c in batch.columns)
 
 
+class Words(dict):
+    """64-bit hash of each word, never 0; so many are remembered."""
+
+    most = 150_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word) or 1
+        return h
+
+
 _kept: dict = {}
 
 

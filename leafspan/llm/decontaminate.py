@@ -1,30 +1,33 @@
 """Benchmark decontamination with an FM-index for each shard of the training text.
 
-A shard is a bounded slice of a partition. Its words become numbers of the benchmark's vocabulary (0: no such word). Stretches that cannot hold
-a whole window, because they are shorter or pair words that no window pairs, are left out; the rest is concatenated and indexed: suffix order by
-prefix doubling, its Burrows-Wheeler transform in a wavelet matrix, every eighth suffix position kept. All windows are searched backwards at once
-(rank queries over arrays), occurrences are located by stepping to sampled positions, and the spans they cover are merged for each document.
-
-The benchmark goes to the executors in blocks of bounded size; every block is searched in the same pass over the documents, so nothing is shuffled
-and a benchmark of any size works, only more slowly.
+A shard is a bounded slice of a partition. Stretches that cannot hold a whole window, because they are shorter or pair words that no window pairs,
+are left out; the rest is concatenated, its words numbered, and indexed: suffix order by prefix doubling, its Burrows-Wheeler transform in a wavelet
+matrix, every eighth suffix position kept. All windows whose words the shard has are searched backwards at once (rank queries over arrays), occurrences
+are located by stepping to sampled positions, and the spans they cover are merged for each document.
+
+The benchmark is hashed on the executors, eight bytes a word, and comes to the workers as it is, in blocks that are searched one after another: windows
+are slices of a block, so nothing is built for it. One pass over the documents takes a group of blocks of bounded size; a benchmark beyond that takes
+more passes, each of which writes what it found beside the texts. Words count as equal by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import pickle
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 WORDS = 13
-#: Bytes of benchmark text in a block, and of document text in a shard.
-BLOCK, SHARD = 8 << 20, 6 << 20
+#: Words of benchmark text in a block, blocks of a pass (so 8 MB each, 128 MB together), and bytes of document text in a shard.
+BLOCK, BLOCKS, SHARD = 1 << 20, 16, 6 << 20
 SAMPLED = 8
-BIGRAM_BITS = 22
+#: Bits of the tables of neighbours for each pair in them, and of a table at most.
+ROOM, MOST_BITS = 32, 27
 
 #: bytes → lower-case word bytes, or a space where a byte is in no word: fixed by the words' definition.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -115,130 +118,211 @@ class FMIndex:
         return out
 
 
-class Phrases:
-    """The windows of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[str | None, str]]) -> None:
-        self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for i in range(max(1, len(ids) - WORDS + 1) if ids else 0):
-                windows.setdefault(tuple(ids[i : i + WORDS]), set()).update(() if item is None else (item,))
-        self.items = list(windows.values())
-        self.lengths = np.array([len(w) for w in windows], np.int64)
-        self.phrases = np.array([(0,) * (WORDS - len(w)) + w for w in windows], np.int64).reshape(len(windows), WORDS)
-        #: For each length of window: which pairs of neighbours some window has (by a hash; single words for length 1).
-        self.pairs: dict[int, np.ndarray] = {}
-        for n in sorted(set(self.lengths.tolist())):
-            own = self.phrases[self.lengths == n][:, WORDS - n :]
-            table = np.zeros(1 << BIGRAM_BITS, bool)
-            table[self.code(own[:, :-1], own[:, 1:]) if n > 1 else self.code(own, own)] = True
-            self.pairs[n] = table
-
-    @staticmethod
-    def code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a * 1_000_003 + b * 7919) & ((1 << BIGRAM_BITS) - 1)
-
-    def likely(self, ids: np.ndarray) -> np.ndarray:
-        """Which words of a shard may lie inside a window: those in long enough runs of pairs that windows have."""
-        keep = np.zeros(len(ids), bool)
-        inside = ids > 0
-        for n, table in self.pairs.items():
+def hashed(text: str | None, known: dict[bytes, int]) -> list[int]:
+    return [known[w] for w in words(text)]
+
+
+def code(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """A pair of neighbours as a number of so many bits."""
+    h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xBF58476D1CE4E5B9))
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
+
+
+class Block:
+    """Some benchmark items: their ids, hashed words one item after another, and how many each has."""
+
+    def __init__(self, items: list[str | None], words: np.ndarray, sizes: np.ndarray) -> None:
+        self.items, self.words, self.sizes = items, words, sizes
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and item of every window."""
+        n = np.where(self.sizes > 0, np.maximum(1, self.sizes - WORDS + 1), 0)
+        item = np.repeat(np.arange(len(n)), n)
+        first = np.cumsum(self.sizes) - self.sizes
+        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[item]
+        return start, np.minimum(self.sizes, WORDS)[item], item
+
+
+class Pairs:
+    """For each length of window, which neighbours some window has, by a hash; single words for length 1."""
+
+    def __init__(self, blocks: list[Block]) -> None:
+        self.tables: dict[int, tuple[int, np.ndarray]] = {}
+        n = np.concatenate([b.sizes for b in blocks]) if blocks else np.zeros(0, np.int64)
+        for size in np.unique(np.minimum(n[n > 0], WORDS)).tolist():
+            longer = lambda b: b.sizes >= size if size == WORDS else b.sizes == size  # noqa: B023, E731
+            pairs = int(n[n >= size].sum() if size == WORDS else n[n == size].sum())
+            bits = min(MOST_BITS, max(16, math.ceil(math.log2(pairs * ROOM))))
+            table = np.zeros(1 << bits, bool)
+            for b in blocks:
+                item = np.repeat(np.arange(len(b.sizes)), b.sizes)
+                mine = longer(b)[item]
+                if size == 1:
+                    table[code(b.words[mine], b.words[mine], bits)] = True
+                else:
+                    both = mine[:-1] & (item[1:] == item[:-1])
+                    table[code(b.words[:-1][both], b.words[1:][both], bits)] = True
+            self.tables[size] = bits, np.packbits(table, bitorder="little")
+
+    def likely(self, shard: np.ndarray) -> np.ndarray:
+        """Which words of a shard, where 0 breaks the sequence, may lie inside a window: those in long enough runs of pairs that windows have."""
+        keep = np.zeros(len(shard), bool)
+        inside = shard > 0
+        for n, (bits, table) in self.tables.items():
+            has = lambda c: (table[c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 > 0  # noqa: B023, E731
             if n == 1:
-                keep |= inside & table[self.code(ids, ids)]
+                keep |= inside & has(code(shard, shard, bits))
                 continue
-            if len(ids) < n:
+            if len(shard) < n:
                 continue
-            linked = inside[:-1] & inside[1:] & table[self.code(ids[:-1], ids[1:])]
+            linked = inside[:-1] & inside[1:] & has(code(shard[:-1], shard[1:], bits))
             edge = np.flatnonzero(np.diff(np.concatenate(([0], linked.view(np.int8), [0]))))
             for start, end in edge.reshape(-1, 2)[edge[1::2] - edge[::2] >= n - 1].tolist():
                 keep[start : end + 1] = True
         return keep
 
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, start) of every occurrence in a shard's words, where 0 breaks the sequence."""
-        at = np.flatnonzero(self.likely(ids))
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        gap = np.concatenate(([0], np.cumsum(np.diff(at) > 1)))
-        place = np.arange(len(at)) + gap
-        s = np.zeros(place[-1] + 1, np.int64)
-        s[place] = ids[at]
-        origin = np.zeros(len(s), np.int64)
-        origin[place] = at
-        index = FMIndex(s, len(self.vocabulary))
-        which, low, high = index.search(self.phrases, self.lengths)
-        n = high - low
-        rows = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        return np.repeat(which, n), origin[index.locate(rows)]
-
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[bytes]:
-    """The benchmark's rows, pickled in blocks of bounded size."""
-    out, block, size = [], [], 0
-    for item, text in benchmark.select(benchmark[item_col].cast("string"), benchmark[text_col].cast("string")).toLocalIterator():
-        if text:
-            if block and size + len(text) > BLOCK:
-                out.append(pickle.dumps(block))
-                block, size = [], 0
-            block.append((item, text))
-            size += len(text)
-    return [*out, pickle.dumps(block)]
+class Shard:
+    """The FM-index over a shard's likely stretches."""
 
+    def __init__(self, shard: np.ndarray, at: np.ndarray) -> None:
+        place = np.arange(len(at)) + np.concatenate(([0], np.cumsum(np.diff(at) > 1)))
+        self.vocabulary, number = np.unique(shard[at], return_inverse=True)
+        s = np.zeros(place[-1] + 1, np.int64)
+        s[place] = number.reshape(-1) + 1
+        self.origin = np.zeros(len(s), np.int64)
+        self.origin[place] = at
+        self.index = FMIndex(s, len(self.vocabulary))
+
+    def hits(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Number, start and length of every occurrence of a distinct window of a block; and the numbers and items of the windows, by number."""
+        place = np.minimum(np.searchsorted(self.vocabulary, block.words), len(self.vocabulary) - 1)
+        local = np.where(self.vocabulary[place] == block.words, place + 1, 0)
+        start, length, item = block.windows()
+        strange = np.concatenate(([0], np.cumsum(local == 0)))
+        here = strange[start + length] == strange[start]
+        start, length, item = start[here], length[here], item[here]
+        back = np.arange(WORDS - 1, -1, -1)
+        phrases = np.where(back < length[:, None], local[np.maximum(0, start[:, None] + length[:, None] - 1 - back)], 0)
+        phrases, number = np.unique(phrases, axis=0, return_inverse=True)
+        number = number.reshape(-1)
+        order = np.argsort(number, kind="stable")
+        which, low, high = self.index.search(phrases, (phrases > 0).sum(1))
+        n = high - low
+        rows = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        found = np.repeat(which, n)
+        return found, self.origin[self.index.locate(rows)], (phrases > 0).sum(1)[found], (number[order], item[order])
 
-def _phrases(block: bytes, alone: bool) -> Phrases:
-    return common.kept(("phrases", hash(block)), lambda: Phrases(pickle.loads(block))) if alone else Phrases(pickle.loads(block))
 
+def _benchmark(benchmark: DataFrame, item_col: str, text_col: str):
+    """Groups of at most BLOCKS blocks of benchmark items, hashed on the executors; the driver holds one group at a time."""
 
-def _search(texts: list[str | None], sent: list) -> tuple[list[int], list[list[dict]], list[list[str]]]:
+    def worded(batches):
+        known = common.Words()
+        for batch in batches:
+            for part in common.pieces(batch):
+                yield pa.record_batch([part.column(0), pa.array([np.array(hashed(t, known), np.uint64).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["item", "words"])
+
+    own = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[text_col].cast("string").alias("text")).where("text <> ''")
+    group: list[Block] = []
+    items, parts, n = [], [], 0
+
+    def block() -> Block:
+        return Block(items, np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array([len(p) for p in parts], np.int64))
+
+    for item, data in own.mapInArrow(common.thrifty(worded), "item string, words binary").toLocalIterator():
+        own_words = np.frombuffer(bytes(data), np.uint64)
+        if items and n + len(own_words) > BLOCK:
+            group.append(block())
+            items, parts, n = [], [], 0
+            if len(group) == BLOCKS:
+                yield group
+                group = []
+        items.append(item)
+        parts.append(own_words)
+        n += len(own_words)
+    yield [*group, block()]
+
+
+def _search(texts: list[str | None], pairs: Pairs, blocks: list[Block]) -> tuple[list[int], list[list[dict]], list[list[str]]]:
     """For each text: its number of words, merged hit spans in words, and items found."""
-    split = [words(t) for t in texts]
+    known = common.kept("words", common.Words)
+    split = [hashed(t, known) for t in texts]
     n_words = np.array([len(w) for w in split], np.int64)
     start = np.concatenate(([0], np.cumsum(n_words + 1)))  # a break after each text
-    covered = np.zeros(start[-1] + 1, bool)
-    items: dict[int, set[str]] = {}
-    for block in sent:
-        phrases = _phrases(block.value, len(sent) == 1)
-        number = phrases.vocabulary.get
-        ids = np.zeros(start[-1], np.int64)
-        for a, w in zip(start.tolist(), split):
-            ids[a : a + len(w)] = [number(x, 0) for x in w]
-        which, at = phrases.hits(ids)
-        change = np.zeros(start[-1] + 1, np.int64)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + phrases.lengths[which], -1)
-        covered |= np.cumsum(change) > 0
-        doc = np.searchsorted(start, at, side="right") - 1
-        for d, w in np.unique(np.stack((doc, which), 1), axis=0).tolist() if len(at) else ():
-            items.setdefault(d, set()).update(phrases.items[w])
+    shard = np.zeros(start[-1], np.uint64)
+    for a, w in zip(start.tolist(), split):
+        shard[a : a + len(w)] = w
     spans: list[list[dict]] = [[] for _ in texts]
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
-    for a, b in edge.reshape(-1, 2).tolist():
-        d = int(np.searchsorted(start, a, side="right")) - 1
-        spans[d].append({"start": a - int(start[d]), "end": b - int(start[d])})
-    return n_words.tolist(), spans, [sorted(items.get(i, ())) for i in range(len(texts))]
+    items: list[set[str]] = [set() for _ in texts]
+    at = np.flatnonzero(pairs.likely(shard))
+    if len(at):
+        index = Shard(shard, at)
+        change = np.zeros(start[-1] + 1, np.int64)
+        for block in blocks:
+            found, begin, length, (number, item) = index.hits(block)
+            np.add.at(change, begin, 1)
+            np.add.at(change, begin + length, -1)
+            pair = np.unique(np.stack((np.searchsorted(start, begin, side="right") - 1, found), 1), axis=0)
+            low, high = np.searchsorted(number, pair[:, 1], "left"), np.searchsorted(number, pair[:, 1], "right")
+            for d, a, b in zip(pair[:, 0].tolist(), low.tolist(), high.tolist()):
+                items[d].update(x for x in (block.items[i] for i in item[a:b].tolist()) if x is not None)
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(change) > 0).view(np.int8), [0]))))
+        for a, b in edge.reshape(-1, 2).tolist():
+            d = int(np.searchsorted(start, a, side="right")) - 1
+            spans[d].append({"start": a - int(start[d]), "end": b - int(start[d])})
+    return n_words.tolist(), spans, [sorted(x) for x in items]
+
+
+def _merged(a: list[dict], b: list[dict]) -> list[dict]:
+    out: list[dict] = []
+    for s in sorted([*a, *b], key=lambda s: s["start"]):
+        if out and s["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], s["end"])
+        else:
+            out.append(dict(s))
+    return out
+
+
+SPANS, ITEMS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])), T.ArrayType(T.StringType())
 
 
 def find_overlap(docs: DataFrame, benchmark: DataFrame, carry: Column | str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", name: str = "doc_id") -> DataFrame:
     """One row for each row of docs: carry under name, n_words, spans (array of start, end in words: merged occurrences), items (sorted ids of items with occurring windows).
 
     Null texts have no words, and items without words have no windows; a repeated item counts once, and an item without an id is searched but not
-    listed. Repeated rows stay repeated; other columns are not read; empty tables on either side give rows without hits, or none.
+    listed. Repeated rows stay repeated; other columns are not read; empty tables on either side give rows without hits, or none. A text is never cut
+    between shards, so the words of the longest must fit in a worker.
     """
     spark = docs.sparkSession
     common.ship(spark)
-    sent = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col)]
-    df = docs.select((F.col(carry) if isinstance(carry, str) else carry).alias("carry"), docs[text_col].alias("text"))
-
-    def searched(batches):
-        for batch in batches:
-            for part in common.pieces(batch, SHARD):
-                n, spans, items = _search(part.column(1).to_pylist(), sent)
-                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], names=["carry", "n_words", "spans", "items"])
-
-    kind = df.schema["carry"].dataType.simpleString()
-    found = df.mapInArrow(common.thrifty(searched), f"carry {kind}, n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>")
+    df = docs.select((F.col(common.quoted(carry)) if isinstance(carry, str) else carry).alias("carry"), docs[text_col].alias("text"))
+    kind = [df.schema["carry"], T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", ITEMS)]
+
+    def searched(sent, more: bool):
+        def run(batches):
+            pairs, blocks = sent.value
+            for batch in batches:
+                for part in common.pieces(batch, SHARD):
+                    texts = part.column(1)
+                    n, spans, items = _search(texts.to_pylist(), pairs, blocks)
+                    if part.num_columns > 2:  # what passes before found
+                        spans = [_merged(*s) for s in zip(part.column(2).to_pylist(), spans)]
+                        items = [sorted({*a, *b}) for a, b in zip(part.column(3).to_pylist(), items)]
+                    found = [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
+                    if more:
+                        yield pa.record_batch([part.column(0), texts, *found], names=["carry", "text", "spans", "items"])
+                    else:
+                        yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), *found], names=["carry", "n_words", "spans", "items"])
+
+        return common.thrifty(run)
+
+    before: list[Block] | None = None
+    for group in _benchmark(benchmark, item_col, item_text_col):
+        if before is not None:
+            df = common.saved(df.mapInArrow(searched(spark.sparkContext.broadcast((Pairs(before), before)), True), T.StructType([kind[0], df.schema["text"], *kind[2:]])), "searched")
+        before = group
+    found = df.mapInArrow(searched(spark.sparkContext.broadcast((Pairs(before), before)), False), T.StructType(kind))
     return found.withColumnRenamed("carry", name)
 
 
@@ -258,7 +342,10 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """docs, all its columns, without the contaminated rows."""
-    row = F.struct(*[docs[c] for c in docs.columns])
-    found = find_overlap(docs, benchmark, row, text_col, item_col, item_text_col, "row")
+    """docs, all its columns, without the contaminated rows.
+
+    Null and empty texts are clean and stay; repeated rows stay repeated; an empty benchmark changes nothing. Columns may have any names, dots too, but
+    none that differ by case only, which Spark itself cannot tell apart.
+    """
+    found = find_overlap(docs, benchmark, common.whole(docs), text_col, item_col, item_text_col, "row")
     return found.where(~contaminated(_n_hit(), F.col("n_words"))).select("row.*")

@@ -45,9 +45,11 @@ def test_against_brute_force(spark, monkeypatch):
     assert sum(w[2] > 0 for w in want) > 5
     got = sorted((tuple(r) for r in decontaminate.digest(decontaminate.find_overlap(docs, bench)).collect()), key=key)
     assert not differ(got, want)
-    monkeypatch.setattr(decontaminate, "BLOCK", 2000)
-    got = sorted((tuple(r) for r in decontaminate.digest(decontaminate.find_overlap(docs, bench)).collect()), key=key)
-    assert not differ(got, want)
+    monkeypatch.setattr(decontaminate, "BLOCK", 1000)
+    for blocks in (1000, 4):  # all blocks in one pass, and several passes
+        monkeypatch.setattr(decontaminate, "BLOCKS", blocks)
+        got = sorted((tuple(r) for r in decontaminate.digest(decontaminate.find_overlap(docs, bench)).collect()), key=key)
+        assert not differ(got, want)
     kept = decontaminate.decontaminate(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not w[5] for w in want)
     assert decontaminate.find_overlap(docs.limit(0), bench).count() == 0
@@ -69,3 +71,25 @@ def test_index():
             if at := [i for i in range(n - len(p) + 1) if s[i : i + len(p)].tolist() == p]:
                 want[k] = at
         assert got == want
+
+
+def test_a_block_stays_small():
+    """A full block is eight bytes a word, and a second one only adds its own search."""
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    block = lambda: decontaminate.Block([str(k) for k in range(400)], rng.integers(1, 2**63, 400_000, np.int64).astype(np.uint64), np.full(400, 1000))
+    one, two = block(), block()
+    text = "some words that no benchmark has " * 20_000
+    took = []
+    for blocks in ([one], [one, two]):
+        pairs = decontaminate.Pairs(blocks)
+        tracemalloc.start()
+        began = time.time()
+        n, spans, items = decontaminate._search([text, None], pairs, blocks)
+        took.append(time.time() - began)
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+        tracemalloc.stop()
+        assert n == [120_000, 0] and spans == [[], []] and items == [[], []]
+    assert took[1] < 2 * took[0] + 1
