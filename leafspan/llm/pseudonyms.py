@@ -1,7 +1,7 @@
 """Format-preserving Feistel pseudonyms for personal data.
 
 Numbers and dates are found by pattern, validated (check digits, ranges, the calendar), and permuted by a keyed Feistel network over exactly the
-values their format allows: a card number becomes another valid one with its separators and issuer, a date another date written alike.
+values their format allows: a card number becomes another valid one with its separators and issuer, a date another date written alike; phone numbers that cannot be dialled are permuted among themselves.
 Equal values map to equal pseudonyms in every document, different values to different ones, and the key's holder can invert the map. E-mail
 addresses, which have no such domain, get a keyed name at a reserved host. A row depends on its text alone; there is no shuffle.
 
@@ -21,6 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -243,7 +244,6 @@ class Pseudonyms:
         mark = next(c for c in s if not c.isdigit())
         parts = s.split(mark)
         order = {"-": (0, 1, 2), "/": (2, 0, 1), ".": (2, 1, 0)}[mark]
-        padded = all(len(p) != 1 for p in parts)
         try:
             day = datetime.date(*(int(parts[k]) for k in order))
         except ValueError:
@@ -251,13 +251,17 @@ class Pseudonyms:
         first, last = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
         if not first <= day.toordinal() <= last:
             return None
-        # Dates written without a leading zero keep to themselves, so that the way of writing tells nothing wrong and the map stays one to one.
-        new = datetime.date.fromordinal(first + self.permuted(f"date{mark}", [day.toordinal() - first], [last - first + 1])[0])
-        value = {0: f"{new.year:04d}", 1: f"{new.month:02d}" if padded else str(new.month), 2: f"{new.day:02d}" if padded else str(new.day)}
-        out = [""] * 3
-        for part, k in enumerate(order):
-            out[k] = value[part]
-        return mark.join(out)
+        # One permutation for all formats, so that a day stays linked however it is written. It walks on to a day whose month and day of the month
+        # have one digit where the old ones have, so that each part is written as long as before and the map stays one to one.
+        short = lambda d: (d.month < 10, d.day < 10)
+        new = day
+        while True:
+            new = datetime.date.fromordinal(first + self.permuted("date", [new.toordinal() - first], [last - first + 1])[0])
+            if short(new) == short(day):
+                break
+        for k, value in zip(order, (new.year, new.month, new.day)):
+            parts[k] = f"{value:0{len(parts[k])}d}"
+        return mark.join(parts)
 
     def iban(self, s: str) -> str | None:
         d = s.replace(" ", "")
@@ -290,7 +294,7 @@ def pseudonymise(docs: DataFrame, key: bytes, carry: Column | str = "doc_id", te
     as it is. Repeated rows stay repeated; a null id stays null; other columns are not read; an empty table gives an empty one.
     """
     common.ship(docs.sparkSession)
-    df = docs.select((F.col(carry) if isinstance(carry, str) else carry).alias("carry"), docs[text_col].alias("text"))
+    df = docs.select((F.col(common.quoted(carry)) if isinstance(carry, str) else carry).alias("carry"), docs[text_col].alias("text"))
 
     def swapped(batches):
         make = Pseudonyms(key, back)
@@ -300,5 +304,5 @@ def pseudonymise(docs: DataFrame, key: bytes, carry: Column | str = "doc_id", te
                 counts = [pa.array([n[k] for _, n in out], pa.int64()) for k in KINDS]
                 yield pa.record_batch([part.column(0), pa.array([t for t, _ in out], pa.string()), pa.array([sum(n.values()) for _, n in out], pa.int64()), *counts], names=["carry", "text", "n_found", *[f"n_{k}" for k in KINDS]])
 
-    kind = df.schema["carry"].dataType.simpleString()
-    return df.mapInArrow(swapped, f"carry {kind}, text string, n_found bigint, " + ", ".join(f"n_{k} bigint" for k in KINDS)).withColumnRenamed("carry", name)
+    fields = [df.schema["carry"], T.StructField("text", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("n_found", *(f"n_{k}" for k in KINDS))]]
+    return df.mapInArrow(swapped, T.StructType(fields)).withColumnRenamed("carry", name)

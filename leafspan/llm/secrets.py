@@ -24,9 +24,9 @@ NAME = r"""(?:[uU][sS][eE][rR](?:[nN][aA][mM][eE])?|[lL][oO][gG][iI][nN]|[cC][lL
 TOKEN = r"[A-Za-z0-9+/_=-]{24,}"
 ENDPOINT = r"""(?:https?|jdbc:[a-z]+|postgres|mysql|redis|amqps?|s3|ftp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+"""
 
-#: How far apart, in code points, the starts of linked parts may be; and how many spans can start within that on one side: by least lengths of 12, 20, 24, 9, 24 and 8.
+#: How far apart, in code points, the starts of linked parts may be; and how many spans can start within that on one side: by least lengths of 12, 20, 24, 9, 24 and 6 (s3://a).
 SCOPE = 200
-BAND = sum(SCOPE // least + 1 for least in (12, 20, 24, 9, 24, 8))
+BAND = sum(SCOPE // least + 1 for least in (12, 20, 24, 9, 24, 6))
 
 #: Marks the ends of matches inside a text; an equal character of the text itself is swapped for the other one, which no pattern matches either.
 MARK, OTHER = "\ue000", "\ue001"
@@ -63,7 +63,8 @@ def _placed(blocks: Column) -> Column:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, spans (array of start, rank, end, kind; by start, then kind's rank).
 
-    Whole texts; null is empty and has no spans. Repeated rows stay repeated, a null id stays null, other columns are not read.
+    Whole texts; null is empty and has no spans. Repeated rows stay repeated, a null id stays null, other columns are not read; an empty table gives an
+    empty one.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     df = docs.select(docs[id_col].alias("id"), F.replace(text, F.lit(MARK), F.lit(OTHER)).alias("t"))
@@ -108,12 +109,13 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs, all its columns, with every reported span of the text replaced by mask; overlapping spans become one. A null text stays null. length_col names a column that holds
     the text's length, which then follows where something was masked.
 
-    Spans come from the text itself, so nothing is joined: the row is carried along.
+    Spans come from the text itself, so nothing is joined: the row is carried along. Empty texts and an empty table stay as they are; repeated rows
+    stay repeated. Columns may have any names, dots too, but none that differ by case only, which Spark itself cannot tell apart.
     """
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    row = docs.select(common.whole(docs).alias("row"), docs[text_col].alias("text"))
     found = find_secrets(row, "row", "text")
     zero = F.lit(0).cast("long")
-    text = F.col(f"row.`{text_col}`")
+    text = F.col(f"row.{common.quoted(text_col)}")
     merge = F.aggregate(
         "spans",
         F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"),
@@ -125,6 +127,6 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = F.transform(F.sequence(F.lit(0), F.size(cut)), lambda i: sub(F.coalesce(F.get(cut, i - 1)["end"], zero), F.coalesce(F.get(cut, i)["start"], F.length(text).cast("long"))))
     masked = F.when(F.size(cut) > 0, F.array_join(kept, mask)).otherwise(text)
     found = found.select("row", masked.alias("masked"), (F.size(cut) > 0).alias("any"))
-    own = lambda c: F.col(f"row.`{c}`")
+    own = lambda c: F.col(f"row.{common.quoted(c)}")
     length = lambda c: F.when(F.col("any"), F.length("masked").cast(docs.schema[c].dataType)).otherwise(own(c))
     return found.select(*[(F.col("masked") if c == text_col else length(c) if c == length_col else own(c)).alias(c) for c in docs.columns])
