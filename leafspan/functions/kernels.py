@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The forms of literal strings, tried in this order after code, and the words and marks of code and of prose.
+# [0-9] and not \d throughout: DuckDB and Java differ in what the latter takes beyond ASCII.
 NUMBER = r"^[-+]?([0-9][0-9,]*)?(\.[0-9]+)?([eE][-+]?[0-9]+)?$"
 DATETIME = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[-+][0-9]{2}:?[0-9]{2})?)?|[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)$"
 NUMBER_LIST = r"^[-+]?[0-9]+(\.[0-9]+)?((\s*[,;/]\s*|\s+)[-+]?[0-9]+(\.[0-9]+)?)+$"
@@ -18,8 +19,18 @@ PROSE = r"[.!?]\s+[A-Z]|[.!?]$"
 LONGEST_LITERAL, PROSE_WORDS, CODE_SHARE = 64, 8, 0.6
 RELATIVE, AT_ZERO = 1e-9, 1e-12
 MISS_SLOPE, MISS_CAP, CASE_ONLY, LONGEST_TOKEN = 10.0, 0.9, 0.95, 128
-#: What a change between two types costs; pairs not named cost 1.
-TYPE_COST = {0.1: ["string number", "boolean string", "number boolean", "null string", "null number"], 0.5: ["object array", "object string", "object number", "array string"]}
+#: What a change between two types costs, in either direction; pairs not named cost 1.
+TYPE_COST = {
+    ("string", "number"): 0.1,
+    ("boolean", "string"): 0.1,
+    ("number", "boolean"): 0.1,
+    ("null", "string"): 0.1,
+    ("null", "number"): 0.1,
+    ("object", "array"): 0.5,
+    ("object", "string"): 0.5,
+    ("object", "number"): 0.5,
+    ("array", "string"): 0.5,
+}
 
 
 def trimmed(s: Column) -> Column:
@@ -114,10 +125,9 @@ def python_text(x: Column) -> Column:
 def type_cost(a: Column, b: Column) -> Column:
     short = lambda v: F.replace(v, F.lit("empty_"), F.lit(""))
     a, b = short(a), short(b)
-    pair = F.concat_ws(" ", F.least(a, b), F.greatest(a, b))
     out = F.when(a == b, 0.0)
-    for cost, pairs in TYPE_COST.items():
-        out = out.when(pair.isin(*[" ".join(sorted(p.split())) for p in pairs]), cost)
+    for (x, y), cost in TYPE_COST.items():
+        out = out.when(((a == x) & (b == y)) | ((a == y) & (b == x)), cost)
     return out.otherwise(1.0)
 
 

@@ -99,6 +99,16 @@ class FieldRules:
             doc = _without(doc, p)
         return doc
 
+    def bag_of(self, path: Column, leaf: Column) -> Column:
+        """The outermost unordered array that a terminal lies in (or is, where it is empty), or null."""
+        found = []
+        for p in self.unordered:
+            body = compiled(p)[1:-1].replace(f"{_ANY}*", f"{_ANY}*?")
+            inside = F.regexp_extract(path, rf"^({body}){_ANY_INDEX}.*$", 1)
+            found.append(F.when(inside != "", inside).when((leaf["vtype"] == "empty_array") & path.rlike(compiled(p)), path))
+        shortest = F.array_min(F.transform(F.filter(F.array(*found), lambda x: x.isNotNull()), lambda x: F.struct(F.length(x).alias("n"), x.alias("path"))))
+        return shortest["path"]
+
     def tolerance_at(self, path: Column) -> Column | None:
         out = None
         for p, a, r in self.limits():
@@ -107,5 +117,27 @@ class FieldRules:
         return out
 
 
+def index_below(path: Column, array: Column) -> Column:
+    """The index in an array of the element that a path lies in; null outside it."""
+    inside = F.startswith(path, F.concat(array, F.lit("[")))
+    return F.when(inside, F.regexp_extract(F.substring(path, F.length(array) + 1, F.length(path)), r"^\[([0-9]+)\]", 1).try_cast("int"))
+
+
 def _without(doc: Column, pattern: str) -> Column:
-    return F.map_filter(doc, lambda k, v: ~below(k, pattern))
+    """A document without what matches; where elements of arrays go, those behind them move up."""
+    kept = F.map_filter(doc, lambda k, v: ~below(k, pattern))
+    body = compiled(pattern)[1:-1]
+    if not re.search(r"\\\[(\[0-9\]\+|[0-9]+)\\\]$", body):
+        return kept
+    lazy = body.replace(f"{_ANY}*", f"{_ANY}*?")
+    gone = F.array_distinct(F.transform(F.filter(F.map_keys(doc), lambda k: below(k, pattern)), lambda k: F.regexp_extract(k, rf"^({lazy})", 1)))
+    parted = F.transform(gone, lambda e: F.struct(F.regexp_extract(e, r"^(.*)\[[0-9]+\]$", 1).alias("array"), F.regexp_extract(e, r"\[([0-9]+)\]$", 1).cast("int").alias("i")))
+    # Inner arrays first, and of one array the last element first, so that paths and indices still hold when their turn comes.
+    ordered = F.sort_array(F.transform(parted, lambda d: F.struct(F.length(d["array"]).alias("n"), d["i"].alias("i"), d["array"].alias("array"))), asc=False)
+
+    def moved(key: Column, d: Column) -> Column:
+        at = index_below(key, d["array"])
+        rest = F.substring(key, F.length(d["array"]) + F.length(at.cast("string")) + 3, F.length(key))
+        return F.when(at > d["i"], F.concat(d["array"], F.lit("["), (at - 1).cast("string"), F.lit("]"), rest)).otherwise(key)
+
+    return F.transform_keys(kept, lambda k, v: F.aggregate(ordered, k, moved))

@@ -12,21 +12,75 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.leaves import canonical, shown
-from ..functions.paths import FieldRules
+from ..functions.paths import FieldRules, index_below
+from . import assign
 
 THRESHOLD = 0.95
 
 
+def fenced(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator of one row each. A later filter then stays behind it; pushed into a join, it would take the Python of unordered
+    arrays along, which no join condition can evaluate."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def field_scores(a: Column, b: Column, rules: FieldRules | None = None, **how) -> Column:
-    """path → (status, a, b, score) for every path of either document; missing and extra score 0."""
+    """path → (status, a, b, score) for every path of either document; missing and extra score 0. Unordered arrays take with_scores()."""
     rules = rules or FieldRules()
+    if rules.unordered:
+        raise ValueError("arrays without order are matched by with_scores()")
+    return F.map_zip_with(rules.strip(a), rules.strip(b), _scored(rules, how))
 
+
+def _scored(rules: FieldRules, how: dict):
     def scored(path: Column, x: Column, y: Column) -> Column:
         score = F.when(x.isNull() | y.isNull(), 0.0).otherwise(kernels.field_score(x, y, rules.tolerance_at(path), **how))
-        status = F.when(y.isNull(), "missing").when(x.isNull(), "extra").when(score < 1, "changed").otherwise("same")
-        return F.struct(status.alias("status"), shown(x).alias("a"), shown(y).alias("b"), score.alias("score"))
+        return _field(x.isNull(), y.isNull(), shown(x), shown(y), score)
+
+    return scored
+
+
+def with_scores(df: DataFrame, a: str, b: str, rules: FieldRules | None = None, name: str = "scores", **how) -> DataFrame:
+    """df and the field scores of its document columns a and b. An unordered array is one field at its own path: its elements are matched so that the
+    worst pair is as good as can be, which a small solver does in Python on costs that are expressions; arrays of different lengths score 0."""
+    rules = rules or FieldRules()
+    if not rules.unordered:
+        return df.withColumn(name, field_scores(F.col(a), F.col(b), rules, **how))
+    own = df.withColumn("__a", rules.strip(F.col(a))).withColumn("__b", rules.strip(F.col(b)))
+    names = lambda doc: F.array_distinct(F.filter(F.transform(F.map_entries(doc), lambda e: rules.bag_of(e["key"], e["value"])), lambda x: x.isNotNull()))
+    own = own.withColumn("__in_a", names(F.col("__a"))).withColumn("__in_b", names(F.col("__b")))
+    own = own.withColumn("__fields", F.transform(F.array_union("__in_a", "__in_b"), lambda bag: _bag(F.col("__a"), F.col("__b"), bag, F.col("__in_a"), F.col("__in_b"), rules, how)))
+    own = fenced(own).withColumn("__worst", assign.worst_matched(F.col("__fields")["costs"]))  # Spark does not call Python on what holds a lambda
+    plain = lambda doc: F.map_filter(doc, lambda k, v: rules.bag_of(k, v).isNull())
+    each = F.zip_with("__fields", "__worst", lambda f, w: F.struct(f["bag"].alias("key"), _field(~f["in_a"], ~f["in_b"], f["a"], f["b"], F.when(f["fits"], 1 - w).otherwise(0.0)).alias("value")))
+    scores = F.map_concat(F.map_zip_with(plain(F.col("__a")), plain(F.col("__b")), _scored(rules, how)), F.map_from_entries(each))
+    return fenced(own.withColumn(name, scores).drop("__a", "__b", "__in_a", "__in_b", "__fields", "__worst"))
+
+
+def _field(no_a: Column, no_b: Column, a: Column, b: Column, score: Column) -> Column:
+    status = F.when(no_b, "missing").when(no_a, "extra").when(score < 1, "changed").otherwise("same")
+    return F.struct(status.alias("status"), a.alias("a"), b.alias("b"), score.alias("score"))
+
+
+def _bag(a: Column, b: Column, bag: Column, in_a: Column, in_b: Column, rules: FieldRules, how: dict) -> Column:
+    """An unordered array of two documents: whether both have it in one length, and what matching each element with each costs (1 less the lowest field score)."""
+
+    def elements(doc: Column) -> Column:
+        entries = F.filter(F.map_entries(doc), lambda e: index_below(e["key"], bag).isNotNull())
+        rest = lambda e: F.concat(F.lit("$"), F.regexp_replace(F.substring(e["key"], F.length(bag) + 1, F.length(e["key"])), r"^\[[0-9]+\]", ""))
+        own = lambda i: F.map_from_entries(F.transform(F.filter(entries, lambda e: index_below(e["key"], bag) == i), lambda e: F.struct(rest(e).alias("key"), e["value"].alias("value"))))
+        return F.transform(F.sort_array(F.array_distinct(F.transform(entries, lambda e: index_below(e["key"], bag)))), own)
+
+    def score(path: Column, x: Column, y: Column) -> Column:
+        at = F.concat(bag, F.lit("[0]"), F.substring(path, F.lit(2), F.length(path)))
+        return F.when(x.isNull() | y.isNull(), 0.0).otherwise(kernels.field_score(x, y, rules.tolerance_at(at), **how))
 
-    return F.map_zip_with(rules.strip(a), rules.strip(b), scored)
+    cost = lambda x, y: 1 - F.coalesce(F.array_min(F.map_values(F.map_zip_with(x, y, score))), F.lit(1.0))
+    text = lambda own: F.concat(F.lit("["), F.array_join(F.flatten(F.transform(own, lambda x: F.transform(F.map_values(x), shown))), ", "), F.lit("]"))
+    x, y = elements(a), elements(b)
+    has_a, has_b = F.array_contains(in_a, bag), F.array_contains(in_b, bag)
+    fits = has_a & has_b & (F.size(x) == F.size(y))
+    return F.struct(bag.alias("bag"), has_a.alias("in_a"), has_b.alias("in_b"), F.when(has_a, text(x)).alias("a"), F.when(has_b, text(y)).alias("b"), fits.alias("fits"), F.when(fits, F.transform(x, lambda p: F.transform(y, lambda q: cost(p, q)))).otherwise(F.expr("cast(array() as array<array<double>>)")).alias("costs"))
 
 
 def min_readout(scores: Column) -> Column:
@@ -63,9 +117,10 @@ def pairs(docs: DataFrame, rules: FieldRules | None = None, prompt: str = "promp
     own = distinct_documents(docs, prompt, run, doc)
     a, b = own.alias("a"), own.alias("b")
     cross = a.join(b, (F.col("a.prompt_id") == F.col("b.prompt_id")) & (F.col("a.first") < F.col("b.first")))
-    cross = cross.select(F.col("a.prompt_id").alias("prompt_id"), F.col("a.first").alias("run_a"), F.col("b.first").alias("run_b"), (F.col("a.n") * F.col("b.n")).alias("weight"), field_scores(F.col("a.doc"), F.col("b.doc"), rules, **how).alias("scores"))
-    cross = cross.withColumn("min_readout", min_readout(F.col("scores")))
-    same = own.where("n > 1").select("prompt_id", F.col("first").alias("run_a"), F.col("first").alias("run_b"), F.expr("n * (n - 1) div 2").alias("weight"), F.lit(None).cast(cross.schema["scores"].dataType).alias("scores"), F.lit(1.0).alias("min_readout"))
+    cross = cross.select(F.col("a.prompt_id").alias("prompt_id"), F.col("a.first").alias("run_a"), F.col("b.first").alias("run_b"), (F.col("a.n") * F.col("b.n")).alias("weight"), F.col("a.doc").alias("doc"), F.col("b.doc").alias("other"))
+    same = own.where("n > 1").select("prompt_id", F.col("first").alias("run_a"), F.col("first").alias("run_b"), F.expr("n * (n - 1) div 2").alias("weight"), "doc", F.col("doc").alias("other"))
+    cross, same = (with_scores(x, "doc", "other", rules, **how).drop("doc", "other") for x in (cross, same))
+    cross, same = cross.withColumn("min_readout", min_readout(F.col("scores"))), same.withColumn("min_readout", F.lit(1.0))
     return cross.unionByName(same)
 
 

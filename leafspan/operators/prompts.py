@@ -68,3 +68,11 @@ def trajectories(events: DataFrame, group: str, kind: str, *order: str) -> DataF
     """The kinds of each group in order."""
     steps = F.sort_array(F.collect_list(F.struct(*order, kind)))
     return events.groupBy(group).agg(steps.alias("steps")).select(group, F.transform("steps", lambda s: s[kind]).alias("kinds"))
+
+
+def name_ambiguity(tools: DataFrame, by: str, name: str) -> DataFrame:
+    """The greatest overlap (Jaccard) of the words of two different names in each group. Equal names count once; pairs are quadratic in the different ones."""
+    own = tools.select(F.col(by), F.col(name).alias("name"), F.array_distinct(F.split(F.lower(name), r"[\s_.-]+")).alias("words")).dropDuplicates([by, "name"])
+    a, b = own.alias("a"), own.alias("b")
+    overlap = F.size(F.array_intersect("a.words", "b.words")) / F.size(F.array_union("a.words", "b.words"))
+    return a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.name") < F.col("b.name"))).groupBy(F.col(f"a.{by}").alias(by)).agg(F.max(overlap).alias("ambiguity"))

@@ -1 +1,3 @@
-"""See README.md."""
+"""The registered queries; see README.md."""
+
+from . import more, queries  # noqa: F401

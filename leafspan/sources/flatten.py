@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.leaves import PARSED_DOCUMENT, enriched, leaf
@@ -79,6 +79,12 @@ def is_valid(text: Column, strict: bool = True) -> Column:
     return checked(text)
 
 
+def is_truthy(text: Column) -> Column:
+    """Whether an output parses to anything but null, false, 0, and empty texts, objects and arrays."""
+    shown = F.to_json(F.try_parse_json(text))
+    return F.coalesce(~shown.isin("null", "false", '""', "{}", "[]") & ~shown.rlike(r"^-?0(\.0+)?([eE][-+]?[0-9]+)?$"), F.lit(False))
+
+
 def flatten_flat_json(text: Column, keys: list[str]) -> Column:
     """Documents of flat objects with known keys without leaving the JVM: a fast path through VARIANT."""
     v = F.try_parse_json(text)
@@ -93,9 +99,24 @@ def flatten_flat_json(text: Column, keys: list[str]) -> Column:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON-lines file of outputs or of {prompt, outputs}: prompt_id, run_id, raw. Lines that cannot be read stay as text: invalid outputs."""
-    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.monotonically_increasing_id().alias("line"))
+    """A file of outputs or of {prompt, outputs}, as JSON lines or as one JSON array: prompt_id, run_id, raw.
+
+    If every row is an object with outputs, rows are prompts, those of one prompt together, unnamed ones as "row i"; else every row is an output of the
+    prompt "". Lines that cannot be read stay as text: invalid outputs. run_id rises with the place in the file and is unique.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.ltrim("value").alias("value")).where(F.startswith("value", F.lit("[")))
+    array = F.from_json("value", "array<variant>")
+    items = whole.where(F.try_parse_json("value").isNotNull()).select(F.posexplode(array).alias("line", "v")).select(F.col("line").cast("long").alias("line"), F.to_json("v").alias("value"))
+    if items.isEmpty():
+        lines = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("at"), "value")
+        # Numbers within partitions rise with the place in the file; how many rows each partition has makes them consecutive.
+        part = F.shiftright("at", 33)
+        sizes = lines.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+        items = lines.withColumn("part", part).join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select((F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("line"), "value")
     group = F.from_json("value", "prompt string, outputs array<string>")
-    grouped = lines.where(group["outputs"].isNotNull()).select(F.coalesce(group["prompt"], F.concat(F.lit("row "), "line")).alias("prompt_id"), "line", F.posexplode(group["outputs"]).alias("pos", "raw"))
-    single = lines.where(group["outputs"].isNull()).select(F.lit("").alias("prompt_id"), "line", F.lit(0).alias("pos"), F.col("value").alias("raw"))
-    return grouped.unionByName(single).select("prompt_id", (F.col("line") * 100000 + F.col("pos")).alias("run_id"), "raw")
+    rows = items.select("line", "value", group.alias("g"))
+    if rows.where(F.col("g.outputs").isNull()).isEmpty():
+        name = F.coalesce("g.prompt", F.concat(F.lit("row "), "line"))
+        return rows.select(name.alias("prompt_id"), "line", F.posexplode("g.outputs").alias("pos", "raw")).select("prompt_id", (F.shiftleft("line", 24) + F.col("pos")).alias("run_id"), "raw")
+    return rows.select(F.lit("").alias("prompt_id"), F.shiftleft("line", 24).alias("run_id"), F.col("value").alias("raw"))
