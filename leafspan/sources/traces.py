@@ -1,15 +1,9 @@
-"""Trajectories of tool calls from trace records and session transcripts: JSON lines to ordered steps."""
+"""Trajectories of tool calls from trace records and session transcripts: JSON lines to ordered steps. All is VARIANT expressions."""
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .flatten import parse
 
 #: Where records keep what a step needs; the first key that is set counts.
 NAMES = ("event.name", "event_name", "name")
@@ -20,59 +14,49 @@ EVENTS = ("claude_code.tool_result", "tool_result", "gen_ai.tool.message")
 SEQUENCE = ("event.sequence", "timestamp", "event.timestamp")
 ANY_VALUE = ("stringValue", "intValue", "boolValue", "doubleValue", "arrayValue", "kvlistValue")
 
-STEP = T.StructType([T.StructField(n, T.StringType()) for n in ("prompt", "session", "order_text", "name", "args", "success", "duration_ms", "result_size_bytes")] + [T.StructField("order_number", T.DoubleType())])
-
 
-def attributes(record: dict) -> dict:
-    """A record's attributes, flat: those under attributes (a map, or a list of key and typed value) before those of its body, before its own keys."""
-    own = record.get("attributes")
-    named = dict(own) if isinstance(own, dict) else {}
-    for pair in own if isinstance(own, list) else ():
-        if isinstance(pair, dict) and "key" in pair:
-            value = pair.get("value")
-            if isinstance(value, dict):
-                value = next((value[k] for k in ANY_VALUE if k in value), value)
-            named[pair["key"]] = value
-    body = record.get("body") if isinstance(record.get("body"), dict) else {}
-    rest = {k: v for k, v in record.items() if k not in ("body", "attributes", "resource", "scope")}
-    return rest | body | named
+def _member(value: Column, key: str) -> Column:
+    """An object's member, null where it is absent or JSON null."""
+    v = F.try_variant_get(value, f"$['{key}']", "variant")
+    return F.when(~F.is_variant_null(v), v)
 
 
-def _pick(found: dict, keys: tuple[str, ...]) -> object:
-    return next((found[k] for k in keys if found.get(k) is not None), None)
+def _typed(value: Column) -> Column:
+    """What a typed value holds, or the value itself."""
+    return F.coalesce(*[_member(value, k) for k in ANY_VALUE], value)
 
 
-def _text(value: object) -> str | None:
-    return None if value is None else value if isinstance(value, str) else json.dumps(value, sort_keys=True)
+def attribute(record: Column, key: str) -> Column:
+    """A record's attribute: from attributes (an object, or pairs of key and typed value, the last of a key), else its body, else the record itself."""
+    pairs = F.try_variant_get(record, "$.attributes", "array<struct<key: string, value: variant>>")
+    own = F.try_element_at(F.filter(pairs, lambda p: p["key"] == key), F.lit(-1))["value"]
+    return F.coalesce(_member(F.try_variant_get(record, "$.attributes", "variant"), key), _typed(own), _member(F.try_variant_get(record, "$.body", "variant"), key), _member(record, key))
 
 
-def step_of(text: str | None) -> dict | None:
-    """The step that a line records, or None: a tool result by its name, or any record with a tool and its input."""
-    ok, record = parse(text)
-    if not ok or not isinstance(record, dict):
-        return None
-    found = attributes(record)
-    name, tool, given = _pick(found, NAMES), _pick(found, TOOLS), _pick(found, INPUTS)
-    if tool is None or name not in EVENTS and given is None:
-        return None
-    if isinstance(given, str) and (inner := parse(given))[0]:
-        given = inner[1]
-    order = _pick(found, SEQUENCE)
-    number = float(order) if isinstance(order, (int, float)) and not isinstance(order, bool) else None
-    return {"prompt": _text(_pick(found, PROMPTS)), "session": _text(_pick(found, SESSIONS)), "order_text": _text(order), "order_number": number, "name": str(tool), "args": _text(given), "success": _text(found.get("success")), "duration_ms": _text(found.get("duration_ms")), "result_size_bytes": _text(found.get("tool_result_size_bytes"))}
+def _first(record: Column, keys: tuple[str, ...]) -> Column:
+    return F.coalesce(*[attribute(record, k) for k in keys])
 
 
-@F.pandas_udf(STEP)
-def _steps(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([step_of(t) or dict.fromkeys(STEP.names) for t in text], columns=STEP.names)
+def steps_of(lines: DataFrame, text: str) -> DataFrame:
+    """prompt, session, order_text, order_number, name, args, success, duration_ms, result_size_bytes of every line that records a step: a tool result by
+    its event's name, or any record with a tool and its input. Values are as text, arguments as JSON text; lines that cannot be read are left out."""
+    each = lines.select(F.try_parse_json(text).alias("r")).where("r is not null")
+    found = {"event": NAMES, "tool": TOOLS, "given": INPUTS, "prompt": PROMPTS, "session": SESSIONS, "place": SEQUENCE, "success": ("success",), "duration_ms": ("duration_ms",), "result_size_bytes": ("tool_result_size_bytes",)}
+    own = each.select(*[_first(F.col("r"), keys).alias(name) for name, keys in found.items()])
+    own = own.where(F.col("tool").isNotNull() & (F.col("event").cast("string").isin(*EVENTS) | F.col("given").isNotNull()))
+    inner = F.when(F.schema_of_variant("given") == "STRING", F.try_parse_json(F.col("given").cast("string")))
+    args = F.when(inner.isNull(), F.col("given").cast("string")).otherwise(inner.cast("string"))
+    number = F.when(F.schema_of_variant("place").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.col("place").cast("double"))
+    texts = [F.col(c).cast("string").alias(c) for c in ("prompt", "session", "success", "duration_ms", "result_size_bytes")]
+    return own.select(*texts, F.col("place").cast("string").alias("order_text"), number.alias("order_number"), F.col("tool").cast("string").alias("name"), args.alias("args"))
 
 
 def trajectories(lines: DataFrame, text: str = "value", by: str = "prompt") -> DataFrame:
     """group_id, steps (array of name, args, success, duration_ms, result_size_bytes) in order of sequence, from lines of records; by prompt, session or single.
 
-    Blank and unreadable lines and records of no tool are left out; steps without a group gather as "ungrouped".
+    Blank and unreadable lines and records of no tool are left out; steps without a group gather as "ungrouped". A group's steps meet in one task.
     """
-    own = lines.select(_steps(F.col(text)).alias("s")).where("s.name is not null").select("s.*")
+    own = steps_of(lines, text)
     group = F.lit("all") if by == "single" else F.coalesce(by, F.lit("ungrouped"))
     order = F.struct("order_number", "order_text", F.struct("name", "args", "success", "duration_ms", "result_size_bytes").alias("step"))
     gathered = own.groupBy(group.alias("group_id")).agg(F.sort_array(F.collect_list(order)).alias("ordered"))

@@ -12,8 +12,8 @@ def test_trajectories(spark):
         {"body": "tool_result"},
     ]
     lines = [json.dumps(r) for r in records] + ["", "not json", "[1]"]
-    got = {r.group_id: [(s.name, s.args, s.success) for s in r.steps] for r in traces.trajectories(spark.createDataFrame(lines, "string")).collect()}
-    assert got == {"p": [("a", None, None), ("b", '{"q": 1}', None)], "s": [("c", '{"z": 1}', "true")]}
+    got = {r.group_id: [(s.name, s.args and json.loads(s.args), s.success) for s in r.steps] for r in traces.trajectories(spark.createDataFrame(lines, "string")).collect()}
+    assert got == {"p": [("a", None, None), ("b", {"q": 1}, None)], "s": [("c", {"z": 1}, "true")]}
     assert {r.group_id for r in traces.trajectories(spark.createDataFrame(lines, "string"), by="single").collect()} == {"all"}
 
 
