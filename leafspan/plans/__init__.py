@@ -1,3 +1,3 @@
 """The registered queries; see README.md."""
 
-from . import more, queries  # noqa: F401
+from . import more, nested, queries  # noqa: F401
