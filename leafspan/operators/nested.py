@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -154,3 +156,50 @@ def greedy_total(cost: Column) -> Column:
 def certificate_score(a: Column, b: Column) -> Column:
     """The certificate profile's field score: literals by characters, numbers and numeric texts not equated."""
     return kernels.field_score(a, b, literals=False, numeric_text=False)
+
+
+def sequence_cost(a: Column, b: Column, cost=lambda x, y: (x != y).cast("double")) -> Column:
+    """Least cost of turning one array into another in order: a change costs as given, an element more or less 1. A row of the table at a time; arrays are
+    short (children of one node)."""
+    first = F.transform(F.sequence(F.lit(0), F.size(b)), lambda j: j.cast("double"))
+
+    def row(above: Column, x: Column) -> Column:
+        def cell(left: Column, at: Column) -> Column:
+            best = F.least(F.element_at(left, -1) + 1, F.get(above, at["i"]) + cost(x, at["y"]), F.get(above, at["i"] + 1) + 1)
+            return F.array_append(left, best)
+
+        return F.aggregate(F.transform(b, lambda y, i: F.struct(y.alias("y"), i.alias("i"))), F.array(F.get(above, 0) + 1), cell)
+
+    return F.element_at(F.aggregate(a, first, row), -1)
+
+
+def aligned_order(names: Column, others: Column) -> Column:
+    """For calls by name: which of the other side's calls stands opposite each of ours, by identity first (the same place if it can be, else the first left),
+    then in order for what is left; null where nothing is, and what is over follows behind."""
+    places = F.transform(others, lambda n, j: F.struct(n.alias("name"), j.alias("j")))
+
+    def take(state: Column, own: Column) -> Column:
+        free = F.filter(places, lambda p: p["name"].eqNullSafe(own["name"]) & ~F.array_contains(state["used"], p["j"]))
+        j = F.coalesce(F.get(F.filter(free, lambda p: p["j"] == own["j"]), 0)["j"], F.get(free, 0)["j"])
+        return F.struct(F.array_append(state["out"], j).alias("out"), F.when(j.isNull(), state["used"]).otherwise(F.array_append(state["used"], j)).alias("used"))
+
+    none = F.array().cast("array<int>")
+    found = F.aggregate(F.transform(names, lambda n, j: F.struct(n.alias("name"), j.alias("j"))), F.struct(none.alias("out"), none.alias("used")), take)
+    rest = F.filter(F.transform(places, lambda p: p["j"]), lambda j: ~F.array_contains(found["used"], j))
+    holes = lambda upto: F.size(F.filter(F.slice(found["out"], F.lit(1), upto), lambda x: x.isNull()))
+    filled = F.transform(found["out"], lambda j, i: F.coalesce(j, F.get(rest, holes(i))))
+    n_holes = holes(F.size(found["out"]))
+    over = F.when(F.size(rest) > n_holes, F.slice(rest, n_holes + 1, F.greatest(F.size(rest) - n_holes, F.lit(0)))).otherwise(none)
+    return F.struct(F.concat(filled, over).alias("order"), F.size(found["used"]).alias("n_named"))
+
+
+def reordered(doc: Column, array: str, order: Column) -> Column:
+    """A document whose elements of an array stand at the places that `order` gives them (as of aligned_order)."""
+    head = re.escape(array)
+
+    def moved(k: Column, _: Column) -> Column:
+        own = F.regexp_extract(k, rf"^{head}\[([0-9]+)\]", 1).try_cast("int")
+        to = F.array_position(order, own) - 1
+        return F.when(own.isNull(), k).otherwise(F.concat(F.lit(f"{array}["), to.cast("string"), F.lit("]"), F.regexp_replace(k, rf"^{head}\[[0-9]+\]", "")))
+
+    return F.transform_keys(doc, moved)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,20 +73,38 @@ def mcnemar(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return g.withColumn("statistic", F.when(total == 0, 0.0).otherwise(F.pow(F.abs(F.col("only_a") - F.col("only_b")) - 1, F.lit(2)) / total))
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
+    """Exact quantiles, interpolated between neighbours: from ranks within ranges of the value, so no task holds all values; the driver gets at most two
+    values a share. Empty without rows."""
+    own = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__c"))
+    n = own.agg(F.sum("__c").alias("n")).first()["n"]
+    if not n:
+        return []
+    wanted = {q: (math.floor(q * (n - 1)) + 1, math.ceil(q * (n - 1)) + 1) for q in shares}
+    # Equal values share a rank: the mean of the first and the last place they take.
+    places = ranked(df.where(F.col(value).isNotNull()).select(value), value).distinct().join(own, value)
+    half = (F.col("__c") - 1) / 2
+    holds = [(F.col("avg_rank") - half <= k) & (F.col("avg_rank") + half >= k) for k in {k for ks in wanted.values() for k in ks}]
+    found = places.where(functools.reduce(lambda x, y: x | y, holds)).select(F.col(value).cast("double"), F.col("avg_rank") - half, F.col("avg_rank") + half).collect()
+    at = lambda k: next(v for v, low, high in found if low <= k <= high)
+    return [at(low) + (q * (n - 1) - (low - 1)) * (at(high) - at(low)) for q, (low, high) in wanted.items()]
+
+
 def quantile_bins(df: DataFrame, value: str, edges: int = 4) -> Column:
-    """The number of the bin, from 1, that a value falls in: edges are exact percentiles, equal ones fall together."""
-    cuts = df.agg(F.percentile(value, F.array(*[F.lit(k / edges) for k in range(1, edges)])).alias("q")).first()["q"] or []
+    """The number of the bin, from 1, that a value falls in: edges are exact quantiles, equal ones fall together. Their job runs when this is called."""
     out = F.lit(1)
-    for q in sorted(set(cuts)):
+    for q in sorted(set(quantiles(df, value, [k / edges for k in range(1, edges)]))):
         out = out + (F.col(value) > F.lit(q)).cast("int")
     return out
 
 
 def stratified_sample(df: DataFrame, band: Column, order: Column, sizes: dict[str, int], key: str) -> DataFrame:
-    """The first so many rows of each band, by order, then key."""
+    """The first so many rows of each band, by order, then key. The bound on the place is a literal, so each task keeps only as many of its own rows
+    before they are shuffled."""
     place = F.row_number().over(Window.partitionBy("band").orderBy("__order", key))
     wanted = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("band"))
-    return df.withColumn("band", band).withColumn("__order", order).withColumn("place", place).where(F.col("place") <= wanted).drop("__order")
+    first = df.withColumn("band", band).withColumn("__order", order).withColumn("place", place).where(F.col("place") <= max(sizes.values()))
+    return first.where(F.col("place") <= wanted).drop("__order")
 
 
 def entropy(df: DataFrame, value: str, *by: str) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import kernels, positions
 from ..functions.leaves import number_leaf, text_leaf
 from ..functions.register import register
-from ..operators import consistency, information, nested, predict, prompts, schemas, verification
+from ..operators import consistency, information, nested, predict, prompts, references, schemas, verification
 from ..sources import flatten, replies
-from .queries import _SIM, _t, query, rounded
+from .queries import _SIM, _t, order_documents, query, rounded
 
 
 def conversation_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,3 +310,52 @@ def certificate_scores(spark: SparkSession, sf: str) -> DataFrame:
     x = _t(spark, sf, "nation").join(_t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     sim = kernels.char_similarity(F.col("n_name"), F.col("r_name"))
     return rounded(x.select("n_nationkey", nested.certificate_score(text_leaf(F.col("n_name")), text_leaf(F.col("r_name"))).alias("certificate"), nested.combined(F.lit(0.5), 1 - sim).alias("cost")), "certificate", "cost")
+
+
+_DAY_NAMES = "select user_id, strftime(ts, '%Y-%m-%d') as day, list(event_type order by event_id) as names from events group by 1, 2"
+
+
+def _day_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The names of each day of a user beside those of the next."""
+    g = _t(spark, sf, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("names"))
+    return g.withColumn("others", F.lead("names").over(Window.partitionBy("user_id").orderBy("day"))).where("others is not null")
+
+
+@query(f"with d as ({_DAY_NAMES}), p as (select user_id, day, names, lead(names) over (partition by user_id order by day) as others from d), q as (select * from p where others is not null), a as (select user_id, day, n, count(*) as c from (select user_id, day, unnest(names) as n from q) group by all), b as (select user_id, day, n, count(*) as c from (select user_id, day, unnest(others) as n from q) group by all), m as (select user_id, day, sum(least(a.c, b.c)) as k from a join b using (user_id, day, n) group by 1, 2) select user_id, day, coalesce(k, 0)::int as n_named, greatest(len(names), len(others))::int as n_places from q left join m using (user_id, day)")
+def calls_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    p = _day_pairs(spark, sf).select("user_id", "day", nested.aligned_order(F.col("names"), F.col("others")).alias("o"))
+    return p.select("user_id", "day", "o.n_named", F.size("o.order").alias("n_places"))
+
+
+@query(f"with d as (select user_id, day, array_to_string(list_transform(names, lambda x: case x when 'error' then 'r' else left(x, 1) end), '') as s from ({_DAY_NAMES})), p as (select user_id, day, s, lead(s) over (partition by user_id order by day) as o from d) select user_id, day, levenshtein(s, o)::double as cost from p where o is not null")
+def sequence_costs(spark: SparkSession, sf: str) -> DataFrame:
+    return _day_pairs(spark, sf).select("user_id", "day", nested.sequence_cost(F.col("names"), F.col("others")).alias("cost"))
+
+
+def _referenced(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's first order is the reference of the others."""
+    docs = order_documents(spark, sf)
+    first = docs.groupBy("prompt_id").agg(F.min_by("doc", "run_id").alias("doc"), F.min("run_id").alias("first"))
+    rest = docs.join(first.select("prompt_id", "first"), "prompt_id").where("run_id > first")
+    return references.against_reference(rest, first, "prompt_id")
+
+
+_REFERENCED = f"with o as (select o_custkey as p, o_orderkey as r, o_orderstatus as s, o_orderpriority as t, min(o_orderkey) over (partition by o_custkey) as f from orders), m as (select a.p, least(sqrt({_SIM.format(a='b.s', b='a.s')}), sqrt({_SIM.format(a='b.t', b='a.t')})) as m from o a join o b on a.p = b.p and a.f = b.r and a.r > a.f)"
+
+
+@query(f"{_REFERENCED} select p as prompt_id, count(*) as n, round(avg(m), 6) as mean, round(stddev_pop(m), 5) as std, round(min(m), 6) as least, round(median(m), 6) as median, round(max(m), 6) as greatest from m group by 1")
+def reference_report(spark: SparkSession, sf: str) -> DataFrame:
+    g = references.reference_report(_referenced(spark, sf), "min_readout", "prompt_id")
+    return rounded(g, "mean", "least", "median", "greatest").withColumn("std", F.round("std", 5))
+
+
+@query("with e as (select o_totalprice / 600000 as v, o_orderstatus = 'F' as u, unnest([0.5, 1.0, 2.0, 4.0])::double as e from orders) select e as exponent, round(pow(avg(case when u then pow(v, e) end) - avg(case when not u then pow(v, e) end), 2) / (var_pop(case when u then pow(v, e) end) + var_pop(case when not u then pow(v, e) end)), 8) as ratio from e group by 1")
+def fisher_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    x = _t(spark, sf, "orders").withColumn("v", F.col("o_totalprice") / 600000)
+    return references.fisher_ratios(x, "v", F.col("o_orderstatus") == "F", (0.5, 1.0, 2.0, 4.0)).withColumn("ratio", F.round("ratio", 8))
+
+
+@query("with v as (select o_orderpriority as t, o_custkey as i, avg(o_totalprice) as v from orders group by 1, 2), r as (select t, i, rank() over (partition by t order by v) + (count(*) over (partition by t, v) - 1) / 2.0 as r from v) select a.t as a, b.t as b, count(*) as n, round(corr(a.r, b.r), 6) as rho from r a join r b on a.i = b.i and a.t < b.t group by 1, 2")
+def ranking_stability(spark: SparkSession, sf: str) -> DataFrame:
+    v = _t(spark, sf, "orders").groupBy("o_orderpriority", "o_custkey").agg(F.avg("o_totalprice").alias("v"))
+    return rounded(references.ranking_stability(v, "o_orderpriority", "o_custkey", "v"), "rho")

@@ -72,11 +72,19 @@ def flatten_json(text: Column) -> Column:
 
 
 def is_valid(text: Column, strict: bool = True) -> Column:
+    """valid() of an output's text. Objects, numbers, booleans and texts are judged by expressions; only arrays, whose elements are judged in turn, and
+    what Python reads beyond JSON (NaN, repeated keys) are sent to Python."""
+    v = F.try_parse_json(text)
+    kind = F.schema_of_variant(v)
+    deep = kind.startswith("ARRAY") | (v.isNull() & text.rlike(r"^\s*([{\[]|-?(NaN|Infinity)\s*$)"))
+    blank = F.trim(F.regexp_replace(text, r"\s+", " ")) == ""
+    plain = F.when(text.isNull() | blank, False).when(v.isNull() | (kind == "STRING"), not strict).otherwise(~kind.isin("VOID", "OBJECT<>"))
+
     @F.pandas_udf("boolean")
     def checked(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: t is not None and valid(t, strict))
+        return s.map(lambda t: None if t is None else valid(t, strict))
 
-    return checked(text)
+    return F.coalesce(checked(F.when(deep, text)), plain)
 
 
 def is_truthy(text: Column) -> Column:

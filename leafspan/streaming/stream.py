@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,12 +15,22 @@ def score_batches(stream: DataFrame, score: Callable[[DataFrame], DataFrame], si
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: sink(score(df), n)).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; one of our own where that is unset, in local mode only."""
+    there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not there and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{there.rstrip('/')}/stream-{uuid.uuid4().hex}" if there else tempfile.mkdtemp(prefix="leafspan-stream-")
+
+
 def file_totals(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
-    """Counts and means by key of a Parquet stream, once all that is there has been read."""
+    """Counts and means by key of a Parquet stream, once all that is there has been read. Every batch replaces a Parquet table of the totals, so the
+    driver holds none of them and a batch that runs twice does no harm."""
     schema = spark.read.parquet(path).schema
-    name = f"totals_{uuid.uuid4().hex}"
     source = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", path.rsplit("/", 1)[1]).load(path.rsplit("/", 1)[0])
     totals = source.groupBy(key).agg(F.count("*").alias("n_events"), F.avg(value).alias("mean_value"))
-    q = totals.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    folder = shared_folder(spark)
+    put = lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/totals")
+    q = totals.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(totals.schema).parquet(f"{folder}/totals")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafspan.functions import positions
 from leafspan.functions.register import register
-from leafspan.operators import consistency, information, nested, predict, schemas, verification
+from leafspan.operators import consistency, information, nested, predict, references, schemas, stats, verification
 from leafspan.sources import flatten, replies
 
 
@@ -163,3 +163,38 @@ def test_registered(spark):
     register(spark)
     assert spark.sql("select char_sim('abc', 'abd') as s, numbers_close(1.0d, 1.0000000001d) as c, json_readable('{') as j").first().asDict() == {"s": 1 - 1 / 3, "c": True, "j": False}
     assert [r.path for r in spark.sql("select path from flatten_json('{\"a\": [1, {}]}') order by path").collect()] == ["$.a[0]", "$.a[1]"]
+
+
+def test_validity_is_that_of_the_plain_rule(spark):
+    texts = [None, "", "  \t", "null", "{}", "{ }", "[]", "[null]", "[{}]", "[0]", '["a"]', '["{\\"a\\": 1}"]', "0", "false", "1.5", '"hello"', '""', "hello", '{"a": null}', '{"a": 1, "a": 2}', "[1, NaN]", "NaN", "-Infinity", "{broken", "[[], [1]]", "1e400", "\n{}\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for strict in (True, False):
+        got = [r[0] for r in df.select(flatten.is_valid(F.col("t"), strict)).collect()]
+        want = [t is not None and flatten.valid(t, strict) for t in texts]
+        assert got == want, [x for x in zip(texts, got, want) if x[1] != x[2]]
+
+
+def test_quantiles(spark):
+    rng = random.Random(4)
+    for n in (1, 2, 7, 100):
+        values = sorted(float(rng.randint(0, 20)) for _ in range(n))
+        got = stats.quantiles(spark.createDataFrame([(v,) for v in values] + [(None,)], "v double"), "v", [0.25, 0.5, 0.9])
+        for q, g in zip((0.25, 0.5, 0.9), got):
+            at = q * (n - 1)
+            low, high = values[math.floor(at)], values[math.ceil(at)]
+            assert math.isclose(g, low + (at - math.floor(at)) * (high - low), abs_tol=1e-9)
+    assert stats.quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == []
+
+
+def test_alignment(spark):
+    d = docs(spark, ({"steps": [{"name": "a"}, {"name": "b"}, {"name": "x"}]}, {"steps": [{"name": "b"}, {"name": "a"}, {"name": "y"}, {"name": "z"}]}))
+    r = spark.range(1).select(nested.aligned_order(F.array(*map(F.lit, "abx")), F.array(*map(F.lit, "bayz"))).alias("o"), nested.aligned_order(F.array(*map(F.lit, "aab")), F.array(F.lit("a"))).alias("p")).first()
+    assert r.o.order == [1, 0, 2, 3] and r.o.n_named == 2 and r.p.order == [0, None, None]
+    moved = d.select(nested.reordered(F.col("x1"), "$.steps", F.array(*map(F.lit, r.o.order)))).first()[0]
+    assert {k: v.sval for k, v in moved.items()} == {"$.steps[0].name": "a", "$.steps[1].name": "b", "$.steps[2].name": "y", "$.steps[3].name": "z"}
+
+
+def test_patterns(spark):
+    rows = [(i, 0.95, 0.02) for i in range(10)] + [(10 + i, 0.5, 0.05) for i in range(10)] + [(20 + i, 0.75, 0.6) for i in range(10)]
+    got = references.patterns(spark.createDataFrame(rows, "i int, c double, s double"), ["c", "s"], "c", "s").collect()
+    assert {(r.i // 10, r.pattern) for r in got} == {(0, "stable"), (1, "unstable"), (2, "sensitive")}
