@@ -50,7 +50,7 @@ def with_scores(df: DataFrame, a: str, b: str, rules: FieldRules | None = None,
     names = lambda doc: F.array_distinct(F.filter(F.transform(F.map_entries(doc), lambda e: rules.bag_of(e["key"], e["value"])), lambda x: x.isNotNull()))
     own = own.withColumn("__in_a", names(F.col("__a"))).withColumn("__in_b", names(F.col("__b")))
     own = own.withColumn("__fields", F.transform(F.array_union("__in_a", "__in_b"), lambda bag: _bag(F.col("__a"), F.col("__b"), bag, F.col("__in_a"), F.col("__in_b"), rules, how)))
-    own = fenced(own).withColumn("__worst", assign.worst_matched(F.col("__fields")["costs"]))  # Spark does not call Python on what holds a lambda
+    own = fenced(own).withColumn("__worst", assign.worst_matched(F.to_json(F.col("__fields")["costs"])))  # Spark does not call Python on what holds a lambda
     plain = lambda doc: F.map_filter(doc, lambda k, v: rules.bag_of(k, v).isNull())
     each = F.zip_with("__fields", "__worst", lambda f, w: F.struct(f["bag"].alias("key"), _field(~f["in_a"], ~f["in_b"], f["a"], f["b"], F.when(f["fits"], 1 - w).otherwise(0.0)).alias("value")))
     scores = F.map_concat(F.map_zip_with(plain(F.col("__a")), plain(F.col("__b")), _scored(rules, how)), F.map_from_entries(each))
