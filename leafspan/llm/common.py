@@ -61,6 +61,8 @@ def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
 
 #: A key with more than one of so many rows is hot.
 HOT = 200
+#: Bytes of a table that may be broadcast after they have been counted.
+SMALL = 8 << 20
 
 
 def join_one(many: DataFrame, one: DataFrame, key: str, weight: str, total: int, how: str = "left") -> DataFrame:
