@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, jaccard, pseudonyms, quality_model, quality_rules, repair, secrets, simhash, suffix_dedup, token_counts
+from . import alignment, byte_bpe, chat, decontaminate, jaccard, pseudonyms, quality_model, quality_rules, repair, secrets, simhash, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, quality_rules.fit_rules(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(_table(spark, sf_dir, "documents"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audit(_table(spark, sf_dir, "conversations"))
 
@@ -70,7 +74,7 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_counts, op2_suffix_dedup, op3_secrets, op4_pseudonyms, op5_byte_bpe, op6_quality_model, op7_decontaminate, op8_chat_format, op9_jaccard, op10_quality_rules, op12_repair, op13_simhash]
+    own = [op1_token_counts, op2_suffix_dedup, op3_secrets, op4_pseudonyms, op5_byte_bpe, op6_quality_model, op7_decontaminate, op8_chat_format, op9_jaccard, op10_quality_rules, op11_alignment, op12_repair, op13_simhash]
     return {f.__name__: f for f in own}
 
 
