@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .pretokens import LETTERS, Splitter, mapped
+from .pretokens import LETTERS, PATTERN, Splitter, mapped
 from .token_counts import supported
 
-#: Documents and bytes of a chunk, units remembered by a worker, the longest remembered, links of a group that are spelt out.
-CHUNK_ROWS, CHUNK_BYTES, REMEMBERED, LONGEST, SPELT = 8192, 8 << 20, 120_000, 48, 1 << 16
+#: Documents and bytes of a chunk, units and pair names remembered by a worker, the longest remembered, links of a group that are spelt out.
+CHUNK_ROWS, CHUNK_BYTES, REMEMBERED, LONGEST, SPELT = 8192, 4 << 20, 150_000, 48, 1 << 16
 #: A pair is the first id times this plus the second.
 PAIR = 1 << 20
 #: Fixed value: white space, and what some libraries take for it.
 WHITE = "\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(rf"[ \n]+[^ \n]*(?:(?<=[{WHITE}])[ \n]+[^ \n]*)*").findall
+#: Whether a text has white space other than single spaces and new lines between words.
+UNEVEN = re.compile(rf"^[ \n]|[ \n]$|[{WHITE}][ \n]").search
+ENDS_WHITE = re.compile(rf"[{WHITE}]\Z").search
 
 
 class Tokens:
@@ -46,6 +50,7 @@ class Tokens:
         for token, i in vocabulary:
             self.first[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         self.model, self.pre = Tokenizer.from_str(first.decode()).model, Splitter()
+        self.ranked = _ranked(read["model"], self.first)
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=second)
         pieces = [self.processor.id_to_piece(i) for i in range(self.processor.get_piece_size())]
         self.second = [bytes([int(p[3:5], 16)]) if self.processor.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
@@ -58,62 +63,98 @@ class Tokens:
         self.by_unit = not any(re.search("[^▁]▁|\n", p) for p in plain) and "".join(pieces[i] for i in self.processor.encode(odd)).replace("<0x0A>", "\n").replace("▁", " ") == " " + odd
         self.first_lengths = np.array([len(t) for t in self.first], np.int64)
         self.second_lengths = np.array([len(t) for t in self.second], np.int64)
-        self.first_names, self.second_names = [str(i) for i in range(len(self.first))], [str(i) for i in range(len(self.second))]
         self.known: dict[str, tuple] = {}
 
-    def unit(self, unit: str) -> tuple:
-        """Ids of both, and whether the bytes are the unit's."""
-        a = tuple(t.id for p in self.pre(unit) for t in self.model.tokenize(mapped(p)))
-        if unit == " ":
-            b = [self.space]
-        elif unit[0] == " ":
-            b = self.processor.encode(unit[1:], num_threads=1)
-        else:  # the space that the library puts before it stands alone
-            b = self.processor.encode(unit, num_threads=1)[1:]
-        data = unit.encode()
-        same = b"".join(map(self.first.__getitem__, a)) == data and b"".join(map(self.second.__getitem__, b)) == data
-        return a, tuple(b), same
-
-    def __call__(self, text: str | None) -> tuple[list[int], list[int]]:
+    def first_ids(self, text: str) -> list[int]:
+        return self.ranked.encode_ordinary(text) if self.ranked else [t.id for p in self.pre(text) for t in self.model.tokenize(mapped(p))]
+
+    def second_ids(self, text: str) -> list[int]:
+        """Of a text with its space before it, which the library puts there; where it begins otherwise, that space stands alone and goes."""
+        if text == " ":
+            return [self.space]
+        return self.processor.encode(text[1:], num_threads=1) if text[0] == " " else self.processor.encode(text, num_threads=1)[1:]
+
+    def same(self, data: bytes, a, b) -> bool:
+        return b"".join(map(self.first.__getitem__, a)) == data == b"".join(map(self.second.__getitem__, b))
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids, none where the text is null or empty or its bytes do not come back."""
+        none = np.empty(0, np.int32), np.empty(0, np.int32)
         if not text:
-            return [], []
-        a: list[int] = []
-        b: list[int] = []
-        known = self.known
+            return none
         if not self.by_unit:
-            own = self.processor.encode(text, num_threads=1)
-            first = [t.id for p in self.pre(" " + text) for t in self.model.tokenize(mapped(p))]
-            data = b" " + text.encode()
-            return (first, own) if b"".join(map(self.first.__getitem__, first)) == data == b"".join(map(self.second.__getitem__, own)) else ([], [])
-        same = True
-        for unit in UNIT(" " + text):
-            found = known.get(unit)
-            if found is None:
-                found = self.unit(unit)
-                if len(unit) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[unit] = found
-            a += found[0]
-            b += found[1]
-            same &= found[2]
-        if not same:
-            data = b" " + text.encode()
-            if b"".join(map(self.first.__getitem__, a)) != data or b"".join(map(self.second.__getitem__, b)) != data:
-                return [], []
-        return a, b
-
-
-def diagonal(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int]]:
-    """Stretches (from a, to a, from b, to b) between common ends, in order: one-to-one runs, whose two lengths are equal and whose every token is a group,
-    and irregular groups. The last ends are equal."""
-    out = []
+            a, b = self.first_ids(" " + text), self.processor.encode(text, num_threads=1)
+            return (np.array(a, np.int32), np.array(b, np.int32)) if self.same(b" " + text.encode(), a, b) else none
+        if UNEVEN(text) or "\0" in text:
+            units = UNIT(" " + text)
+        else:
+            units = (" " + text.replace(" ", "\0 ").replace("\n", "\0\n")).split("\0")
+        try:
+            found = list(map(self.known.__getitem__, units))
+        except KeyError:
+            found = self.learn(units)
+        a, b, same = zip(*found)
+        a, b = (np.frombuffer(b"".join(x), np.int32) for x in (a, b))
+        return (a, b) if all(same) or self.same(b" " + text.encode(), a.tolist(), b.tolist()) else none
+
+    def learn(self, units: list[str]) -> list[tuple]:
+        """Of each unit the ids of both, as bytes, and whether they stand for the unit."""
+        new = list({u for u in units if u not in self.known})
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+            new = list(set(units))
+        # Units that end in a word may follow one another as in a text, so that they are coded together and cut again.
+        joined = [u for u in new if not ENDS_WHITE(u)]
+        if not self._together(joined):
+            joined = []
+        for u in set(new).difference(joined):
+            a, b = self.first_ids(u), self.second_ids(u)
+            self.known[u] = np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes(), self.same(u.encode(), a, b)
+        found = list(map(self.known.__getitem__, units))
+        for u in new:
+            if len(u) > LONGEST:
+                del self.known[u]
+        return found
+
+    def _together(self, units: list[str]) -> bool:
+        """Code some units as one text, if its bytes come back."""
+        if not units:
+            return True
+        text = "".join(units)
+        a, b = self.first_ids(text), self.second_ids(text)
+        if not self.same(text.encode(), a, b):
+            return False
+        ends = np.cumsum([len(u.encode()) for u in units])
+        own = []
+        for ids, lengths in ((a, self.first_lengths), (b, self.second_lengths)):
+            ids = np.array(ids, np.int32)
+            cuts = (4 * (np.searchsorted(lengths[ids].cumsum(), ends) + 1)).tolist()
+            data = ids.tobytes()
+            own.append([data[x:y] for x, y in zip([0, *cuts], cuts)])
+        self.known.update(zip(units, zip(*own, repeat(True))))
+        return True
+
+
+def _ranked(model: dict, tokens: list[bytes]):
+    """A faster encoder of the same merges, where ids are the ranks that it goes by; else None."""
+    import tiktoken
+
+    made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    by_id = {i: t for t, i in model["vocab"].items()}
+    if any(by_id.get(256 + k) != t for k, t in enumerate(made)) or any(len(t) != 1 for t in tokens[:256]):
+        return None
+    return tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens[: 256 + len(made)])}, special_tokens={})
+
+
+def diagonal(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
+    """For each group the numbers of tokens up to its end, in both; the last ends are equal."""
+    to_a: list[int] = []
+    to_b: list[int] = []
     i = j = 0
     n = len(ends_a)
     while i < n:
         if ends_a[i] == ends_b[j]:
-            k, step = 1, 1
+            k, step = 1, 4
             while i + k < n and ends_a[i + k : i + k + step] == ends_b[j + k : j + k + step]:
                 k += step
                 step *= 2
@@ -122,70 +163,88 @@ def diagonal(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int,
                 step //= 2
                 if i + k + step <= n and ends_a[i + k : i + k + step] == ends_b[j + k : j + k + step]:
                     k += step
-            out.append((i, i + k, j, j + k))
+            to_a.extend(range(i + 1, i + k + 1))
+            to_b.extend(range(j + 1, j + k + 1))
             i += k
             j += k
         else:
-            a, b = i, j
-            x, y = ends_a[a], ends_b[b]
+            x, y = ends_a[i], ends_b[j]
             while x != y:
                 if x < y:
-                    a += 1
-                    x = ends_a[a]
+                    i += 1
+                    x = ends_a[i]
                 else:
-                    b += 1
-                    y = ends_b[b]
-            out.append((i, a + 1, j, b + 1))
-            i, j = a + 1, b + 1
-    return out
-
-
-def group_ends(stretches: list[tuple[int, int, int, int]], ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """For each group the numbers of tokens up to its end, in both."""
-    to_a: list[int] = []
-    to_b: list[int] = []
-    for i, k, j, m in stretches:
-        if ends_a[i] == ends_b[j]:
-            to_a.extend(range(i + 1, k + 1))
-            to_b.extend(range(j + 1, m + 1))
-        else:
-            to_a.append(k)
-            to_b.append(m)
-    return np.array(to_a, np.int64), np.array(to_b, np.int64)
-
-
-def pairs(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct linked pairs, sorted, and how many links each has."""
-    n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
-    size = n_a * n_b
-    small = np.flatnonzero(size <= SPELT)
-    n = size[small]
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    width = np.repeat(n_b[small], n)
-    keys = [a[np.repeat((to_a - n_a)[small], n) + within // width] * PAIR + b[np.repeat((to_b - n_b)[small], n) + within % width]]
-    many = [np.ones(len(keys[0]), np.int64)]
-    for g in np.flatnonzero(size > SPELT).tolist():  # a long group's distinct ids stand for it
-        (x, p), (y, q) = (np.unique(ids[to[g] - k[g] : to[g]], return_counts=True) for ids, to, k in ((a, to_a, n_a), (b, to_b, n_b)))
-        keys.append((x[:, None] * PAIR + y).reshape(-1))
-        many.append((p[:, None] * q).reshape(-1))
-    if len(keys) == 1:
-        return np.unique(keys[0], return_counts=True)
-    found, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return found, np.bincount(at, np.concatenate(many)).astype(np.int64)
-
-
-def written(tokens: Tokens, a: list[int], b: list[int], stretches: list[tuple[int, int, int, int]]) -> str:
-    """Groups as `a1,a2|b1;a3|b2,b3`."""
-    own, other = list(map(tokens.first_names.__getitem__, a)), list(map(tokens.second_names.__getitem__, b))
-    out = []
-    for i, k, j, m in stretches:
-        if k - i == 1 and m - j == 1:
-            out.append(own[i] + "|" + other[j])
-        elif k - i == m - j and tokens.first_lengths[a[i]] == tokens.second_lengths[b[j]]:
-            out.extend(map("|".join, zip(own[i:k], other[j:m])))
-        else:
-            out.append(",".join(own[i:k]) + "|" + ",".join(other[j:m]))
-    return ";".join(out)
+                    j += 1
+                    y = ends_b[j]
+            i += 1
+            j += 1
+            to_a.append(i)
+            to_b.append(j)
+    return to_a, to_b
+
+
+class Names(dict):
+    """Pair → `a|b`."""
+
+    def __missing__(self, pair: int) -> str:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[pair] = name = f"{pair // PAIR}|{pair % PAIR}"
+        return name
+
+
+class Groups:
+    """The groups of several texts in a row, in arrays."""
+
+    def __init__(self, tokens: Tokens, texts: list[str | None]) -> None:
+        coded = [tokens(t) for t in texts]
+        own, other, to_a, to_b, at_a, at_b = [], [], [], [], 0, 0
+        self.n_a, self.n_b, self.n_groups = [], [], []
+        for a, b in coded:
+            ends = diagonal(tokens.first_lengths[a].cumsum().tolist(), tokens.second_lengths[b].cumsum().tolist())
+            for n, x in ((self.n_a, a), (self.n_b, b), (self.n_groups, ends[0])):
+                n.append(len(x))
+            to_a.append(np.array(ends[0], np.int64) + at_a)
+            to_b.append(np.array(ends[1], np.int64) + at_b)
+            at_a, at_b = at_a + len(a), at_b + len(b)
+            own.append(a)
+            other.append(b)
+        empty = [np.empty(0, np.int64)]
+        self.a, self.b, self.to_a, self.to_b = (np.concatenate(x + empty).astype(np.int64) for x in (own, other, to_a, to_b))
+        self.size_a, self.size_b = np.diff(self.to_a, prepend=0), np.diff(self.to_b, prepend=0)
+        self.text_of = np.repeat(np.arange(len(texts)), self.n_groups)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct linked pairs, sorted; then for each text's distinct pairs, text after text: the text, the pair's place, and how many links it has."""
+        size = self.size_a * self.size_b
+        small = np.flatnonzero(size <= SPELT)
+        n = size[small]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        width = np.repeat(self.size_b[small], n)
+        keys = [self.a[np.repeat((self.to_a - self.size_a)[small], n) + within // width] * PAIR + self.b[np.repeat((self.to_b - self.size_b)[small], n) + within % width]]
+        texts, many = [np.repeat(self.text_of[small], n)], [np.ones(len(within), np.int64)]
+        for g in np.flatnonzero(size > SPELT).tolist():  # a long group's distinct ids stand for it
+            x, p = np.unique(self.a[self.to_a[g] - self.size_a[g] : self.to_a[g]], return_counts=True)
+            y, q = np.unique(self.b[self.to_b[g] - self.size_b[g] : self.to_b[g]], return_counts=True)
+            keys.append((x[:, None] * PAIR + y).reshape(-1))
+            many.append((p[:, None] * q).reshape(-1))
+            texts.append(np.full(len(keys[-1]), self.text_of[g]))
+        listed, place = np.unique(np.concatenate(keys), return_inverse=True)
+        both, at = np.unique(np.concatenate(texts) * max(1, len(listed)) + place, return_inverse=True)
+        return listed, both // max(1, len(listed)), both % max(1, len(listed)), np.bincount(at, np.concatenate(many), minlength=len(both)).astype(np.int64)
+
+    def written(self, names: Names) -> list[str]:
+        """Each text's groups as `a1,a2|b1;a3|b2,b3`."""
+        single = (self.size_a == 1) & (self.size_b == 1)
+        keys = np.where(single, self.a[self.to_a - 1] * PAIR + self.b[self.to_b - 1], 0)
+        out = list(map(names.__getitem__, keys.tolist()))
+        wide = np.flatnonzero(~single)
+        bounds = [x[wide].tolist() for x in (self.to_a - self.size_a, self.to_a, self.to_b - self.size_b, self.to_b)]
+        own, other = self.a.tolist(), self.b.tolist()
+        for g, i, k, j, m in zip(wide.tolist(), *bounds):
+            out[g] = f"{own[i] if k - i == 1 else ','.join(map(str, own[i:k]))}|{other[j] if m - j == 1 else ','.join(map(str, other[j:m]))}"
+        ends = np.cumsum(self.n_groups).tolist()
+        return [";".join(out[x:y]) for x, y in zip([0, *ends], ends)]
 
 
 def _sent(docs: DataFrame, first_path: str | None, second_path: str | None):
@@ -213,10 +272,8 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first
         for batch in batches:
             for part in common.pieces(batch):
                 rows = []
-                for text in part.column(1).to_pylist():
-                    a, b = tokens(text)
-                    ends = [lengths[np.array(x, np.int64)].cumsum().tolist() for x, lengths in ((a, tokens.first_lengths), (b, tokens.second_lengths))]
-                    rows.append((a, b, *group_ends(diagonal(*ends), *ends)))
+                for a, b in map(tokens, part.column(1).to_pylist()):
+                    rows.append((a, b, *diagonal(tokens.first_lengths[a].cumsum().tolist(), tokens.second_lengths[b].cumsum().tolist())))
                 if rows:
                     yield pa.record_batch([part.column(0), *[pa.array(c, pa.list_(pa.int32())) for c in zip(*rows)]], names=[id_col, "first_ids", "second_ids", "first_ends", "second_ends"])
 
@@ -232,31 +289,22 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, sent) -> DataFrame:
     def scanned(batches):
         from pyspark import TaskContext
 
-        tokens = _tokens(sent)
+        tokens, names = _tokens(sent), Names()
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in common.pieces(batch, CHUNK_BYTES):
                 for at in range(0, part.num_rows, CHUNK_ROWS):
                     piece = part.slice(at, CHUNK_ROWS)
-                    found, figures = [], []
-                    for text in piece.column(1).to_pylist():
-                        a, b = tokens(text)
-                        if not a:
-                            figures.append((0, 0, 0, 0, "", 0))
-                            continue
-                        own, other = np.array(a, np.int64), np.array(b, np.int64)
-                        ends = tokens.first_lengths[own].cumsum().tolist(), tokens.second_lengths[other].cumsum().tolist()
-                        stretches = diagonal(*ends)
-                        keys, many = pairs(own, other, *(to := group_ends(stretches, *ends)))
-                        found.append((keys, many))
-                        figures.append((len(a), len(b), len(to[0]), int(many.sum()), common.hexdigest(written(tokens, a, b, stretches).encode()), len(keys)))
-                    listed, at_list, n_docs = np.unique(np.concatenate([k for k, _ in found]) if found else np.empty(0, np.int64), return_inverse=True, return_counts=True)
-                    steps = np.diff(at_list.astype(np.int32), prepend=np.int32(0))
-                    many = np.concatenate([m for _, m in found]) if found else np.empty(0, np.int64)
-                    names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_pairs"]
-                    columns = [pa.array(c, pa.string() if n == "groups_sha256" else pa.int64()) for n, c in zip(names, zip(*figures))]
-                    rows = pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), pa.StructArray.from_arrays([piece.column(0), *columns], names=["id", *names]))
-                    yield pa.record_batch([pa.array([chunk], pa.int64()), rows, *[pa.array([x.tobytes()], pa.binary()) for x in (steps, many, listed, n_docs.astype(np.int64))]], names=["chunk", "rows", "refs", "many", "pairs", "docs"])
+                    groups = Groups(tokens, piece.column(1).to_pylist())
+                    listed, text, place, many = groups.pairs()
+                    steps = np.diff(place.astype(np.int32), prepend=np.int32(0))
+                    n_links = np.bincount(text, many, minlength=piece.num_rows).astype(np.int64)
+                    n_pairs = np.bincount(text, minlength=piece.num_rows)
+                    shas = [common.hexdigest(w.encode()) if w else "" for w in groups.written(names)]
+                    figures = {"id": piece.column(0), **{n: pa.array(x, pa.int64()) for n, x in (("n_a", groups.n_a), ("n_b", groups.n_b), ("n_groups", groups.n_groups), ("n_links", n_links))}, "groups_sha256": pa.array(shas, pa.string()), "n_pairs": pa.array(n_pairs, pa.int64())}
+                    rows = pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), pa.StructArray.from_arrays([*figures.values()], names=[*figures]))
+                    n_docs = np.bincount(place, minlength=len(listed)).astype(np.int64)
+                    yield pa.record_batch([pa.array([chunk], pa.int64()), rows, *[pa.array([x.tobytes()], pa.binary()) for x in (steps, many, listed, n_docs)]], names=["chunk", "rows", "refs", "many", "pairs", "docs"])
                     chunk += 1
 
     row = f"struct<id: {kind}, n_a: bigint, n_b: bigint, n_groups: bigint, n_links: bigint, groups_sha256: string, n_pairs: bigint>"
