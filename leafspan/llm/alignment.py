@@ -24,7 +24,7 @@ from .pretokens import LETTERS, PATTERN, Splitter, mapped
 from .token_counts import supported
 
 #: Documents and bytes of a chunk, units and pair names remembered by a worker, the longest remembered, links of a group that are spelt out.
-CHUNK_ROWS, CHUNK_BYTES, REMEMBERED, LONGEST, SPELT = 8192, 4 << 20, 150_000, 48, 1 << 16
+CHUNK_ROWS, CHUNK_BYTES, REMEMBERED, LONGEST, SPELT = 8192, 4 << 20, 300_000, 48, 1 << 16
 #: A pair is the first id times this plus the second.
 PAIR = 1 << 20
 #: Fixed value: white space, and what some libraries take for it.
@@ -32,7 +32,7 @@ WHITE = "\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(rf"[ \n]+[^ \n]*(?:(?<=[{WHITE}])[ \n]+[^ \n]*)*").findall
 #: Whether a text has white space other than single spaces and new lines between words.
 UNEVEN = re.compile(rf"^[ \n]|[ \n]$|[{WHITE}][ \n]").search
-ENDS_WHITE = re.compile(rf"[{WHITE}]\Z").search
+IS_WHITE = frozenset(c for c in map(chr, range(0x3001)) if re.fullmatch(f"[{WHITE}]", c))
 
 
 class Tokens:
@@ -104,7 +104,7 @@ class Tokens:
             self.known.clear()
             new = list(set(units))
         # Units that end in a word may follow one another as in a text, so that they are coded together and cut again.
-        joined = [u for u in new if not ENDS_WHITE(u)]
+        joined = [u for u in new if u[-1] not in IS_WHITE]
         if not self._together(joined):
             joined = []
         for u in set(new).difference(joined):
