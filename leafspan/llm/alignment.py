@@ -1,9 +1,10 @@
 """Alignment of two tokenizers' tokens by diagonal run skipping.
 
-1. Both tokenizers cut a text where a space or new line follows other than white space (proven on the vocabulary, else the text is one unit); units'
-   tokens are remembered in each worker. Tokens' byte lengths give two arrays of ends.
+1. Both tokenizers cut a text where a space or new line follows other than white space (proven on the vocabulary, else the text is one unit). What is
+   new among the units of a text is coded as one text by both; tokens' byte lengths give two arrays of ends.
 2. While both arrays go on equally at the current shift of indices, probes of doubling length jump the one-to-one stretch, and halving ones find its
-   end. Where they differ, the group is walked to the next common end, which sets the shift anew.
+   end. Where they differ, the group is walked to the next common end, which sets the shift anew. Units' groups are remembered in each worker, as
+   no group crosses the end of a unit.
 3. Each group links its tokens. A chunk of documents lists its distinct pairs of ids with the number of documents that have each; sums over chunks are the
    corpus's counts. They come back to the chunks' pairs, so a pair that all documents have is one row for each chunk.
 """
@@ -12,7 +13,6 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,9 @@ from . import common
 from .pretokens import LETTERS, PATTERN, Splitter, mapped
 from .token_counts import supported
 
-#: Documents and bytes of a chunk, units and pair names remembered by a worker, the longest remembered, links of a group that are spelt out.
-CHUNK_ROWS, CHUNK_BYTES, REMEMBERED, LONGEST, SPELT = 8192, 4 << 20, 300_000, 48, 1 << 16
+#: Documents and bytes of a chunk, units (and ten times as many pairs) remembered by a worker, the longest remembered (others are rare), links of a group that
+#: are spelt out, and characters of new units that are coded together.
+CHUNK_ROWS, CHUNK_BYTES, REMEMBERED, LONGEST, SPELT, TOGETHER = 8192, 4 << 20, 400_000, 10, 1 << 16, 1 << 15
 #: A pair is the first id times this plus the second.
 PAIR = 1 << 20
 #: Fixed value: white space, and what some libraries take for it.
@@ -63,7 +64,13 @@ class Tokens:
         self.by_unit = not any(re.search("[^▁]▁|\n", p) for p in plain) and "".join(pieces[i] for i in self.processor.encode(odd)).replace("<0x0A>", "\n").replace("▁", " ") == " " + odd
         self.first_lengths = np.array([len(t) for t in self.first], np.int64)
         self.second_lengths = np.array([len(t) for t in self.second], np.int64)
-        self.known: dict[str, tuple] = {}
+        self.names = [list(map(str, range(len(x)))) for x in (self.first, self.second)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, tuple | None] = {}
+        self.numbers: dict[int, int] = {}
+        self.pairs: list[int] = []
 
     def first_ids(self, text: str) -> list[int]:
         return self.ranked.encode_ordinary(text) if self.ranked else [t.id for p in self.pre(text) for t in self.model.tokenize(mapped(p))]
@@ -77,62 +84,106 @@ class Tokens:
     def same(self, data: bytes, a, b) -> bool:
         return b"".join(map(self.first.__getitem__, a)) == data == b"".join(map(self.second.__getitem__, b))
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids, none where the text is null or empty or its bytes do not come back."""
-        none = np.empty(0, np.int32), np.empty(0, np.int32)
-        if not text:
-            return none
-        if not self.by_unit:
+    def ends(self, a, b) -> tuple[np.ndarray, np.ndarray]:
+        return self.first_lengths[a].cumsum(), self.second_lengths[b].cumsum()
+
+    def whole(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of both, none where the text is null or empty or its bytes do not come back."""
+        if text:
             a, b = self.first_ids(" " + text), self.processor.encode(text, num_threads=1)
-            return (np.array(a, np.int32), np.array(b, np.int32)) if self.same(b" " + text.encode(), a, b) else none
+            if self.same(b" " + text.encode(), a, b):
+                return np.array(a, np.int64), np.array(b, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def units(self, text: str | None) -> list[str]:
+        if not text or not self.by_unit:
+            return []
         if UNEVEN(text) or "\0" in text:
-            units = UNIT(" " + text)
-        else:
-            units = (" " + text.replace(" ", "\0 ").replace("\n", "\0\n")).split("\0")
-        try:
-            found = list(map(self.known.__getitem__, units))
-        except KeyError:
-            found = self.learn(units)
-        a, b, same = zip(*found)
-        a, b = (np.frombuffer(b"".join(x), np.int32) for x in (a, b))
-        return (a, b) if all(same) or self.same(b" " + text.encode(), a.tolist(), b.tolist()) else none
-
-    def learn(self, units: list[str]) -> list[tuple]:
-        """Of each unit the ids of both, as bytes, and whether they stand for the unit."""
-        new = list({u for u in units if u not in self.known})
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-            new = list(set(units))
-        # Units that end in a word may follow one another as in a text, so that they are coded together and cut again.
-        joined = [u for u in new if u[-1] not in IS_WHITE]
-        if not self._together(joined):
-            joined = []
-        for u in set(new).difference(joined):
-            a, b = self.first_ids(u), self.second_ids(u)
-            self.known[u] = np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes(), self.same(u.encode(), a, b)
-        found = list(map(self.known.__getitem__, units))
+            return UNIT(" " + text)
+        return (" " + text.replace(" ", "\0 ").replace("\n", "\0\n")).split("\0")
+
+    def entries(self, texts: list[str | None]) -> list[list[tuple]]:
+        """What is remembered of each text's units: their groups written out, the numbers of their pairs (int32, a link each), counts, and long groups'
+        pairs. Numbers hold until the next call, as what is remembered is forgotten only between calls."""
+        if len(self.known) >= REMEMBERED or len(self.pairs) >= 10 * REMEMBERED:
+            self.forget()
+        split = list(map(self.units, texts))
+        new = {u for own in split for u in own if u not in self.known}
+        together, size = [], 0
+        for u in new:
+            together.append(u)
+            size += len(u)
+            if size >= TOGETHER:
+                self.learn(together)
+                together, size = [], 0
+        self.learn(together)
+        out = []
+        for text, own in zip(texts, split):
+            found = list(map(self.known.__getitem__, own))
+            if text and (not found or None in found):
+                a, b = self.whole(text)
+                found = self.made([" " + text], a, b) if len(a) else []
+            out.append(found)
         for u in new:
             if len(u) > LONGEST:
                 del self.known[u]
-        return found
-
-    def _together(self, units: list[str]) -> bool:
-        """Code some units as one text, if its bytes come back."""
-        if not units:
-            return True
-        text = "".join(units)
-        a, b = self.first_ids(text), self.second_ids(text)
-        if not self.same(text.encode(), a, b):
-            return False
-        ends = np.cumsum([len(u.encode()) for u in units])
-        own = []
-        for ids, lengths in ((a, self.first_lengths), (b, self.second_lengths)):
-            ids = np.array(ids, np.int32)
-            cuts = (4 * (np.searchsorted(lengths[ids].cumsum(), ends) + 1)).tolist()
-            data = ids.tobytes()
-            own.append([data[x:y] for x, y in zip([0, *cuts], cuts)])
-        self.known.update(zip(units, zip(*own, repeat(True))))
-        return True
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        """Remember units, None where its bytes do not come back. Those that end in a word may follow one another as in a text, so that they are coded
+        together and cut again."""
+        joined = [u for u in new if u[-1] not in IS_WHITE]
+        rest = set(new).difference(joined)
+        text = "".join(joined)
+        if joined:
+            a, b = self.first_ids(text), self.second_ids(text)
+            if self.same(text.encode(), a, b):
+                self.known.update(zip(joined, self.made(joined, np.array(a, np.int64), np.array(b, np.int64))))
+            else:
+                rest = new
+        for u in rest:
+            a, b = self.first_ids(u), self.second_ids(u)
+            self.known[u] = self.made([u], np.array(a, np.int64), np.array(b, np.int64))[0] if self.same(u.encode(), a, b) else None
+
+    def numbered(self, keys: np.ndarray) -> np.ndarray:
+        """Pairs as numbers in order of first sight."""
+        listed, at = np.unique(keys, return_inverse=True)
+        numbers = self.numbers
+        for k in listed.tolist():
+            if k not in numbers:
+                numbers[k] = len(self.pairs)
+                self.pairs.append(k)
+        return np.array([numbers[k] for k in listed.tolist()], np.int32)[at]
+
+    def made(self, units: list[str], a: np.ndarray, b: np.ndarray) -> list[tuple]:
+        """Entries of units that follow one another, from the ids of all."""
+        ends = self.ends(a, b)
+        to_a, to_b = (np.array(x, np.int64) for x in diagonal(ends[0].tolist(), ends[1].tolist()))
+        size_a, size_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        n = size_a * size_b
+        long = np.flatnonzero(n > SPELT).tolist()  # its distinct ids stand for it
+        n[long] = 0
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        width = np.repeat(size_b, n)
+        numbers = self.numbered(a[np.repeat(to_a - size_a, n) + within // width] * PAIR + b[np.repeat(to_b - size_b, n) + within % width]).tobytes()
+        own, other = (list(map(names.__getitem__, x.tolist())) for names, x in zip(self.names, (a, b)))
+        bounds = [x.tolist() for x in (to_a - size_a, to_a, to_b - size_b, to_b)]
+        written = [f"{own[i] if k - i == 1 else ','.join(own[i:k])}|{other[j] if m - j == 1 else ','.join(other[j:m])}" for i, k, j, m in zip(*bounds)]
+        cuts = np.searchsorted(ends[0][to_a - 1], np.cumsum([len(u.encode()) for u in units])) + 1
+        links = np.concatenate(([0], np.cumsum(n)))[cuts].tolist()
+        counts = zip(to_a[cuts - 1].tolist(), to_b[cuts - 1].tolist(), cuts.tolist())
+        out, last, link = [], (0, 0, 0), 0
+        for now, k in zip(counts, links):
+            one = ";".join(written[last[2] : now[2]])
+            # Counts side by side in one number, so that they are added at once.
+            out.append((one, numbers[4 * link : 4 * k], (now[0] - last[0]) | (now[1] - last[1]) << 40 | (now[2] - last[2]) << 80, None))
+            last, link = now, k
+        for g in long:
+            u = int(np.searchsorted(cuts, g, "right"))
+            (x, p), (y, q) = (np.unique(ids[to[g] - k[g] : to[g]], return_counts=True) for ids, to, k in ((a, to_a, size_a), (b, to_b, size_b)))
+            more = self.numbered((x[:, None] * PAIR + y).reshape(-1)), (p[:, None] * q).reshape(-1)
+            out[u] = (*out[u][:3], [*(out[u][3] or []), more])
+        return out
 
 
 def _ranked(model: dict, tokens: list[bytes]):
@@ -183,68 +234,25 @@ def diagonal(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]
     return to_a, to_b
 
 
-class Names(dict):
-    """Pair → `a|b`."""
-
-    def __missing__(self, pair: int) -> str:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[pair] = name = f"{pair // PAIR}|{pair % PAIR}"
-        return name
-
-
-class Groups:
-    """The groups of several texts in a row, in arrays."""
-
-    def __init__(self, tokens: Tokens, texts: list[str | None]) -> None:
-        coded = [tokens(t) for t in texts]
-        own, other, to_a, to_b, at_a, at_b = [], [], [], [], 0, 0
-        self.n_a, self.n_b, self.n_groups = [], [], []
-        for a, b in coded:
-            ends = diagonal(tokens.first_lengths[a].cumsum().tolist(), tokens.second_lengths[b].cumsum().tolist())
-            for n, x in ((self.n_a, a), (self.n_b, b), (self.n_groups, ends[0])):
-                n.append(len(x))
-            to_a.append(np.array(ends[0], np.int64) + at_a)
-            to_b.append(np.array(ends[1], np.int64) + at_b)
-            at_a, at_b = at_a + len(a), at_b + len(b)
-            own.append(a)
-            other.append(b)
-        empty = [np.empty(0, np.int64)]
-        self.a, self.b, self.to_a, self.to_b = (np.concatenate(x + empty).astype(np.int64) for x in (own, other, to_a, to_b))
-        self.size_a, self.size_b = np.diff(self.to_a, prepend=0), np.diff(self.to_b, prepend=0)
-        self.text_of = np.repeat(np.arange(len(texts)), self.n_groups)
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct linked pairs, sorted; then for each text's distinct pairs, text after text: the text, the pair's place, and how many links it has."""
-        size = self.size_a * self.size_b
-        small = np.flatnonzero(size <= SPELT)
-        n = size[small]
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        width = np.repeat(self.size_b[small], n)
-        keys = [self.a[np.repeat((self.to_a - self.size_a)[small], n) + within // width] * PAIR + self.b[np.repeat((self.to_b - self.size_b)[small], n) + within % width]]
-        texts, many = [np.repeat(self.text_of[small], n)], [np.ones(len(within), np.int64)]
-        for g in np.flatnonzero(size > SPELT).tolist():  # a long group's distinct ids stand for it
-            x, p = np.unique(self.a[self.to_a[g] - self.size_a[g] : self.to_a[g]], return_counts=True)
-            y, q = np.unique(self.b[self.to_b[g] - self.size_b[g] : self.to_b[g]], return_counts=True)
-            keys.append((x[:, None] * PAIR + y).reshape(-1))
-            many.append((p[:, None] * q).reshape(-1))
-            texts.append(np.full(len(keys[-1]), self.text_of[g]))
-        listed, place = np.unique(np.concatenate(keys), return_inverse=True)
-        both, at = np.unique(np.concatenate(texts) * max(1, len(listed)) + place, return_inverse=True)
-        return listed, both // max(1, len(listed)), both % max(1, len(listed)), np.bincount(at, np.concatenate(many), minlength=len(both)).astype(np.int64)
-
-    def written(self, names: Names) -> list[str]:
-        """Each text's groups as `a1,a2|b1;a3|b2,b3`."""
-        single = (self.size_a == 1) & (self.size_b == 1)
-        keys = np.where(single, self.a[self.to_a - 1] * PAIR + self.b[self.to_b - 1], 0)
-        out = list(map(names.__getitem__, keys.tolist()))
-        wide = np.flatnonzero(~single)
-        bounds = [x[wide].tolist() for x in (self.to_a - self.size_a, self.to_a, self.to_b - self.size_b, self.to_b)]
-        own, other = self.a.tolist(), self.b.tolist()
-        for g, i, k, j, m in zip(wide.tolist(), *bounds):
-            out[g] = f"{own[i] if k - i == 1 else ','.join(map(str, own[i:k]))}|{other[j] if m - j == 1 else ','.join(map(str, other[j:m]))}"
-        ends = np.cumsum(self.n_groups).tolist()
-        return [";".join(out[x:y]) for x, y in zip([0, *ends], ends)]
+def text_pairs(entries: list[list[tuple]], n_pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text's distinct pairs, text after text: the text, the pair's number, and how many links it has."""
+    joined = [b"".join([e[1] for e in own]) for own in entries]
+    numbers = [np.frombuffer(b"".join(joined), np.int32).astype(np.int64)]
+    texts = [np.repeat(np.arange(len(joined)), [len(x) // 4 for x in joined])]
+    many = [np.ones(len(numbers[0]), np.int64)]
+    for text, own in enumerate(entries):
+        for e in own:
+            for number, n in e[3] or ():
+                numbers.append(number.astype(np.int64))
+                many.append(n)
+                texts.append(np.full(len(number), text))
+    codes = np.concatenate(texts) * max(1, n_pairs) + np.concatenate(numbers)
+    if len(many) == 1:
+        both, n = np.unique(codes, return_counts=True)
+    else:
+        both, at = np.unique(codes, return_inverse=True)
+        n = np.bincount(at, np.concatenate(many))
+    return both // max(1, n_pairs), both % max(1, n_pairs), n.astype(np.int64)
 
 
 def _sent(docs: DataFrame, first_path: str | None, second_path: str | None):
@@ -272,8 +280,8 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first
         for batch in batches:
             for part in common.pieces(batch):
                 rows = []
-                for a, b in map(tokens, part.column(1).to_pylist()):
-                    rows.append((a, b, *diagonal(tokens.first_lengths[a].cumsum().tolist(), tokens.second_lengths[b].cumsum().tolist())))
+                for a, b in map(tokens.whole, part.column(1).to_pylist()):
+                    rows.append((a, b, *diagonal(*[x.tolist() for x in tokens.ends(a, b)])))
                 if rows:
                     yield pa.record_batch([part.column(0), *[pa.array(c, pa.list_(pa.int32())) for c in zip(*rows)]], names=[id_col, "first_ids", "second_ids", "first_ends", "second_ends"])
 
@@ -289,19 +297,30 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, sent) -> DataFrame:
     def scanned(batches):
         from pyspark import TaskContext
 
-        tokens, names = _tokens(sent), Names()
+        tokens, low = _tokens(sent), (1 << 40) - 1
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in common.pieces(batch, CHUNK_BYTES):
                 for at in range(0, part.num_rows, CHUNK_ROWS):
                     piece = part.slice(at, CHUNK_ROWS)
-                    groups = Groups(tokens, piece.column(1).to_pylist())
-                    listed, text, place, many = groups.pairs()
+                    entries = tokens.entries(piece.column(1).to_pylist())
+                    text, number, many = text_pairs(entries, len(tokens.pairs))
+                    # Numbers hold in this worker only: the chunk's pairs are listed in order, and its texts refer to that list.
+                    used = np.unique(number)
+                    listed = np.array(tokens.pairs, np.int64)[used] if len(used) else np.empty(0, np.int64)
+                    order = np.argsort(listed)
+                    listed = listed[order]
+                    rank = np.empty(len(tokens.pairs), np.int64)
+                    rank[used[order]] = np.arange(len(used))
+                    place = rank[number]
+                    again = np.lexsort((place, text))
+                    text, place, many = text[again], place[again], many[again]
                     steps = np.diff(place.astype(np.int32), prepend=np.int32(0))
+                    counts = [sum([e[2] for e in own]) for own in entries]
                     n_links = np.bincount(text, many, minlength=piece.num_rows).astype(np.int64)
                     n_pairs = np.bincount(text, minlength=piece.num_rows)
-                    shas = [common.hexdigest(w.encode()) if w else "" for w in groups.written(names)]
-                    figures = {"id": piece.column(0), **{n: pa.array(x, pa.int64()) for n, x in (("n_a", groups.n_a), ("n_b", groups.n_b), ("n_groups", groups.n_groups), ("n_links", n_links))}, "groups_sha256": pa.array(shas, pa.string()), "n_pairs": pa.array(n_pairs, pa.int64())}
+                    shas = [common.hexdigest(";".join([e[0] for e in own]).encode()) if own else "" for own in entries]
+                    figures = {"id": piece.column(0), **{n: pa.array(x, pa.int64()) for n, x in (("n_a", [c & low for c in counts]), ("n_b", [c >> 40 & low for c in counts]), ("n_groups", [c >> 80 for c in counts]), ("n_links", n_links))}, "groups_sha256": pa.array(shas, pa.string()), "n_pairs": pa.array(n_pairs, pa.int64())}
                     rows = pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), pa.StructArray.from_arrays([*figures.values()], names=[*figures]))
                     n_docs = np.bincount(place, minlength=len(listed)).astype(np.int64)
                     yield pa.record_batch([pa.array([chunk], pa.int64()), rows, *[pa.array([x.tobytes()], pa.binary()) for x in (steps, many, listed, n_docs)]], names=["chunk", "rows", "refs", "many", "pairs", "docs"])
