@@ -21,7 +21,7 @@ def child_counts(doc: Column) -> Column:
 
 def mean_readout(scores: Column, counts_a: Column, counts_b: Column) -> Column:
     """The mean, taken level by level: a leaf counts its score, a node the sum over common children by the larger number of children. scores as of
-    field_scores(), counts as of child_counts(). Arrays are matched by position; with unequal lengths that is the least the best alignment in order gives."""
+    field_scores(), counts as of child_counts(). Arrays are matched by position, which is right where both have one length; trees.with_readouts() aligns others."""
 
     def share(path: Column) -> Column:
         above = F.filter(prefixes(path), lambda p: p != path)
@@ -67,7 +67,8 @@ def interval(low: Column, high: Column) -> Column:
 
 
 def exponent_interval(scores: Column, counts_a: Column, counts_b: Column) -> Column:
-    """Between the least field score and the mean readout: every exponent of child aggregation lies between."""
+    """Between the least field score and the mean readout, for documents whose arrays have one length on both sides (others: trees.exponent_interval()): every
+    exponent of child aggregation lies between."""
     least = F.coalesce(F.array_min(F.transform(F.map_values(scores), lambda s: s["score"])), F.lit(1.0))
     return interval(least, mean_readout(scores, counts_a, counts_b))
 
@@ -96,10 +97,10 @@ def counted_changes(a: Column, b: Column, scores: Column) -> Column:
 
 
 def renamed(doc: Column, names: dict[str, str]) -> Column:
-    """A document with keys renamed by dotted path (indices left out); what lies below moves along."""
+    """A document with keys renamed by dotted path (indices left out, * for any key); what lies below moves along."""
     for old in sorted(names, key=lambda k: -k.count(".")):
         *above, last = old.split(".")
-        head = "".join(rf"\.{k}(?:\[[0-9]+\])*" for k in above)
+        head = "".join(rf"\.{'[A-Za-z_][A-Za-z0-9_-]*' if k == '*' else re.escape(k)}(?:\[[0-9]+\])*" for k in above)
         doc = _moved(doc, rf"^(\$(?:\[[0-9]+\])*{head})\.{last}(?=[.\[]|$)", f"$1.{names[old]}")
     return doc
 

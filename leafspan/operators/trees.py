@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..functions.positions import STEP, is_callee, key_of, steps
+from ..functions.shipping import shipped_udf
 from . import assign
 
 LEAST = float("-inf")
@@ -199,7 +200,7 @@ def with_readouts(df: DataFrame, a: str, b: str, readings: dict[str, Reading], l
     settings = list(readings.values())
     exact = all(r.keys == 1 for r in settings)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    @shipped_udf(T.ArrayType(T.DoubleType()))
     def solved(x: pd.Series, y: pd.Series, i: pd.Series, j: pd.Series, content: pd.Series, label: pd.Series, name: pd.Series) -> pd.Series:
         def one(p, q, *columns) -> list[float] | None:
             if p is None or q is None:
@@ -303,7 +304,7 @@ def edit_distance_trees(a: _Node, b: _Node) -> tuple[int, int]:
 EDITS = T.StructType([T.StructField("distance", T.LongType()), T.StructField("nodes", T.LongType())])
 
 
-@F.pandas_udf(EDITS)
+@shipped_udf(EDITS)
 def _edits(x: pd.Series, y: pd.Series) -> pd.DataFrame:
     out = [(None, None) if p is None or q is None else edit_distance_trees(_tree(p), _tree(q)) for p, q in zip(x, y)]
     return pd.DataFrame(out, columns=["distance", "nodes"]).astype("Int64")

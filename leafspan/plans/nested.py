@@ -85,8 +85,7 @@ def strings_to_embed(spark: SparkSession, sf: str) -> DataFrame:
 @query("select conv_id, turn, '$.chat.turns.t' || turn || '.speaker' as path, role as value from conversations")
 def renamed_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Roles become speakers, and all lies one level deeper."""
-    names = {f"turns.t{i}.role": "speaker" for i in range(16)}
-    d = conversation_documents(spark, sf).select("conv_id", nested.renamed(F.col("doc"), names).alias("doc"))
+    d = conversation_documents(spark, sf).select("conv_id", nested.renamed(F.col("doc"), {"turns.*.role": "speaker"}).alias("doc"))
     moved = F.transform_keys("doc", lambda k, _: F.concat(F.lit("$.chat"), F.substring(k, 2, 1 << 20)))
     each = d.select("conv_id", F.inline(nested.fields(moved))).where(F.col("path").endswith(".speaker"))
     return each.select("conv_id", F.regexp_extract("path", r"\.t([0-9]+)\.", 1).cast("long").alias("turn"), "path", "value")

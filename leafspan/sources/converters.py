@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.leaves import PARSED_DOCUMENT, enriched
+from ..functions.shipping import shipped_udf
 from .flatten import document_of, parse
 
 #: Elements that never hold others.
@@ -97,7 +98,7 @@ def converted(text: Column, kind: str) -> Column:
     """Documents from text of a kind (json, xml or html); null where it cannot be read. Void elements do not take in what follows them."""
     read = {"json": lambda t: parse(t)[1], "xml": xml_value, "html": html_value}[kind]
 
-    @F.pandas_udf(PARSED_DOCUMENT)
+    @shipped_udf(PARSED_DOCUMENT)
     def one(s: pd.Series) -> pd.Series:
         def of(t: str | None) -> dict | None:
             try:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import FieldRules
+from ..functions.shipping import shipped_udf
 
 
 def read_json_files(spark: SparkSession, path: str) -> DataFrame:
@@ -72,7 +73,7 @@ def balanced(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf(T.StringType())
+@shipped_udf(T.StringType())
 def first_balanced(text: pd.Series) -> pd.Series:
     """The first balanced JSON object or array in a text, after a fence is taken off."""
     return text.map(balanced)

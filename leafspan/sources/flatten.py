@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.leaves import PARSED_DOCUMENT, enriched, leaf
 from ..functions.paths import printed
+from ..functions.shipping import shipped_udf
 
 
 def parse(text: str | None) -> tuple[bool, object]:
@@ -56,7 +57,7 @@ def valid(value: object, strict: bool = True) -> bool:
     return True
 
 
-@F.pandas_udf(PARSED_DOCUMENT)
+@shipped_udf(PARSED_DOCUMENT)
 def _parsed(text: pd.Series) -> pd.Series:
 
     def one(t: str | None) -> dict | None:
@@ -80,7 +81,7 @@ def is_valid(text: Column, strict: bool = True) -> Column:
     blank = F.trim(F.regexp_replace(text, r"\s+", " ")) == ""
     plain = F.when(text.isNull() | blank, False).when(v.isNull() | (kind == "STRING"), not strict).otherwise(~kind.isin("VOID", "OBJECT<>"))
 
-    @F.pandas_udf("boolean")
+    @shipped_udf("boolean")
     def checked(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else valid(t, strict))
 
@@ -107,15 +108,20 @@ def flatten_flat_json(text: Column, keys: list[str]) -> Column:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """A file of outputs or of {prompt, outputs}, as JSON lines or as one JSON array: prompt_id, run_id, raw.
+    """A file of outputs or of {prompt, outputs}, as JSON lines, read in splits, or as one JSON array, which must fit in a task: prompt_id, run_id, raw.
 
     If every row is an object with outputs, rows are prompts, those of one prompt together, unnamed ones as "row i"; else every row is an output of the
     prompt "". Lines that cannot be read stay as text: invalid outputs. run_id rises with the place in the file and is unique.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.ltrim("value").alias("value")).where(F.startswith("value", F.lit("[")))
-    array = F.from_json("value", "array<variant>")
-    items = whole.where(F.try_parse_json("value").isNotNull()).select(F.posexplode(array).alias("line", "v")).select(F.col("line").cast("long").alias("line"), F.to_json("v").alias("value"))
-    if items.isEmpty():
+    text = F.ltrim("value")
+    first = spark.read.text(path).where(text != "").select(F.startswith(text, F.lit("[")).alias("opens"), F.try_parse_json(text).isNotNull().alias("closes")).take(2)
+    # An array that ends on its own line is an output if other lines follow; only another is read whole, which its format asks for.
+    items = None
+    if first and first[0]["opens"] and not (first[0]["closes"] and len(first) > 1):
+        whole = spark.read.text(path, wholetext=True).select(F.ltrim("value").alias("value")).where(F.startswith("value", F.lit("[")))
+        array = F.from_json("value", "array<variant>")
+        items = whole.where(F.try_parse_json("value").isNotNull()).select(F.posexplode(array).alias("line", "v")).select(F.col("line").cast("long").alias("line"), F.to_json("v").alias("value"))
+    if items is None or items.isEmpty():
         lines = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("at"), "value")
         # Numbers within partitions rise with the place in the file; how many rows each partition has makes them consecutive.
         part = F.shiftright("at", 33)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shipping import shipped_udf
+
 CALLS = "array<struct<name: string, args: string>>"
 #: How many responses of a sample count, and how a folder's name gives a temperature.
 MOST_RESPONSES, TEMPERATURE = 10, r"temp_(\d+)_(\d+)"
@@ -39,7 +41,7 @@ def _literal(text: str | None) -> str | None:
             return None
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@shipped_udf(T.ArrayType(T.StringType()))
 def _as_json(texts: pd.Series) -> pd.Series:
     return texts.map(lambda xs: None if xs is None else [_literal(x) for x in xs])
 
