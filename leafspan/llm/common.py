@@ -4,29 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def ship(spark: SparkSession) -> None:
-    """Give the package to the executors, once for each context; they need not have it installed."""
-    sc = spark.sparkContext
-    if getattr(sc, "_leafspan_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix="leafspan-"), "leafspan.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(path)
-    sc._leafspan_shipped = True
+from ..functions.shipping import ship  # noqa: F401
 
 
 def shared_folder(spark: SparkSession) -> str:
