@@ -9,10 +9,72 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 
 def score_batches(stream: DataFrame, score: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
-    """Score each micro-batch of complete prompt groups, and hand the result and the batch's number to sink, which must take a batch twice alike."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: sink(score(df), n)).trigger(**(trigger or {"availableNow": True})).start()
+    """Score each micro-batch of complete prompt groups, and hand the result and the batch's number to sink, which must take a batch twice alike. The batch
+    is kept while it is scored, as scoring reads it more than once and state must not be moved on again."""
+
+    def scored(df: DataFrame, n: int) -> None:
+        df = df.persist()
+        try:
+            sink(score(df), n)
+        finally:
+            df.unpersist()
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(scored).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def closed_groups(stream: DataFrame, prompt: str, run: str, raw: str, at: str, gap: int = 600, delay: str = "0 seconds") -> DataFrame:
+    """Runs that arrive one at a time, handed on when their prompt is complete: prompt_id, run_id, raw, all rows of a prompt in one micro-batch.
+
+    A prompt's runs are kept in its own state until no run has come for `gap` seconds of event time (column `at`), as seen from a watermark `delay` behind the
+    latest event; a timer then hands them on and forgets them. Runs that come after that begin a new group. State and timers are in the checkpoint, so a
+    stopped query goes on where it was. State is as large as the prompts still open; a prompt's runs must fit in a worker.
+    """
+    ship(stream.sparkSession)
+    from pyspark.sql.streaming import StatefulProcessor
+
+    milliseconds = 1000 * gap
+    own = stream.select(F.col(prompt).alias("prompt_id"), F.col(run).alias("run_id"), F.col(raw).alias("raw"), F.col(at).alias("at")).withWatermark("at", delay)
+    kept = "run_id {}, raw string".format(own.schema["run_id"].dataType.simpleString())
+    kind = own.schema["prompt_id"].dataType.simpleString()
+
+    class Open(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle, self.runs, self.until = handle, handle.getListState("runs", kept), handle.getValueState("until", "until bigint")
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
+
+            latest = self.until.get()[0] if self.until.exists() else None
+            new = latest
+            for part in rows:
+                part = part[part["at"].notna()]
+                if len(part):
+                    self.runs.appendList([(*r,) for r in part[["run_id", "raw"]].itertuples(index=False)])
+                    last = int(part["at"].max().timestamp() * 1000) + milliseconds
+                    new = last if new is None else max(new, last)
+            if new is not None and new != latest:
+                if latest is not None:
+                    self.handle.deleteTimer(latest)
+                self.handle.registerTimer(new)
+                self.until.update((new,))
+            yield pd.DataFrame()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import pandas as pd
+
+            rows = [(*r,) for r in self.runs.get()] if self.runs.exists() else []
+            self.runs.clear()
+            self.until.clear()
+            yield pd.DataFrame([(key[0], *r) for r in rows], columns=["prompt_id", "run_id", "raw"])
+
+        def close(self) -> None:
+            pass
+
+    return own.groupBy("prompt_id").transformWithStateInPandas(Open(), f"prompt_id {kind}, {kept}", "append", "EventTime")
 
 
 def shared_folder(spark: SparkSession) -> str:
