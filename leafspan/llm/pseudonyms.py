@@ -2,12 +2,12 @@
 
 Numbers and dates are found by pattern, validated (check digits, ranges, the calendar), and permuted by a keyed Feistel network over exactly the
 values their format allows: a card number becomes another valid one with its separators and issuer, a date another date written alike; phone numbers that cannot be dialled are permuted among themselves.
-Equal values map to equal pseudonyms in every document, different values to different ones, and the key's holder can invert the map. E-mail
-addresses, which have no such domain, get a keyed name at a reserved host. A row depends on its text alone; there is no shuffle.
+Equal values map to equal pseudonyms in every document, whatever stands beside them, different values to different ones, and the key's holder can
+invert the map: each row carries the places of its pseudonyms (spans), so that nothing has to be found again in the new text. E-mail addresses, which have
+no such domain, get a keyed name at a reserved host and are not inverted. A row depends on its text alone; there is no shuffle.
 
 Short numbers beside a card or IBAN (a security code, an expiry date) do not hide it: every stretch of whole digit groups of an admissible length is
-tried, and those valid are chosen that cover most digits. A row of other numbers that holds a valid card by chance is permuted too. Where a pseudonym
-would make another stretch beside it valid, it is permuted on until it does not, so that the map can be inverted; there alone equal values may differ.
+tried, and those valid are chosen that cover most digits. A row of other numbers that holds a valid card by chance is permuted too.
 """
 
 from __future__ import annotations
@@ -43,10 +43,6 @@ NUMBER = re.compile(
 )
 #: Digit groups a card may be written in, and beside, and a group of them.
 RUN, DIGITS = re.compile("[0-9](?:[ -]?[0-9])*"), re.compile("[0-9]+")
-#: What no number holds and none looks at: numbers on either side of it are found independently.
-BORDER = re.compile(r"([^\w\x20().+/@-]+)")
-#: Steps of a walk back to the same places in a text.
-WALK = 1000
 
 
 class Feistel:
@@ -110,11 +106,14 @@ def _refill(old: str, new: str) -> str:
     return "".join(next(own) if c.isalnum() else c for c in old)
 
 
+Spans = list[tuple[int, int, str]]
+
+
 class Pseudonyms:
-    """text → text with pseudonyms, and counts by kind."""
+    """text → text with pseudonyms, counts by kind, and places and kinds of those that restore() inverts."""
 
-    def __init__(self, key: bytes, back: bool = False) -> None:
-        self.key, self.back, self.made = key, back, {}
+    def __init__(self, key: bytes) -> None:
+        self.key, self.back, self.made = key, False, {}
 
     def permuted(self, label: str, value: list[int], sizes: list[int]) -> list[int]:
         size = 1
@@ -179,42 +178,24 @@ class Pseudonyms:
             else:
                 at = start + 1
 
-    def numbers(self, text: str) -> tuple[str, list[str]]:
-        """The text with its numbers and dates permuted, and their kinds. The new text shows its numbers at the same places, so the key's holder finds them."""
-        places = self.found(text)
-        if not places:
-            return text, []
-        kinds = [k for *_, k in places]
-        cuts = [0, *(x for a, b, _ in places for x in (a, b)), len(text)]
-        parts = [text[a:b] for a, b in zip(cuts, cuts[1:])]  # plain and found by turns
-        first = None
-        for _ in range(WALK):
-            parts[1::2] = [getattr(self, k)(v) for k, v in zip(kinds, parts[1::2])]
-            new, want, at = "".join(parts), [], 0
-            for i, part in enumerate(parts):
-                if i % 2:
-                    want.append((at, at + len(part), kinds[i // 2]))
-                at += len(part)
-            if self.found(new) == want:
-                return new, kinds
-            pieces = BORDER.split(text) if first is None else []
-            if len(pieces) > 1:  # only what stands together walks on
-                made = [self.numbers(p) for p in pieces]
-                return "".join(t for t, _ in made), [k for _, own in made for k in own]
-            first = first or new
-        return first, kinds  # hidden, but not sure to be inverted: far too many ambiguous numbers in one stretch
+    def swapped(self, text: str, places: Spans) -> tuple[str, Spans]:
+        """The text with what stands at some places permuted, and the places in the new text."""
+        parts, spans, at, size = [], [], 0, 0
+        for start, end, kind in places:
+            new = getattr(self, kind)(text[start:end])
+            parts += [text[at:start], new]
+            size += start - at
+            spans.append((size, size + len(new), kind))
+            size, at = size + len(new), end
+        return "".join([*parts, text[at:]]), spans
 
     def card(self, s: str) -> str | None:
         d = re.sub("[^0-9]", "", s)
         if not self.is_card(d):
             return None
-        new = d
-        while True:  # walking on until the digit that would follow is the same: longer stretches around the card then stay as valid or invalid as they were
-            middle = self.permuted("card", [int(new[4:-1])], [10 ** (len(d) - 5)])[0]
-            new = d[:4] + f"{middle:0{len(d) - 5}d}"
-            new += str(luhn(new))
-            if luhn(new) == luhn(d):
-                return _refill(s, new)
+        middle = self.permuted("card", [int(d[4:-1])], [10 ** (len(d) - 5)])[0]
+        new = d[:4] + f"{middle:0{len(d) - 5}d}"
+        return _refill(s, new + str(luhn(new)))
 
     def phone(self, s: str) -> str | None:
         d = re.sub("[^0-9]", "", s)
@@ -273,36 +254,85 @@ class Pseudonyms:
         body = "".join(str(v) if n == 10 else chr(65 + v) for v, n in zip(self.permuted("iban" + d[:2] + "".join("d" if n == 10 else "a" for n in sizes), value, sizes), sizes))
         return _refill(s, f"{d[:2]}{98 - number(body + d[:2] + '00') % 97:02d}{body}")
 
-    def __call__(self, text: str | None) -> tuple[str | None, dict[str, int]]:
+    def __call__(self, text: str | None) -> tuple[str | None, dict[str, int], Spans]:
         n = dict.fromkeys(KINDS, 0)
-        if not text:
-            return text, n
+        spans: Spans = []
+        if text and any(c in text for c in "0123456789"):
+            text, spans = self.swapped(text, self.found(text))
+        if text and "@" in text:
+            text, spans, n["email"] = self.without_emails(text, spans)
+        for *_, kind in spans:
+            n[kind] += 1
+        return text, n, spans
+
+    def without_emails(self, text: str, spans: Spans) -> tuple[str, Spans, int]:
+        """The text with its addresses replaced and the spans moved along; numbers inside an address go with it."""
+        parts, kept, at, size, k, n = [], [], 0, 0, 0, 0
+        for m in [*EMAIL.finditer(text), None]:
+            start, end = m.span() if m else (len(text), len(text))
+            while k < len(spans) and spans[k][0] < end:
+                if spans[k][1] <= start:
+                    kept.append((spans[k][0] - at + size, spans[k][1] - at + size, spans[k][2]))
+                k += 1
+            parts.append(text[at:start])
+            size += start - at
+            if m:
+                parts.append(self.email(m[0]))
+                size += len(parts[-1])
+                n += 1
+            at = end
+        return "".join(parts), kept, n
+
+    def restore(self, text: str | None, spans: Spans | None) -> str | None:
+        """The text before its numbers and dates were permuted, for the holder of the key."""
+        if not text or not spans:
+            return text
+        self.back = True
+        try:
+            return self.swapped(text, spans)[0]
+        finally:
+            self.back = False
 
-        if any(c in text for c in "0123456789"):
-            text, kinds = self.numbers(text)
-            for kind in kinds:
-                n[kind] += 1
-        if "@" in text and not self.back:
-            text, n["email"] = EMAIL.subn(lambda m: self.email(m[0]), text)
-        return text, n
 
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
 
-def pseudonymise(docs: DataFrame, key: bytes, carry: Column | str = "doc_id", text_col: str = "text", name: str = "doc_id", back: bool = False) -> DataFrame:
-    """One row for each row of docs: carry under name, text with pseudonyms, n_found and a count for each kind (n_email, n_iban, ...).
 
-    back inverts the numbers and dates for the holder of the key. Whole texts; null stays null with no counts above 0. What fails validation is left
-    as it is. Repeated rows stay repeated; a null id stays null; other columns are not read; an empty table gives an empty one.
+def pseudonymise(docs: DataFrame, key: bytes, carry: Column | str = "doc_id", text_col: str = "text", name: str = "doc_id") -> DataFrame:
+    """One row for each row of docs: carry under name, text with pseudonyms, n_found, a count for each kind (n_email, n_iban, ...), and spans (start, end,
+    kind in code points of the new text) of what restore() inverts.
+
+    Whole texts, of which the longest must fit in a worker; null stays null with no counts above 0. What fails validation is left as it is. Repeated
+    rows stay repeated; a null id stays null; other columns are not read; an empty table gives an empty one.
     """
     common.ship(docs.sparkSession)
     df = docs.select((F.col(common.quoted(carry)) if isinstance(carry, str) else carry).alias("carry"), docs[text_col].alias("text"))
+    kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def swapped(batches):
-        make = Pseudonyms(key, back)
+        make = Pseudonyms(key)
         for batch in batches:
             for part in common.pieces(batch):
                 out = [make(t) for t in part.column(1).to_pylist()]
-                counts = [pa.array([n[k] for _, n in out], pa.int64()) for k in KINDS]
-                yield pa.record_batch([part.column(0), pa.array([t for t, _ in out], pa.string()), pa.array([sum(n.values()) for _, n in out], pa.int64()), *counts], names=["carry", "text", "n_found", *[f"n_{k}" for k in KINDS]])
+                counts = [pa.array([n[k] for _, n, _ in out], pa.int64()) for k in KINDS]
+                spans = pa.array([[dict(zip(("start", "end", "kind"), x)) for x in own] for *_, own in out], kinds)
+                yield pa.record_batch([part.column(0), pa.array([t for t, *_ in out], pa.string()), pa.array([sum(n.values()) for _, n, _ in out], pa.int64()), *counts, spans], names=["carry", "text", "n_found", *[f"n_{k}" for k in KINDS], "spans"])
 
-    fields = [df.schema["carry"], T.StructField("text", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("n_found", *(f"n_{k}" for k in KINDS))]]
+    fields = [df.schema["carry"], T.StructField("text", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("n_found", *(f"n_{k}" for k in KINDS))], T.StructField("spans", SPANS)]
     return df.mapInArrow(swapped, T.StructType(fields)).withColumnRenamed("carry", name)
+
+
+def restore(pseudonymised: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+    """id, text: the texts of pseudonymise() with their numbers and dates as they were, for the holder of the key. Null texts stay null; a row without
+    spans stays as it is."""
+    common.ship(pseudonymised.sparkSession)
+    p = pseudonymised
+    df = p.select(p[id_col].alias("id"), p[text_col].alias("text"), p[spans_col].alias("spans"))
+
+    def restored(batches):
+        make = Pseudonyms(key)
+        for batch in batches:
+            for part in common.pieces(batch):
+                texts = [make.restore(t, [(x["start"], x["end"], x["kind"]) for x in own or ()]) for t, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                yield pa.record_batch([part.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+
+    return df.mapInArrow(restored, T.StructType([df.schema["id"], T.StructField("text", T.StringType())])).withColumnRenamed("id", id_col)
