@@ -109,11 +109,11 @@ def distinct_documents(docs: DataFrame, prompt: str = "prompt_id", run: str = "r
     return own.groupBy("prompt_id", "h", "key").agg(F.min("run_id").alias("first"), F.first("doc").alias("doc"), F.count("*").alias("n")).drop("h")
 
 
-def pairs(docs: DataFrame, rules: FieldRules | None = None, prompt: str = "prompt_id", run: str = "run_id", doc: str = "doc", block: int = 2048, **how) -> DataFrame:
+def pairs(docs: DataFrame, rules: FieldRules | None = None, prompt: str = "prompt_id", run: str = "run_id", doc: str = "doc", block: int = 2048, keep: bool = False, **how) -> DataFrame:
     """Distinct pairs of documents of each prompt: prompt_id, run_a < run_b (their first runs), weight (pairs of runs it stands for), scores, min_readout.
 
     Runs that are equal among themselves form one more pair of score 1, with run_a = run_b. A prompt of more than `block` runs is dealt out: its documents
-    go to blocks by hash, and each pair of blocks is a key of its own, so that no task has all pairs of a prompt.
+    go to blocks by hash, and each pair of blocks is a key of its own, so that no task has all pairs of a prompt. keep: with the documents, as doc and other.
     """
     own = distinct_documents(docs, prompt, run, doc)
     large = docs.where(F.col(doc).isNotNull()).groupBy(F.col(prompt).alias("prompt_id")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")  # one for each `block` rows at most
@@ -124,7 +124,8 @@ def pairs(docs: DataFrame, rules: FieldRules | None = None, prompt: str = "promp
     cross = a.join(b, (F.col("a.prompt_id") == F.col("b.prompt_id")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.first") < F.col("b.first")) & once)
     cross = cross.select(F.col("a.prompt_id").alias("prompt_id"), F.col("a.first").alias("run_a"), F.col("b.first").alias("run_b"), (F.col("a.n") * F.col("b.n")).alias("weight"), F.col("a.doc").alias("doc"), F.col("b.doc").alias("other"))
     same = own.where("n > 1").select("prompt_id", F.col("first").alias("run_a"), F.col("first").alias("run_b"), F.expr("n * (n - 1) div 2").alias("weight"), "doc", F.col("doc").alias("other"))
-    cross, same = (with_scores(x, "doc", "other", rules, **how).drop("doc", "other") for x in (cross, same))
+    gone = () if keep else ("doc", "other")
+    cross, same = (with_scores(x, "doc", "other", rules, **how).drop(*gone) for x in (cross, same))
     cross, same = cross.withColumn("min_readout", min_readout(F.col("scores"))), same.withColumn("min_readout", F.lit(1.0))
     return cross.unionByName(same)
 

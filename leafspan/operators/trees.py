@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
+from ..functions.paths import FieldRules, compiled
 from ..functions.positions import STEP, is_callee, key_of, steps
 from ..functions.shipping import shipped_udf
 from . import assign
@@ -58,14 +59,14 @@ def _leaves(doc: Column, callees: bool) -> Column:
     return F.transform(F.map_entries(doc), one)
 
 
-def _candidates(a: Column, b: Column, exact: bool, literals: bool, numeric_text: bool) -> Column:
+def _candidates(a: Column, b: Column, exact: bool, literals: bool, numeric_text: bool, rules: FieldRules) -> Column:
     """Pairs of leaves that may be matched: places i and j, content similarity, and structural similarity with keys as labels and as names. With exact keys
     only leaves at one path but for indices, as no others can be matched for anything."""
     numbered = F.transform(b, lambda y, j: F.struct(y.alias("y"), j.alias("j")))
 
     def pair(x: Column, i: Column, e: Column) -> Column:
         y = e["y"]
-        content = kernels.leaf_kernel(x["leaf"], y["leaf"], literals=literals, numeric_text=numeric_text)
+        content = kernels.leaf_kernel(x["leaf"], y["leaf"], rules.tolerance_at(x["path"]), literals=literals, numeric_text=numeric_text)
         content = F.when(x["called"] & y["called"] & ~x["leaf"]["sval"].eqNullSafe(y["leaf"]["sval"]), 0.0).otherwise(content)
         path = (x["bare"] == y["bare"]).cast("double")
         label, name = ((kernels.char_similarity(x["word"], y["word"]), (x["key"] == y["key"]).cast("double")) if not exact else (F.lit(1.0), F.lit(1.0)))
@@ -76,15 +77,15 @@ def _candidates(a: Column, b: Column, exact: bool, literals: bool, numeric_text:
 
 
 class _Node:
-    __slots__ = ("array", "bare", "children", "key", "leaf")
+    __slots__ = ("array", "bare", "children", "key", "leaf", "path")
 
-    def __init__(self, bare: str, key: str) -> None:
+    def __init__(self, path: str, bare: str, key: str) -> None:
         self.children: dict = {}
-        self.leaf, self.array, self.bare, self.key = -1, False, bare, key
+        self.leaf, self.array, self.path, self.bare, self.key = -1, False, path, bare, key
 
 
 def _tree(paths) -> _Node:
-    root = _Node("$", "root")
+    root = _Node("$", "$", "root")
     for n, path in enumerate(paths):
         node = root
         for step in re.findall(STEP, path):
@@ -94,7 +95,7 @@ def _tree(paths) -> _Node:
             else:
                 place, bare, key = step, node.bare + step, step.strip('.[]"')
             if place not in node.children:
-                node.children[place] = _Node(bare, key)
+                node.children[place] = _Node(node.path + step, bare, key)
             node = node.children[place]
         node.leaf = n
     return _settled(root)
@@ -129,8 +130,9 @@ def _siblings(node: _Node, others: list[_Node]) -> bool:
     return node.array and len(node.children) > 1 and any(o is not node and o.array and len(o.children) == len(node.children) for o in others)
 
 
-def tree_cost(a: _Node, b: _Node, pairs: dict, reading: Reading) -> float:
-    """Cost of the best matching of two trees. pairs: (leaf of a, leaf of b) → content, label and name similarity; leaves without a pair cost 1."""
+def tree_cost(a: _Node, b: _Node, pairs: dict, reading: Reading, bags=None) -> float:
+    """Cost of the best matching of two trees. pairs: (leaf of a, leaf of b) → content, label and name similarity; leaves without a pair cost 1.
+    bags: whether an array's path is read as a bag whatever the reading says."""
     order, mu, p, additive = reading
     seen: dict = {}
 
@@ -146,7 +148,7 @@ def tree_cost(a: _Node, b: _Node, pairs: dict, reading: Reading) -> float:
         return 1 - (s + content) / 2 if additive else 1 - math.sqrt(max(0.0, s) * max(0.0, content))
 
     def weight(x: _Node, y: _Node, beside_x: list[_Node], beside_y: list[_Node]) -> float:
-        if not (x.array and y.array):
+        if not (x.array and y.array) or bags and (bags(x.path) or bags(y.path)):
             return 0.0
         return float(_siblings(x, beside_x) or _siblings(y, beside_y)) if order == "auto" else float(order)
 
@@ -192,28 +194,33 @@ def tree_cost(a: _Node, b: _Node, pairs: dict, reading: Reading) -> float:
     return at(a, b, [], [])
 
 
-def with_readouts(df: DataFrame, a: str, b: str, readings: dict[str, Reading], literals: bool = True, numeric_text: bool = True, callees: bool = False) -> DataFrame:
+def with_readouts(df: DataFrame, a: str, b: str, readings: dict[str, Reading], literals: bool = True, numeric_text: bool = True, callees: bool = False, rules: FieldRules | None = None) -> DataFrame:
     """df with a column for each named reading of the documents in columns a and b: their similarity under it, 1 for two empty documents.
 
-    Null documents give null. Costs are solved once a row for all readings; leaves are compared by expressions.
+    Null documents give null. Costs are solved once a row for all readings; leaves are compared by expressions. Rules hold as elsewhere: ignored fields are
+    dropped, unordered arrays are bags under every reading, tolerances apply to numbers.
     """
     settings = list(readings.values())
+    rules = rules or FieldRules()
+    patterns = "|".join(f"(?:{compiled(p)})" for p in rules.unordered)
     exact = all(r.keys == 1 for r in settings)
 
     @shipped_udf(T.ArrayType(T.DoubleType()))
     def solved(x: pd.Series, y: pd.Series, i: pd.Series, j: pd.Series, content: pd.Series, label: pd.Series, name: pd.Series) -> pd.Series:
+        bags = re.compile(patterns).match if patterns else None
+
         def one(p, q, *columns) -> list[float] | None:
             if p is None or q is None:
                 return None
             left, right = _tree(p), _tree(q)
             i, j, *rest = (c.tolist() for c in columns)
             pairs = dict(zip(zip(i, j), zip(*rest)))
-            return [1 - tree_cost(left, right, pairs, r) if len(p) or len(q) else 1.0 for r in settings]
+            return [1 - tree_cost(left, right, pairs, r, bags) if len(p) or len(q) else 1.0 for r in settings]
 
         return pd.Series([one(*row) for row in zip(x, y, i, j, content, label, name)])
 
-    own = df.withColumn("__a", _leaves(F.col(a), callees)).withColumn("__b", _leaves(F.col(b), callees))
-    own = fenced(own).withColumn("__pairs", _candidates(F.col("__a"), F.col("__b"), exact, literals, numeric_text))
+    own = df.withColumn("__a", _leaves(rules.strip(F.col(a)), callees)).withColumn("__b", _leaves(rules.strip(F.col(b)), callees))
+    own = fenced(own).withColumn("__pairs", _candidates(F.col("__a"), F.col("__b"), exact, literals, numeric_text, rules))
     columns = [F.col("__a")["path"], F.col("__b")["path"], *[F.col("__pairs")[c] for c in ("i", "j", "content", "label", "name")]]
     own = fenced(own).withColumn("__read", solved(*columns))
     own = own.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("__read")[k].alias(n) for k, n in enumerate(readings)])
@@ -225,10 +232,10 @@ def fenced(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
 
 
-def profile_scores(df: DataFrame, a: str, b: str, profile: str, name: str = "score") -> DataFrame:
+def profile_scores(df: DataFrame, a: str, b: str, profile: str, name: str = "score", rules: FieldRules | None = None) -> DataFrame:
     """df with the score of a named profile."""
     reading, literals, numeric_text, callees = PROFILES[profile]
-    return with_readouts(df, a, b, {name: reading}, literals, numeric_text, callees)
+    return with_readouts(df, a, b, {name: reading}, literals, numeric_text, callees, rules)
 
 
 def _intervals(df: DataFrame, a: str, b: str, name: str, low: Reading, high: Reading, **how) -> DataFrame:

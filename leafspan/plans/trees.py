@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.leaves import number_leaf, text_leaf
-from ..operators import trees
+from ..operators import rating, trees
 from ..operators.trees import LEAST, Reading
-from .queries import _SIM, _t, query
+from .queries import _PAIRS, _SIM, _t, order_documents, query
 
 
 def _turns(spark: SparkSession, sf: str, fields) -> DataFrame:
@@ -128,3 +128,19 @@ def renamed_keys_interval(spark: SparkSession, sf: str) -> DataFrame:
     """Over order, keys and exponent at once: as names none of the renamed keys match; as labels they may."""
     df = trees.assumption_interval(_customers(spark, sf), "a", "b", LEAST, literals=False, numeric_text=False)
     return df.select("c_custkey", F.round("interval.low", 6).alias("low"), F.round("interval.high", 6).alias("high"))
+
+
+@query(f"with {_PAIRS}, n as (select p, count(*) as n from runs group by 1), g as (select p, count(*) as k, avg(m) as c, avg((fs + ft) / 2) as mean, avg((m >= 0.95)::int) as same, min({{'m': round(m, 9), 'i': ra, 'j': rb}}) as w, max((fs < 0.95)::int) + max((ft < 0.95)::int) as u from scored group by 1) select n.p as prompt_id, n.n as n_outputs, round(c, 6) as agreement_min, round(mean, 6) as agreement_mean, round(same, 6) as share_same, coalesce(k, 0) as n_pairs, case when w.m < 1 then w.i end as i, case when w.m < 1 then w.j end as j, coalesce(u, 0)::bigint as n_unstable from n left join g using (p)")
+def order_rating(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything about the consistency of each customer's orders in one call."""
+    r = rating.rate(order_documents(spark, sf))
+    w = F.when(F.col("least_agreeing_pair.min_readout") < 1, F.col("least_agreeing_pair"))
+    return r.select("prompt_id", "n_outputs", "agreement_min", "agreement_mean", "share_same", "n_pairs", w["i"].alias("i"), w["j"].alias("j"), F.size("unstable_fields").cast("long").alias("n_unstable"))
+
+
+@query(f"with o as (select o_orderkey as k, o_orderstatus as s, o_orderpriority as t, lead(o_orderstatus) over w as s2, lead(o_orderpriority) over w as t2 from orders window w as (partition by o_custkey order by o_orderkey)), f as (select k, sqrt({_SIM.format(a='s', b='s2')}) as fs, sqrt({_SIM.format(a='t', b='t2')}) as ft from o where s2 is not null) select k as o_orderkey, least(fs, ft) >= 0.95 as same, round(least(fs, ft), 6) as min_readout, round((fs + ft) / 2, 6) as mean_readout, ((fs < 1)::int + (ft < 1)::int)::bigint as n_differences, case when fs = 1 and ft = 1 then null when round(ft, 9) <= round(fs, 9) then '$.priority' else '$.status' end as worst from f")
+def order_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order against the customer's next: sameness, both readouts, and the field that differs most."""
+    docs = order_documents(spark, sf).withColumn("after", F.lead("doc").over(Window.partitionBy("prompt_id").orderBy("run_id"))).where("after is not null")
+    c = rating.compare(docs, "doc", "after")
+    return c.select(F.col("run_id").alias("o_orderkey"), "same", "min_readout", "mean_readout", F.size("differences").cast("long").alias("n_differences"), F.get("differences", F.lit(0))["path"].alias("worst"))
