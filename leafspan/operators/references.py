@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +42,82 @@ def ranking_stability(scores: DataFrame, setting: str, item: str, value: str) ->
     return both.groupBy(F.col("a.t").alias("a"), F.col("b.t").alias("b")).agg(F.count("*").alias("n"), F.corr("a.rank", "b.rank").alias("rho"))
 
 
-def patterns(df: DataFrame, features: list[str], level: str, sensitivity: str, k: int = 3, seed: int = 0) -> DataFrame:
-    """df with cluster and pattern: standardised features in k clusters by k-means (which stands in for Ward's method: that needs all pairs),
-    each named by its mean level (0.85, 0.7) and sensitivity (0.15)."""
-    raw = VectorAssembler(inputCols=features, outputCol="__raw", handleInvalid="skip").transform(df)
-    scaled = StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True).fit(raw).transform(raw)
-    model = KMeans(featuresCol="__scaled", predictionCol="cluster", k=k, seed=seed).fit(scaled)
-    own = model.transform(scaled).drop("__raw", "__scaled")
+def ward_merges(points: np.ndarray, weights: np.ndarray) -> list[tuple[float, int, int]]:
+    """(height, i, j) of Ward's clustering of weighted points, by chains of nearest neighbours with Lance and Williams' update; i and j are points that stand
+    for the clusters merged. Quadratic in the points, which are a bounded summary."""
+    n = len(points)
+    square = ((points[:, None] - points[None]) ** 2).sum(-1)
+    distance = 2 * square * np.outer(weights, weights) / np.add.outer(weights, weights)
+    np.fill_diagonal(distance, np.inf)
+    size, alive, out, chain = weights.astype(float).copy(), np.ones(n, bool), [], []
+    while len(out) < n - 1:
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        row = np.where(alive, distance[chain[-1]], np.inf)
+        j = int(row.argmin())
+        if len(chain) > 1 and row[chain[-2]] <= row[j]:
+            j = chain[-2]
+        if len(chain) < 2 or j != chain[-2]:
+            chain.append(j)
+            continue
+        i, j = sorted((chain.pop(), chain.pop()))
+        out.append((float(np.sqrt(distance[i, j])), i, j))
+        others = alive.copy()
+        others[[i, j]] = False
+        total = size[i] + size[j] + size
+        new = ((size[i] + size) * distance[i] + (size[j] + size) * distance[j] - size * distance[i, j]) / total
+        alive[j] = False
+        size[i] += size[j]
+        distance[i, others] = distance[others, i] = new[others]
+    return out
+
+
+def ward_labels(points: np.ndarray, weights: np.ndarray, k: int) -> list[int]:
+    """The cluster of each point when the lowest merges leave k; clusters are numbered by their first point."""
+    parent = list(range(len(points)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for _, i, j in sorted(ward_merges(points, weights))[: max(0, len(points) - k)]:
+        a, b = sorted((root(i), root(j)))
+        parent[b] = a
+    number: dict[int, int] = {}
+    return [number.setdefault(root(i), len(number)) for i in range(len(points))]
+
+
+def ward(df: DataFrame, features: list[str], k: int = 3, most: int = 1000, seed: int = 0) -> DataFrame:
+    """df with cluster: Ward's method over standardised features (a constant one counts nothing), rows with a null left out.
+
+    Up to `most` different rows are clustered as they are. More are first summed up as `most` weighted centres by k-means, on executors, and Ward's method
+    runs over those: the driver sees `most` rows whatever the size of the table.
+    """
+    own = df.dropna(subset=features)
+    mean = own.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features)]).first()
+    scaled = [(F.col(f"`{c}`") - F.lit(mean[f"m{i}"] or 0.0)) / F.lit(mean[f"s{i}"] or 1.0) for i, c in enumerate(features)]
+    own = own.withColumn("__x", F.array(*scaled))
+    points = own.groupBy("__x").agg(F.count("*").alias("n")).limit(most + 1).collect()
+    spark = df.sparkSession
+    if not points:
+        return own.drop("__x").withColumn("cluster", F.lit(None).cast("int"))
+    if len(points) <= most:
+        points = sorted(points, key=lambda r: r["__x"])
+        labels = ward_labels(np.array([r["__x"] for r in points]), np.array([r["n"] for r in points]), k)
+        table = spark.createDataFrame([(r["__x"], c) for r, c in zip(points, labels)], "__x array<double>, cluster int")
+        return own.join(F.broadcast(table), "__x").drop("__x")
+    own = own.withColumn("__v", array_to_vector("__x"))
+    model = KMeans(featuresCol="__v", predictionCol="__c", k=most, seed=seed, maxIter=10).fit(own)
+    centres = np.array(model.clusterCenters())
+    labels = ward_labels(centres, np.maximum(np.array(model.summary.clusterSizes), 1), k)
+    table = spark.createDataFrame(list(enumerate(labels)), "__c int, cluster int")
+    return model.transform(own).join(F.broadcast(table), "__c").drop("__x", "__v", "__c")
+
+
+def patterns(df: DataFrame, features: list[str], level: str, sensitivity: str, k: int = 3) -> DataFrame:
+    """df with cluster and pattern: standardised features in k clusters by Ward's method, each named by its mean level (0.85, 0.7) and sensitivity (0.15)."""
+    own = ward(df, features, k)
     g = own.groupBy("cluster").agg(F.avg(level).alias("__l"), F.avg(sensitivity).alias("__s"))
     name = F.when((F.col("__l") >= 0.85) & (F.col("__s") < 0.15), "stable").when(F.col("__s") >= 0.15, "sensitive").when(F.col("__l") >= 0.7, "moderate").otherwise("unstable")
     return own.join(F.broadcast(g.select("cluster", name.alias("pattern"))), "cluster")  # k rows

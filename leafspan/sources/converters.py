@@ -8,6 +8,7 @@ import xml.etree.ElementTree as tree
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.leaves import PARSED_DOCUMENT, enriched
 from ..functions.shipping import shipped_udf
@@ -94,18 +95,60 @@ def html_value(text: str) -> object:
     return page.value()
 
 
+def yaml_value(text: str) -> object:
+    """A YAML document's value, with dates and other values beyond JSON as their texts."""
+    import yaml
+
+    def plain(v: object) -> object:
+        if isinstance(v, dict):
+            return {str(k): plain(x) for k, x in v.items()}
+        if isinstance(v, (list, tuple, set)):
+            return [plain(x) for x in v]
+        return v if v is None or isinstance(v, (bool, int, float, str)) else str(v)
+
+    try:
+        return plain(yaml.safe_load(text))
+    except yaml.YAMLError as e:
+        raise ValueError(str(e)) from e
+
+
+def json_value(text: str) -> object:
+    ok, value = parse(text)
+    if not ok:
+        raise ValueError("not JSON")
+    return value
+
+
+READERS = {"json": json_value, "xml": xml_value, "html": html_value, "yaml": yaml_value}
+
+
 def converted(text: Column, kind: str) -> Column:
-    """Documents from text of a kind (json, xml or html); null where it cannot be read. Void elements do not take in what follows them."""
-    read = {"json": lambda t: parse(t)[1], "xml": xml_value, "html": html_value}[kind]
+    """Documents from text of a kind (json, xml, html or yaml); null where it cannot be read. Void elements do not take in what follows them."""
+    return structured(text, F.lit(kind))["doc"]
+
+
+STRUCTURED = T.StructType([T.StructField("doc", PARSED_DOCUMENT), T.StructField("reason", T.StringType())])
+
+
+@shipped_udf(STRUCTURED)
+def _structured(text: pd.Series, kind: pd.Series) -> pd.DataFrame:
+    def of(t: str | None, k: str | None) -> tuple[dict | None, str | None]:
+        if t is None:
+            return None, "no text"
+        read = READERS.get((k or "").lower())
+        if read is None:
+            return None, f"unsupported kind: {k}"
+        try:
+            return document_of(read(t)), None
+        except ImportError:
+            return None, f"no reader of {k} is installed"
+        except (ValueError, SyntaxError, RecursionError):
+            return None, f"cannot be read as {k}"
 
-    @shipped_udf(PARSED_DOCUMENT)
-    def one(s: pd.Series) -> pd.Series:
-        def of(t: str | None) -> dict | None:
-            try:
-                return None if t is None else document_of(read(t))
-            except (ValueError, SyntaxError, RecursionError):
-                return None
+    return pd.DataFrame([of(*row) for row in zip(text, kind)], columns=["doc", "reason"])
 
-        return s.map(of)
 
-    return enriched(one(text))
+def structured(text: Column, kind: Column) -> Column:
+    """(doc, reason) from text and the kind that each row names: the document, or null and why there is none."""
+    out = _structured(text, kind)
+    return F.struct(enriched(out["doc"]).alias("doc"), out["reason"].alias("reason"))
