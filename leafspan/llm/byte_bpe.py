@@ -122,7 +122,8 @@ def _send(docs: DataFrame, vocabulary_path: str | None, pattern: str | None):
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row for each row of docs: id, ids (array of token ids).
 
-    Null text is empty, no ids; repeated rows stay repeated; a null id stays null; other columns are not read.
+    Null text is empty, no ids; repeated rows stay repeated; a null id stays null; other columns are not read; an empty table gives an empty one. A text's
+    ids are one list, so the longest must fit in a worker.
     """
     sent = _send(docs, vocabulary_path, pattern)
 
@@ -138,7 +139,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
 
 def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary_path: str | None = None) -> DataFrame:
-    """One row for each row of coded: id, data (the bytes that its ids stand for; null ids are none)."""
+    """One row for each row of coded: id, data (the bytes that its ids stand for; null ids are none). Rows, nulls and length as of encode()."""
     sent = _send(coded, vocabulary_path, "")
 
     def decoded(batches):
@@ -155,7 +156,8 @@ def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocab
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Encode and decode each text in one pass: id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded bytes).
 
-    Null text is empty: no tokens, the digests of nothing. Repeated rows stay repeated; a null id stays null; other columns are not read.
+    Null text is empty: no tokens, the digests of nothing. Repeated rows stay repeated; a null id stays null; other columns are not read;
+    an empty table gives an empty one; the longest text must fit in a worker.
     """
     sent = _send(docs, vocabulary_path, pattern)
 

@@ -44,7 +44,8 @@ def format_examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """One row for each example: conversation, example (from 0), text, mask_start and mask_chars (code points; 0 and 0 without a reply), whole (holds all turns).
 
     Turns are taken by turn, then role, then text, a null turn first; a repeated row is a turn again. Null roles and texts are empty. Rows with a
-    null conversation form one conversation. Other columns are not read; an empty table gives an empty one.
+    null conversation form one conversation. A conversation's turns meet in one row, and every reply's example repeats those before it, so the
+    longest conversation must fit in a task. Other columns are not read; an empty table gives an empty one.
     """
     part = lambda c: F.coalesce(turns[c].cast("string"), F.lit(""))
     rows = turns.select(turns[conv_col].alias("conv"), turns[turn_col].alias("turn"), part(role_col).alias("role"), part(text_col).alias("text"))
@@ -68,7 +69,10 @@ def read_turns(text: Column) -> Column:
 
 
 def read_back(examples: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """For each conversation, from the formatted texts alone: n_turns, turns_sha256 (role, line break, text, line break of each turn), loss_chars and loss_sha256 (all text under the masks, unescaped), formatted_chars."""
+    """For each conversation, from the formatted texts alone: n_turns, turns_sha256 (role, line break, text, line break of each turn), loss_chars and loss_sha256 (all text under the masks, unescaped), formatted_chars.
+
+    Examples are taken in their order. Null and empty texts, which format_examples() never makes, count as empty; a conversation without a whole example has
+    no turns; a null conversation is one; an empty table gives an empty one. A conversation's texts meet in one task."""
     loss = unescape(F.substring(F.col("text"), (F.col("mask_start") + 1).cast("int"), F.col("mask_chars").cast("int")))
     turns = F.when(F.col("whole"), read_turns(F.col("text")))
     rows = examples.select(F.col(conv_col).alias("conv"), "example", loss.alias("loss"), F.length("text").cast("long").alias("chars"), turns.alias("turns"))

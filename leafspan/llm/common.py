@@ -4,34 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
-import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship  # noqa: F401
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local mode, tests)."""
-    sc = spark.sparkContext
-    there = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not hasattr(sc, "_leafspan_folder"):
-        sc._leafspan_folder = tempfile.mkdtemp(prefix="leafspan-shared-")
-    return sc._leafspan_folder
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing that came before."""
-    path = f"{shared_folder(df.sparkSession)}/leafspan-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..functions.tables import saved, shared_folder  # noqa: F401
 
 
 def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:

@@ -151,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, carry: Column | str = "doc_id", text_col: str = "text", name: str = "doc_id", least: float = 0.5) -> DataFrame:
     """One row for each row of docs: carry under name, expected_grade, tail (probability of the top grade), kept (tail >= least).
 
-    Whole texts; null is empty and scored as having no features. Repeated rows stay repeated; a null id stays null; other columns are not read.
+    Whole texts; null is empty and scored as having no features. Repeated rows stay repeated; a null id stays null; other columns are not read;
+    an empty table gives an empty one. A text's words are held as one list, so the longest must fit in a worker.
     """
     common.ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))

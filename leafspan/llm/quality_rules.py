@@ -31,7 +31,8 @@ FEATURES = ["symbol_share", "dup_line_share", "repeat_share", "word_length", "up
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *also: str) -> DataFrame:
     """One row for each row of docs: id, the columns of `also`, COUNTS and FEATURES.
 
-    Null text is empty: all counts 0 and all shares 0. Repeated rows stay repeated; a null id stays null; other columns are not read.
+    Null text is empty: all counts 0 and all shares 0. Repeated rows stay repeated; a null id stays null; other columns are not read; an empty table gives
+    an empty one. A text's words and windows are arrays in one row, so the longest must fit in a task.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     df = docs.select(docs[id_col].alias("id"), *[docs[c].alias(f"also_{c}") for c in also], text.alias("t"))
@@ -154,19 +155,22 @@ def verdict(rules: list[Rule]) -> Column:
 def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 6000, **how) -> list[Rule]:
     """Learn rules against label 0 from the statistics of at most most_rows labelled rows, those whose ids hash lowest.
 
-    Null ids and labels are left out; an id labelled twice counts with its least label, a text given twice with its first statistics. Without
+    Null ids and labels are left out; an id labelled twice counts with its least label, of texts that share an id the least one counts. Without
     rows of both kinds there are no rules, and every text passes.
     """
     known = labels.select(labels[id_col].alias("label_id"), labels[label_col].alias("label")).dropna()
     known = known.groupBy("label_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("label_id"), "label_id").limit(most_rows)
     own = docs.select(docs[id_col].alias("own_id"), docs[text_col].alias("own_text"))
-    joined = own.join(F.broadcast(known), own["own_id"] == known["label_id"])
-    rows = statistics(joined, "own_id", "own_text", "label").dropDuplicates(["own_id"]).orderBy(F.xxhash64("own_id"), "own_id").collect()
+    joined = own.join(F.broadcast(known), own["own_id"] == known["label_id"]).groupBy("own_id", "label").agg(F.min("own_text").alias("own_text"))
+    rows = statistics(joined, "own_id", "own_text", "label").orderBy(F.xxhash64("own_id"), "own_id").collect()
     return learn_rules([(r.asDict(), r["label"] == 0) for r in rows], **how)
 
 
 def apply_rules(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, COUNTS, base_failed and kept (false if base_failed, else the decision list's verdict)."""
+    """One row for each row of docs: id, COUNTS, base_failed and kept (false if base_failed, else the decision list's verdict).
+
+    Null texts are empty and fail the base; repeated rows stay repeated; other columns are not read; without rules only the base decides; an empty table
+    gives an empty one. The longest text must fit in a task."""
     df = statistics(docs, id_col, text_col)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     df = df.withColumn("base_failed", failed)

@@ -429,26 +429,41 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     repeated rows are duplicates; null conversations are one; other columns are not read; an empty table gives an empty one. The longest text must fit in
     a worker, and with it LONG_BYTES.
     """
+    short, long = _repaired(turns, conv_col, turn_col, role_col, text_col)
+    return short if long is None else short.unionByName(long)
+
+
+def _repaired(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """repair() of the conversations of moderate size and of the longer ones, None where there are none."""
     common.ship(turns.sparkSession)
     text = lambda c: F.coalesce(turns[c].cast("string"), F.lit(" "))
     rows = turns.select(turns[conv_col].alias("conv"), turns[turn_col].cast("long").alias("turn"), text(role_col).alias("role"), text(text_col).alias("text"))
     sizes = rows.groupBy("conv").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     large = common.saved(sizes.where((F.col("n") > LONG_ROWS) | (F.col("bytes") > LONG_BYTES)).select(F.col("conv").alias("large")), "long-conversations")
     if large.isEmpty():
-        return _short(rows)
+        return _short(rows), None
     n_bytes = large.agg(F.sum(16 + F.coalesce(F.octet_length(F.col("large").cast("string")), F.lit(0)))).first()[0]
     mark = F.broadcast(large) if n_bytes <= common.SMALL else large
     same = rows["conv"].eqNullSafe(mark["large"])
-    return _short(rows.join(mark, same, "left_anti")).unionByName(_long(rows.join(mark, same, "left_semi")))
+    return _short(rows.join(mark, same, "left_anti")), _long(rows.join(mark, same, "left_semi"))
 
 
 def digest(repaired: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """One row for each conversation of repair(): its report's columns, audit (all edits) and repaired_sha256 (of its `role:text` joined by new lines). Long
-    ones are streamed through a digest in order, and so are in one task each but never in memory."""
-    kind = repaired.schema["conv"].dataType.simpleString()
-    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
-    short = repaired.where("whole").select("conv", "report", F.col("edits").alias("audit"), F.sha2(F.concat_ws("\n", line), 256).alias("repaired_sha256"))
+    ones are streamed through a digest in order, and so are in one task each but never in memory. An empty table gives an empty one."""
+    return _whole_digest(repaired.where("whole"), conv_col).unionByName(_streamed_digest(repaired.where("not whole"), conv_col))
+
+
+LINE = "transform(turns, t -> concat(t.role, ':', t.text))"
 
+
+def _whole_digest(repaired: DataFrame, conv_col: str) -> DataFrame:
+    sha = F.sha2(F.concat_ws("\n", F.expr(LINE)), 256)
+    return repaired.select(F.col("conv").alias(conv_col), "report.*", F.col("edits").alias("audit"), sha.alias("repaired_sha256"))
+
+
+def _streamed_digest(repaired: DataFrame, conv_col: str) -> DataFrame:
+    kind = repaired.schema["conv"].dataType.simpleString()
     schema = _arrow_schema(f"conv {kind}, report {REPORT}, audit string, repaired_sha256 string")
 
     def streamed(batches):
@@ -471,15 +486,18 @@ def digest(repaired: DataFrame, conv_col: str = "conv_id") -> DataFrame:
         if state:
             yield made(state)
 
-    rest = repaired.where("not whole").select("conv", "report", "edits", line.alias("lines"), "at").repartition("conv").sortWithinPartitions("conv", "at").drop("at")
-    out = short.unionByName(rest.mapInArrow(common.thrifty(streamed), short.schema))
+    rows = repaired.select("conv", "report", "edits", F.expr(LINE).alias("lines"), "at").repartition("conv").sortWithinPartitions("conv", "at").drop("at")
+    out = rows.mapInArrow(common.thrifty(streamed), f"conv {kind}, report {REPORT}, audit string, repaired_sha256 string")
     return out.select(F.col("conv").alias(conv_col), "report.*", "audit", "repaired_sha256")
 
 
 def audit(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """digest() of the repaired damage() of some conversations, with a row for every conversation: where no row is left, zeros, no edits and the digest of
     nothing."""
-    found = digest(repair(damage(conversations, conv_col, turn_col, role_col, text_col), "conv", "turn", "role", "text"), "found")
+    short, long = _repaired(damage(conversations, conv_col, turn_col, role_col, text_col), "conv", "turn", "role", "text")
+    found = _whole_digest(short, "found")
+    if long is not None:
+        found = found.unionByName(_streamed_digest(long, "found"))
     ids = conversations.select(conversations[conv_col].alias(conv_col)).distinct()
     out = ids.join(found, ids[conv_col].eqNullSafe(found["found"]), "left")
     numbers = [F.coalesce(n, F.lit(0)).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]

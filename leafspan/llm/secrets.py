@@ -64,7 +64,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each row of docs: id, spans (array of start, rank, end, kind; by start, then kind's rank).
 
     Whole texts; null is empty and has no spans. Repeated rows stay repeated, a null id stays null, other columns are not read; an empty table gives an
-    empty one.
+    empty one. A text and its spans are one row, so the longest must fit in a task.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     df = docs.select(docs[id_col].alias("id"), F.replace(text, F.lit(MARK), F.lit(OTHER)).alias("t"))

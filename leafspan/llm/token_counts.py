@@ -98,7 +98,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each row of docs: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     The whole text counts; a null text is empty: 0 bytes, 0 tokens. Strings of added tokens inside a text count as that one token, which is the
-    library's default. Repeated rows give repeated rows; a null id stays null; other columns are not read; an empty table gives an empty one.
+    library's default. Repeated rows give repeated rows; a null id stays null; other columns are not read; an empty table gives an empty one. The longest text must
+    fit in a worker.
     """
     spark = docs.sparkSession
     common.ship(spark)
