@@ -1,3 +1,3 @@
 """The registered queries; see README.md."""
 
-from . import more, nested, queries, trees  # noqa: F401
+from . import further, more, nested, queries, trees  # noqa: F401

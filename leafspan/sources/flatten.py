@@ -72,6 +72,21 @@ def flatten_json(text: Column) -> Column:
     return enriched(_parsed(text))
 
 
+def prepared(text: Column) -> Column:
+    """A document from an output's text: what its JSON says, or the text itself as the one value of a document where it is no JSON. Null stays null."""
+    return F.when(text.isNotNull(), F.coalesce(flatten_json(text), F.create_map(F.lit("$"), leaf("string", sval=text))))
+
+
+def responses(text: Column) -> Column:
+    """Outputs in one shape, as JSON text: objects as they are, arrays of objects as {"responses": [...]}, arrays of JSON texts of objects likewise; null where
+    there is no object at all. Elements that are no objects are left out."""
+    v = F.try_parse_json(text)
+    items = F.try_variant_get(v, "$", "array<variant>")
+    read = F.filter(F.transform(items, lambda x: F.coalesce(F.when(F.schema_of_variant(x).startswith("OBJECT"), x), F.try_parse_json(F.try_variant_get(x, "$", "string")))), lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
+    whole = F.schema_of_variant(v)
+    return F.when(whole.startswith("OBJECT"), F.to_json(v)).when(whole.startswith("ARRAY") & (F.size(read) > 0), F.concat(F.lit('{"responses":['), F.array_join(F.transform(read, lambda x: F.to_json(x)), ","), F.lit("]}")))
+
+
 def is_valid(text: Column, strict: bool = True) -> Column:
     """valid() of an output's text. Objects, numbers, booleans and texts are judged by expressions; only arrays, whose elements are judged in turn, and
     what Python reads beyond JSON (NaN, repeated keys) are sent to Python."""

@@ -46,3 +46,10 @@ def test_any_key_is_renamed(spark):
     entries = F.array(*[F.struct(F.lit(f"$.turns.t{k}.role").alias("k"), text_leaf(F.lit("user")).alias("v")) for k in range(20)], F.struct(F.lit("$.turns.t0.size").alias("k"), number_leaf(F.lit(1.0)).alias("v")))
     doc = spark.range(1).select(nested.renamed(F.map_from_entries(entries), {"turns.*.role": "speaker", "turns": "chat"}).alias("d")).first().d
     assert sorted(doc) == sorted([f"$.chat.t{k}.speaker" for k in range(20)] + ["$.chat.t0.size"])
+
+
+def test_prepared_and_responses(spark):
+    rows = [('{"a": 1}',), ("[1, \"x\"]",), ("plain text",), (None,), ("[]",), ('["{\\"a\\": 1}", {"b": 2}, 7]',), ("3",), ('"{}"',)]
+    df = spark.createDataFrame(rows, "t string").select("t", flatten.prepared(F.col("t")).alias("d"), flatten.responses(F.col("t")).alias("r")).collect()
+    assert sorted(df[0].d) == ["$.a"] and df[2].d["$"].sval == "plain text" and df[3].d is None and df[4].d["$"].vtype == "empty_array"
+    assert [r.r for r in df] == ['{"a":1}', None, None, None, None, '{"responses":[{"a":1},{"b":2}]}', None, None]
