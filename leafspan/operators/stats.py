@@ -22,30 +22,39 @@ def effect_size(df: DataFrame, value: str, side: Column) -> DataFrame:
 RANGES, ACCURACY = 64, 1000
 
 
+def _ranged(counts: DataFrame, value: str) -> DataFrame:
+    """counts with bucket: the range of values each falls into. Edges are approximate percentiles of the distinct values, so any edges give right ranks."""
+    edges = F.broadcast(counts.agg(F.percentile_approx(value, F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), ACCURACY).alias("edges")))  # one row
+    bucket = F.size(F.filter(F.coalesce("edges", F.expr("array()")), lambda e: e <= F.col(value)))
+    return counts.crossJoin(edges).withColumn("bucket", bucket).drop("edges")
+
+
+def _before(of: str, *by: str, order: str) -> Column:
+    """The sum of a column over the rows before each in its group."""
+    return F.coalesce(F.sum(of).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def ranked(df: DataFrame, value: str, name: str = "avg_rank", *by: str) -> DataFrame:
-    """Average ranks from counts of distinct values. Without groups, distinct values are ranked within ranges of the value, whose edges are approximate
-    percentiles, and moved on by the sizes of the ranges before; so no task gets all values, and ranks are exact whatever the edges."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("ties"))
-    if by:
-        bucket = F.lit(0)
-    else:
-        edges = F.broadcast(counts.agg(F.percentile_approx(value, F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), ACCURACY).alias("edges")))
-        counts = counts.crossJoin(edges)  # one row
-        bucket = F.size(F.filter(F.coalesce("edges", F.expr("array()")), lambda e: e <= F.col(value)))
-    counts = counts.select(*by, value, "ties", bucket.alias("bucket"))
+    """Average ranks from counts of distinct values, in each group. Distinct values are ranked within ranges of the value and moved on by the sizes of the
+    ranges before, so that no task gets all values of a group."""
+    counts = _ranged(df.groupBy(*by, value).agg(F.count("*").alias("ties")), value)
     totals = counts.groupBy(*by, "bucket").agg(F.sum("ties").alias("total"))
-    before = lambda of, w: F.coalesce(F.sum(of).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.select(*by, "bucket", before("total", Window.partitionBy(*by).orderBy("bucket")).alias("offset"))  # a row for each range
-    own = counts.join(F.broadcast(offsets) if not by else offsets, [*by, "bucket"])
-    rank = F.col("offset") + before("ties", Window.partitionBy(*by, "bucket").orderBy(value)) + (F.col("ties") + 1) / 2
+    offsets = totals.select(*by, "bucket", _before("total", *by, order="bucket").alias("offset"))  # a row for each range
+    own = counts.join(offsets if by else F.broadcast(offsets), [*by, "bucket"])
+    rank = F.col("offset") + _before("ties", *by, "bucket", order=value) + (F.col("ties") + 1) / 2
     return df.join(own.select(*by, value, rank.alias(name)), [*by, value])
 
 
 def rank_auc(df: DataFrame, value: str, positive: Column) -> DataFrame:
-    """Area under the ROC curve and Cliff's delta of positive rows against the others, from rank sums."""
-    r = ranked(df.where(F.col(value).isNotNull()).select(value, positive.alias("positive")), value)
-    g = r.agg(F.sum(F.when(F.col("positive"), F.col("avg_rank"))).alias("s"), F.sum(F.col("positive").cast("long")).alias("n1"), F.sum((~F.col("positive")).cast("long")).alias("n2"))
-    auc = (F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n2"))
+    """Area under the ROC curve and Cliff's delta of positive rows against the others: how many of the others lie below each, ties for half. Only counts of
+    distinct values are ordered, in ranges; rows are not joined to ranks."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(positive.cast("long")).alias("pos"), F.sum((~positive).cast("long")).alias("neg"))
+    counts = _ranged(counts, value)
+    totals = counts.groupBy("bucket").agg(F.sum("neg").alias("total"))
+    own = counts.join(F.broadcast(totals.select("bucket", _before("total", order="bucket").alias("offset"))), "bucket")
+    below = F.col("offset") + _before("neg", "bucket", order=value) + F.col("neg") / 2
+    g = own.withColumn("won", F.col("pos") * below).agg(F.sum("won").alias("s"), F.sum("pos").alias("n1"), F.sum("neg").alias("n2"))
+    auc = F.col("s") / (F.col("n1") * F.col("n2"))
     g = g.select("n1", "n2", auc.alias("auc"), (2 * auc - 1).alias("cliffs_delta"))
     size = F.abs("cliffs_delta")
     return g.withColumn("band", F.when(size < 0.147, "negligible").when(size < 0.33, "small").when(size < 0.474, "medium").otherwise("large"))
