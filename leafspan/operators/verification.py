@@ -122,3 +122,38 @@ def decay(means: list[tuple[float, float]], most: float = 5.0) -> tuple[float, f
     middle = sum(y for _, y in means) / len(means)
     total = sum((y - middle) ** 2 for _, y in means)
     return start, rate, 1.0 - error / total if total else 1.0
+
+
+#: The prior of an early prediction, and what each signal adds: the bounds above and below which it is given.
+PRIOR, LEAST_CONFIDENCE, MOST_CONFIDENCE, CONFIDENCE_STEP = 0.7, 0.3, 0.8, 0.1
+EARLY_SIGNALS = {
+    "validity": {"over": 0.9, "adds": 0.2, "under": 0.5, "takes": -0.3},
+    "n_tools": {"over": 3, "adds": -0.2, "up_to": 1, "takes": 0.15},
+    "first_agreement": {"over": 0.8, "adds": 0.25, "under": 0.5, "takes": -0.2},
+}
+
+
+def early_prediction(outputs: DataFrame, prompt: str = "prompt_id", names: str = "names") -> DataFrame:
+    """For each prompt, from its first outputs: n_outputs, validity, mean_calls, n_tools, first_agreement, predicted consistency and confidence.
+
+    names holds the names called by an output in order; null or empty where it is invalid. Few tools, valid outputs and a common first call speak for
+    consistency. Without a valid output the first call agrees in nothing.
+    """
+    own = outputs.select(F.col(prompt).alias("prompt_id"), F.when(F.size(names) > 0, F.col(names)).alias("names"))
+    base = own.groupBy("prompt_id").agg(F.count("*").alias("n_outputs"), F.count("names").alias("n_valid"), F.coalesce(F.avg(F.size("names")), F.lit(0.0)).alias("mean_calls"))
+    valid = own.where("names is not null")
+    tools = valid.select("prompt_id", F.explode("names").alias("t")).groupBy("prompt_id", "t").agg(F.lit(1).alias("one")).groupBy("prompt_id").agg(F.count("*").alias("n_tools"))
+    first = valid.groupBy("prompt_id", F.get("names", F.lit(0)).alias("f")).agg(F.count("*").alias("k")).groupBy("prompt_id").agg((F.max("k") / F.sum("k")).alias("first_agreement"))
+    g = base.join(tools, "prompt_id", "left").join(first, "prompt_id", "left").withColumn("validity", F.col("n_valid") / F.col("n_outputs"))
+    g = g.withColumn("n_tools", F.coalesce("n_tools", F.lit(0))).withColumn("first_agreement", F.coalesce("first_agreement", F.lit(0.0)))
+
+    def signal(name: str, s: dict) -> Column:
+        low = F.col(name) <= s["up_to"] if "up_to" in s else F.col(name) < s["under"]
+        return F.when(F.col(name) > s["over"], s["adds"]).when(low, s["takes"])
+
+    signals = [signal(*x) for x in EARLY_SIGNALS.items()]
+    total = sum((F.coalesce(s, F.lit(0.0)) for s in signals), F.lit(PRIOR))
+    given = sum((s.isNotNull().cast("int") for s in signals), F.lit(0))
+    predicted = F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
+    confidence = F.least(F.lit(MOST_CONFIDENCE), LEAST_CONFIDENCE + CONFIDENCE_STEP * given)
+    return g.select("prompt_id", "n_outputs", "validity", "mean_calls", "n_tools", "first_agreement", predicted.alias("predicted"), confidence.alias("confidence"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tables import saved, shared_folder
-from ..operators import information
+from ..operators import information, verification
 from ..sources import converters, flatten
 from ..sources.vectors import VectorCache
 from .nested import _COLS, _line_pairs
@@ -76,3 +76,12 @@ def prepared_outputs(spark: SparkSession, sf: str) -> DataFrame:
     """Outputs as documents; what cannot be read is a document of its own text."""
     e = _t(spark, sf, "events").select("event_id", flatten.prepared(F.when(F.col("event_id") % 7 == 0, F.lit("no answer")).otherwise(F.col("props"))).alias("d"))
     return e.select("event_id", F.try_element_at("d", F.lit("$"))["sval"].alias("itself"), F.size("d").cast("long").alias("n_fields"))
+
+
+@query("with c as (select conv_id, list(role order by turn) as r from conversations group by 1), p as (select conv_id % 10 as prompt_id, case when conv_id % 7 <> 0 or conv_id % 10 = 3 then r end as r from c), f as (select prompt_id, r[1] as f, count(*) as k from p where r is not null group by all), a as (select prompt_id, max(k) / sum(k) as agree from f group by 1), t as (select prompt_id, count(distinct x) as tools from (select prompt_id, unnest(r) as x from p) group by 1), g as (select prompt_id, count(*) as n, count(r) / count(*) as v, avg(len(r)) as m from p group by 1) select prompt_id, n as n_outputs, round(v, 6) as validity, round(m, 6) as mean_calls, tools as n_tools, round(agree, 6) as first_agreement, round(least(1, greatest(0, 0.7 + case when v > 0.9 then 0.2 when v < 0.5 then -0.3 else 0 end + case when tools > 3 then -0.2 when tools <= 1 then 0.15 else 0 end + case when agree > 0.8 then 0.25 when agree < 0.5 then -0.2 else 0 end)), 6) as predicted, round(least(0.8, 0.3 + 0.1 * ((v > 0.9 or v < 0.5)::int + (tools > 3 or tools <= 1)::int + (agree > 0.8 or agree < 0.5)::int)), 6) as confidence from g join t using (prompt_id) join a using (prompt_id)")
+def early_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as outputs of ten prompts, whose roles in order are what they call; some are invalid."""
+    c = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("r"))
+    valid = (F.col("conv_id") % 7 != 0) | (F.col("conv_id") % 10 == 3)
+    p = verification.early_prediction(c.select((F.col("conv_id") % 10).alias("prompt_id"), F.when(valid, F.col("r")).alias("names")))
+    return rounded(p, "validity", "mean_calls", "first_agreement", "predicted", "confidence")

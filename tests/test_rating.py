@@ -41,3 +41,13 @@ def test_rate(spark):
     assert (w.i, w.j, w.min_readout) == (0, 2, 0.0) and [(d.path, d.status) for d in w.differences] == [("$.a", "changed"), ("$.b", "missing")]
     assert got["one"].note == "fewer than 2 valid outputs" and got["one"].agreement_min is None and got["one"].least_agreeing_pair is None
     assert got["same"].agreement_min == 1 and got["same"].unstable_fields == [] and got["same"].least_agreeing_pair.min_readout == 1 and got["same"].note is None
+
+
+def test_early_prediction(spark):
+    from leafspan.operators import verification
+
+    rows = [("a", ["f", "g"]), ("a", ["f"]), ("b", None), ("b", []), ("b", ["x", "y", "z", "w"]), ("c", ["f"]), ("d", None)]
+    got = {r.prompt_id: r for r in verification.early_prediction(spark.createDataFrame(rows, "prompt_id string, names array<string>")).collect()}
+    assert got["a"].predicted == 1.0 and round(got["a"].confidence, 6) == 0.5 and got["a"].n_tools == 2 and got["a"].mean_calls == 1.5
+    assert round(got["b"].predicted, 6) == 0.45 and got["b"].first_agreement == 1.0 and round(got["b"].confidence, 6) == 0.6
+    assert got["c"].predicted == 1.0 and round(got["d"].predicted, 6) == round(0.7 - 0.3 + 0.15 - 0.2, 6)
