@@ -70,9 +70,28 @@ def trajectories(events: DataFrame, group: str, kind: str, *order: str) -> DataF
     return events.groupBy(group).agg(steps.alias("steps")).select(group, F.transform("steps", lambda s: s[kind]).alias("kinds"))
 
 
+#: Words of a name whose subsets are counted; longer names are paired with those they share a word with.
+MOST_WORDS = 10
+
+
 def name_ambiguity(tools: DataFrame, by: str, name: str) -> DataFrame:
-    """The greatest overlap (Jaccard) of the words of two different names in each group. Equal names count once; pairs are quadratic in the different ones."""
-    own = tools.select(F.col(by), F.col(name).alias("name"), F.array_distinct(F.split(F.lower(name), r"[\s_.-]+")).alias("words")).dropDuplicates([by, "name"])
-    a, b = own.alias("a"), own.alias("b")
-    overlap = F.size(F.array_intersect("a.words", "b.words")) / F.size(F.array_union("a.words", "b.words"))
-    return a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.name") < F.col("b.name"))).groupBy(F.col(f"a.{by}").alias(by)).agg(F.max(overlap).alias("ambiguity"))
+    """The greatest overlap (Jaccard) of the words of two different names in each group. Equal names count once; a group of one name has none.
+
+    No pairs of names are made: of those that have all words of some set, the two shortest overlap at least by that set, and exactly so where it is all they
+    share. So the greatest overlap is the greatest over all sets of words that occur, and each set needs only counts by length. Only names of more than
+    MOST_WORDS words, whose sets are too many, are joined to others by their words.
+    """
+    words = F.array_sort(F.array_distinct(F.split(F.lower(name), r"[\s_.-]+")))
+    own = tools.where(F.col(by).isNotNull() & F.col(name).isNotNull()).select(F.col(by).alias("g"), F.col(name).alias("name"), words.alias("words"))
+    own = own.dropDuplicates(["g", "name"]).withColumn("n", F.size("words"))
+    short, long = own.where(F.col("n") <= MOST_WORDS), own.where(F.col("n") > MOST_WORDS)
+    masks = short.select("g", "n", "words", F.explode(F.expr("sequence(1, int(pow(2, n)) - 1)")).alias("mask"))
+    sets = masks.select("g", "n", F.expr("filter(words, (w, i) -> mask % int(pow(2, i + 1)) >= int(pow(2, i)))").alias("s"))
+    sizes = sets.groupBy("g", "s", "n").agg(F.count("*").alias("k")).groupBy("g", "s").agg(F.array_sort(F.collect_list(F.struct("n", "k"))).alias("z"))
+    least = F.when(F.col("z")[0]["k"] > 1, 2 * F.col("z")[0]["n"]).otherwise(F.col("z")[0]["n"] + F.get("z", F.lit(1))["n"])
+    found = sizes.select("g", (F.size("s") / (least - F.size("s"))).alias("overlap"))
+    a, b = long.select("g", "name", "words", F.explode("words").alias("w")).alias("a"), own.select("g", "name", "words", F.explode("words").alias("w")).alias("b")
+    paired = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.name") != F.col("b.name")))
+    paired = paired.select(F.col("a.g").alias("g"), (F.size(F.array_intersect("a.words", "b.words")) / F.size(F.array_union("a.words", "b.words"))).alias("overlap"))
+    none = own.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g", F.lit(0.0).alias("overlap"))
+    return none.unionByName(found.dropna()).unionByName(paired).groupBy("g").agg(F.max("overlap").alias("ambiguity")).withColumnRenamed("g", by)
