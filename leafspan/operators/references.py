@@ -22,7 +22,8 @@ def against_reference(outputs: DataFrame, references: DataFrame, sample: str, ru
 
 def reference_report(scored: DataFrame, value: str, *by: str) -> DataFrame:
     """by, n, mean, std (of a population), least, median, greatest of the scores against references."""
-    return scored.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.median(value).alias("median"), F.max(value).alias("greatest"))
+    g = scored.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    return stats.same_groups(g, stats.medians(scored, value, *by), *by, how="left").select(*by, "n", "mean", "std", "least", "median", "greatest")
 
 
 def fisher_ratios(df: DataFrame, value: str, side: Column, exponents: tuple[float, ...]) -> DataFrame:

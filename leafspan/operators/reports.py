@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stats
+
 from .consistency import THRESHOLD
 
 
@@ -35,7 +37,8 @@ def field_summary(scored: DataFrame) -> DataFrame:
 
 def summary(df: DataFrame, value: str, *by: str) -> DataFrame:
     """n, mean, sample deviation, least, exact median, greatest of a value."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("least"), F.median(value).alias("median"), F.max(value).alias("greatest"))
+    g = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    return stats.same_groups(g, stats.medians(df, value, *by), *by, how="left").select(*by, "n", "mean", "std", "least", "median", "greatest")
 
 
 def unstable_summary(unstable: DataFrame) -> DataFrame:

@@ -82,6 +82,29 @@ def mcnemar(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return g.withColumn("statistic", F.when(total == 0, 0.0).otherwise(F.pow(F.abs(F.col("only_a") - F.col("only_b")) - 1, F.lit(2)) / total))
 
 
+def same_groups(a: DataFrame, b: DataFrame, *by: str, how: str = "inner") -> DataFrame:
+    """Two tables with a row of b for each group joined, null groups too; b's other columns come along."""
+    own = b.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in by], *[F.col(f"`{c}`") for c in b.columns if c not in by])
+    if not by:
+        return a.crossJoin(F.broadcast(own))  # one row
+    joined = a.join(own, functools.reduce(lambda x, y: x & y, [a[c].eqNullSafe(own[f"__{c}"]) for c in by]), how)
+    return joined.drop(*[f"__{c}" for c in by])
+
+
+def medians(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """by, median: exact medians of groups, from places within ranges of the value, so that no task holds all values of a group. A group without values has
+    none."""
+    counts = _ranged(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties")), value)
+    totals = counts.groupBy(*by, "bucket").agg(F.sum("ties").alias("total"))
+    ranges = totals.select(*by, "bucket", _before("total", *by, order="bucket").alias("offset"), F.sum("total").over(Window.partitionBy(*by)).alias("size"))  # a row for each range
+    own = same_groups(counts, ranges, *by, "bucket")
+    first = F.col("offset") + _before("ties", *by, "bucket", order=value) + 1
+    own = own.withColumn("first", first).withColumn("last", F.col("first") + F.col("ties") - 1)
+    low, high = F.floor((F.col("size") + 1) / 2), F.floor(F.col("size") / 2) + 1
+    at = lambda k: F.max(F.when((F.col("first") <= k) & (F.col("last") >= k), F.col(value).cast("double")))
+    return own.groupBy(*by).agg(((at(low) + at(high)) / 2).alias("median"))
+
+
 def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
     """Exact quantiles, interpolated between neighbours: from ranks within ranges of the value, so no task holds all values; the driver gets at most two
     values a share. Empty without rows."""

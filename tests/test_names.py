@@ -20,3 +20,17 @@ def test_against_all_pairs(spark, monkeypatch):
         if len(names) > 1:
             want[g] = max(len(a & b) / len(a | b) for a, b in itertools.combinations(words, 2))
     assert got == want and got[98] == 0 and got[97] == 1 and 99 not in got
+
+
+def test_medians_of_groups(spark):
+    import statistics
+
+    from leafspan.operators import reports, stats
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([rng.random(), 0.5, None])) for _ in range(300)] + [("one", 2.0), ("two", 1.0), ("two", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {g: statistics.median(own) for g in {g for g, _ in rows} if (own := [v for h, v in rows if h == g and v is not None])}
+    assert {r.g: r.median for r in stats.medians(df, "v", "g").collect()} == want
+    got = {r.g: r.median for r in reports.summary(df, "v", "g").collect()}
+    assert got == want | {"none": None} and reports.summary(df, "v").first().median == statistics.median([v for _, v in rows if v is not None])
