@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ TYPE_COST = {
 }
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value made once, however often body reads it. Spark shares no common parts inside lambdas and conditions, where kernels run."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def trimmed(s: Column) -> Column:
     return F.regexp_replace(s, r"^\s+|\s+$", "")
 
@@ -44,14 +51,17 @@ def looks_like_code(t: Column) -> Column:
 
 def literal_class(s: Column) -> Column:
     """code, number, datetime, number_list, amount or identifier: what a consumer parses rather than reads; null for ordinary text."""
-    t = trimmed(s)
-    prose = (F.size(F.split(t, r"\s+")) >= PROSE_WORDS) & t.rlike(PROSE)
-    text = (F.length(t) > LONGEST_LITERAL) | t.rlike(WORD)
-    out = F.when(t == "", None).when(t.rlike(CODE) & ~(prose & ~looks_like_code(t)), "code").when(text, None)
-    out = out.when(t.rlike(NUMBER) & t.rlike("[0-9]"), "number")
-    for name, pattern in (("datetime", DATETIME), ("number_list", NUMBER_LIST), ("amount", AMOUNT), ("identifier", IDENTIFIER)):
-        out = out.when(t.rlike(pattern), name)
-    return out
+
+    def of(t: Column) -> Column:
+        prose = (F.size(F.split(t, r"\s+")) >= PROSE_WORDS) & t.rlike(PROSE)
+        text = (F.length(t) > LONGEST_LITERAL) | t.rlike(WORD)
+        out = F.when(t == "", None).when(t.rlike(CODE) & ~(prose & ~looks_like_code(t)), "code").when(text, None)
+        out = out.when(t.rlike(NUMBER) & t.rlike("[0-9]"), "number")
+        for name, pattern in (("datetime", DATETIME), ("number_list", NUMBER_LIST), ("amount", AMOUNT), ("identifier", IDENTIFIER)):
+            out = out.when(t.rlike(pattern), name)
+        return out
+
+    return bound(trimmed(s), of)
 
 
 def numbers_close(a: Column, b: Column) -> Column:
@@ -65,8 +75,7 @@ def numbers_within(a: Column, b: Column, absolute: float, relative: float) -> Co
 
 def numeric_value(s: Column) -> Column:
     """The number that a string denotes, or null."""
-    t = F.replace(trimmed(s), F.lit(","), F.lit(""))
-    return F.when(t.rlike(NUMBER) & t.rlike("[0-9]"), t.try_cast("double"))
+    return bound(F.replace(trimmed(s), F.lit(","), F.lit("")), lambda t: F.when(t.rlike(NUMBER) & t.rlike("[0-9]"), t.try_cast("double")))
 
 
 def _list(t: Column) -> Column:
@@ -74,11 +83,12 @@ def _list(t: Column) -> Column:
     return F.transform(parts, lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double"))
 
 
-def numeric_values(s: Column) -> Column:
-    """All numbers of a number, amount or number list, or null."""
-    kind = literal_class(s)
-    amount = _list(F.regexp_replace(s, r"[^0-9.,+\- ]", ""))
-    return F.when(kind == "number", F.array(numeric_value(s))).when(kind == "number_list", _list(s)).when((kind == "amount") & (F.size(amount) == 1), amount)
+def numeric_values(s: Column, kind: Column | None = None) -> Column:
+    """All numbers of a number, amount or number list, or null. kind: its literal class, where that is known."""
+    if kind is None:
+        return bound(literal_class(s), lambda k: numeric_values(s, k))
+    amount = bound(_list(F.regexp_replace(s, r"[^0-9.,+\- ]", "")), lambda x: F.when(F.size(x) == 1, x))
+    return F.when(kind == "number", F.array(numeric_value(s))).when(kind == "number_list", _list(s)).when(kind == "amount", amount)
 
 
 def char_similarity(a: Column, b: Column) -> Column:
@@ -137,7 +147,10 @@ def _same_numbers(x: Column, y: Column, close) -> Column:
 
 def value_kernel(a: Column, b: Column, near: bool = False, literals: bool = True) -> Column:
     """string_kernel on two leaves, whose classes and numbers are known; leaves that are no strings count as their texts."""
-    x, y = python_text(a), python_text(b)
+    return bound(F.struct(python_text(a).alias("x"), python_text(b).alias("y")), lambda t: _texts_kernel(a, b, t["x"], t["y"], near, literals))
+
+
+def _texts_kernel(a: Column, b: Column, x: Column, y: Column, near: bool, literals: bool) -> Column:
     out = F.when(x == y, 1.0)
     if near:
         out = out.when(F.lower(x) == F.lower(y), CASE_ONLY)
@@ -161,7 +174,7 @@ def leaf_kernel(a: Column, b: Column, tolerance: Column | None = None, literals:
     if tolerance is not None:
         close = lambda x, y: F.when(tolerance.isNull(), numbers_close(x, y)).otherwise(F.abs(x - y) <= F.greatest(tolerance["abs"], tolerance["rel"] * F.greatest(F.abs(x), F.abs(y))))
     both = lambda v: (a["vtype"] == v) & (b["vtype"] == v)
-    out = F.when(a.isNull() | b.isNull(), 0.0).when(both("number"), close(a["nval"], b["nval"]).cast("double")).when(both("boolean"), (a["bval"] == b["bval"]).cast("double"))
+    out = F.when(a.isNull() | b.isNull(), 0.0).when(both("string") & (a["sval"] == b["sval"]), 1.0).when(both("number"), close(a["nval"], b["nval"]).cast("double")).when(both("boolean"), (a["bval"] == b["bval"]).cast("double"))
     out = out.when((a["vtype"] == b["vtype"]) & (a["vtype"] != "string"), 1.0)
     if numeric_text:
         mixed = ((a["vtype"] == "number") & (b["vtype"] == "string")) | ((a["vtype"] == "string") & (b["vtype"] == "number"))

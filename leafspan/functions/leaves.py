@@ -18,11 +18,12 @@ def leaf(vtype: str | Column, sval: Column | None = None, nval: Column | None =
     none = F.lit(None)
     kind = F.lit(vtype) if isinstance(vtype, str) else vtype
     s, n, b = (none if sval is None else sval).cast("string"), (none if nval is None else nval).cast("double"), (none if bval is None else bval).cast("boolean")
-    cls = F.when(kind == "number", "number")
+    made = lambda cls, nums: F.struct(kind.alias("vtype"), s.alias("sval"), n.alias("nval"), b.alias("bval"), cls.alias("cls"), nums.alias("nums"))
     nums = F.when(kind == "number", F.array(n))
-    if sval is not None:
-        cls, nums = cls.when(kind == "string", kernels.literal_class(s)), nums.when(kind == "string", kernels.numeric_values(s))
-    return F.struct(kind.alias("vtype"), s.alias("sval"), n.alias("nval"), b.alias("bval"), cls.alias("cls"), nums.alias("nums"))
+    if sval is None:
+        return made(F.when(kind == "number", "number"), nums)
+    cls = F.when(kind == "number", "number").when(kind == "string", kernels.literal_class(s))
+    return kernels.bound(cls, lambda c: made(c, nums.when(kind == "string", kernels.numeric_values(s, c))))
 
 
 def enriched(doc: Column) -> Column:
@@ -45,8 +46,9 @@ def boolean_leaf(value: Column) -> Column:
 
 def document(fields: dict[str, Column]) -> Column:
     """A document from leaves by top-level key; a null leaf is an absent key."""
-    entries = F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.alias("value"))) for k, v in fields.items()])
-    return F.map_from_entries(F.filter(entries, lambda e: e.isNotNull()))
+    # The entries are never null, so Spark knows that the document is not, and does not make it only to look.
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in fields.items()])
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
 def shown(x: Column) -> Column:

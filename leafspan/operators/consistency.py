@@ -35,7 +35,7 @@ def field_scores(a: Column, b: Column, rules: FieldRules | None = None, **how) -
 def _scored(rules: FieldRules, how: dict):
     def scored(path: Column, x: Column, y: Column) -> Column:
         score = F.when(x.isNull() | y.isNull(), 0.0).otherwise(kernels.field_score(x, y, rules.tolerance_at(path), **how))
-        return _field(x.isNull(), y.isNull(), shown(x), shown(y), score)
+        return kernels.bound(score, lambda s: _field(x.isNull(), y.isNull(), shown(x), shown(y), s))
 
     return scored
 
@@ -105,7 +105,7 @@ def path_f1(a: Column, b: Column) -> Column:
 
 def distinct_documents(docs: DataFrame, prompt: str = "prompt_id", run: str = "run_id", doc: str = "doc") -> DataFrame:
     """Valid documents of each prompt, equal ones once: prompt_id, key, doc, first (least run), n."""
-    own = docs.where(F.col(doc).isNotNull()).select(F.col(prompt).alias("prompt_id"), F.col(run).alias("run_id"), F.col(doc).alias("doc"), F.xxhash64(canonical(F.col(doc))).alias("h"), canonical(F.col(doc)).alias("key"))
+    own = docs.where(F.col(doc).isNotNull()).select(F.col(prompt).alias("prompt_id"), F.col(run).alias("run_id"), F.col(doc).alias("doc"), canonical(F.col(doc)).alias("key")).withColumn("h", F.xxhash64("key"))
     return own.groupBy("prompt_id", "h", "key").agg(F.min("run_id").alias("first"), F.first("doc").alias("doc"), F.count("*").alias("n")).drop("h")
 
 
@@ -121,13 +121,12 @@ def pairs(docs: DataFrame, rules: FieldRules | None = None, prompt: str = "promp
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("cell", F.col("blocks") * F.greatest("block", "other") + F.least("block", "other"))
     a, b = dealt.alias("a"), dealt.alias("b")
     once = (F.col("a.block") != F.col("b.block")) | (F.col("a.block") == F.col("a.other"))
-    cross = a.join(b, (F.col("a.prompt_id") == F.col("b.prompt_id")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.first") < F.col("b.first")) & once)
-    cross = cross.select(F.col("a.prompt_id").alias("prompt_id"), F.col("a.first").alias("run_a"), F.col("b.first").alias("run_b"), (F.col("a.n") * F.col("b.n")).alias("weight"), F.col("a.doc").alias("doc"), F.col("b.doc").alias("other"))
-    same = own.where("n > 1").select("prompt_id", F.col("first").alias("run_a"), F.col("first").alias("run_b"), F.expr("n * (n - 1) div 2").alias("weight"), "doc", F.col("doc").alias("other"))
-    gone = () if keep else ("doc", "other")
-    cross, same = (with_scores(x, "doc", "other", rules, **how).drop(*gone) for x in (cross, same))
-    cross, same = cross.withColumn("min_readout", min_readout(F.col("scores"))), same.withColumn("min_readout", F.lit(1.0))
-    return cross.unionByName(same)
+    equal = F.col("a.key") == F.col("b.key")  # the same row
+    cross = a.join(b, (F.col("a.prompt_id") == F.col("b.prompt_id")) & (F.col("a.cell") == F.col("b.cell")) & ((F.col("a.first") < F.col("b.first")) | equal & (F.col("a.n") > 1)) & once)
+    weight = F.when(equal, F.expr("a.n * (a.n - 1) div 2")).otherwise(F.col("a.n") * F.col("b.n"))
+    cross = cross.select(F.col("a.prompt_id").alias("prompt_id"), F.col("a.first").alias("run_a"), F.col("b.first").alias("run_b"), weight.alias("weight"), F.col("a.doc").alias("doc"), F.col("b.doc").alias("other"))
+    cross = with_scores(cross, "doc", "other", rules, **how).drop(*(() if keep else ("doc", "other")))
+    return cross.withColumn("min_readout", F.when(F.col("run_a") == F.col("run_b"), 1.0).otherwise(min_readout(F.col("scores"))))
 
 
 def prompt_scores(docs: DataFrame, scored: DataFrame, threshold: float = THRESHOLD, prompt: str = "prompt_id", doc: str = "doc") -> DataFrame:
