@@ -209,21 +209,23 @@ def with_readouts(df: DataFrame, a: str, b: str, readings: dict[str, Reading], l
     def solved(x: pd.Series, y: pd.Series, i: pd.Series, j: pd.Series, content: pd.Series, label: pd.Series, name: pd.Series) -> pd.Series:
         bags = re.compile(patterns).match if patterns else None
 
-        def one(p, q, *columns) -> list[float] | None:
-            if p is None or q is None:
-                return None
+        def one(p, q, *columns) -> list[float]:
+            if not len(p) and not len(q):
+                return [1.0] * len(settings)
             left, right = _tree(p), _tree(q)
             i, j, *rest = (c.tolist() for c in columns)
             pairs = dict(zip(zip(i, j), zip(*rest)))
-            return [1 - tree_cost(left, right, pairs, r, bags) if len(p) or len(q) else 1.0 for r in settings]
+            return [1 - tree_cost(left, right, pairs, r, bags) for r in settings]
 
         return pd.Series([one(*row) for row in zip(x, y, i, j, content, label, name)])
 
     own = df.withColumn("__a", _leaves(rules.strip(F.col(a)), callees)).withColumn("__b", _leaves(rules.strip(F.col(b)), callees))
     own = fenced(own).withColumn("__pairs", _candidates(F.col("__a"), F.col("__b"), exact, literals, numeric_text, rules))
     columns = [F.col("__a")["path"], F.col("__b")["path"], *[F.col("__pairs")[c] for c in ("i", "j", "content", "label", "name")]]
-    own = fenced(own).withColumn("__read", solved(*columns))
-    own = own.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("__read")[k].alias(n) for k, n in enumerate(readings)])
+    # Null documents go as empty ones and get null afterwards: writing a null list costs Arrow time that grows with the batch.
+    own = fenced(own).withColumn("__read", solved(*[F.coalesce(c, F.array()) for c in columns]))
+    there = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+    own = own.select(*[F.col(f"`{c}`") for c in df.columns], *[F.when(there, F.col("__read")[k]).alias(n) for k, n in enumerate(readings)])
     return fenced(own)
 
 
