@@ -27,8 +27,7 @@ def key_of(step: Column) -> Column:
 
 def prefixes(path: Column) -> Column:
     """Every node on the way to a path, the root first and the path last."""
-    s = steps(path)
-    return F.transform(F.sequence(F.lit(0), F.size(s)), lambda n: F.concat(F.lit("$"), F.array_join(F.slice(s, F.lit(1), n), "")))
+    return kernels.bound(steps(path), lambda s: F.transform(F.sequence(F.lit(0), F.size(s)), lambda n: F.concat(F.lit("$"), F.array_join(F.slice(s, F.lit(1), n), ""))))
 
 
 def nodes(doc: Column) -> Column:

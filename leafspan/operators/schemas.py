@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kernels import bound
 from ..functions.leaves import shown
 from ..functions.positions import key_of, nodes, prefixes, steps
 from .risk import THRESHOLDS, complexity, description_score
@@ -26,23 +27,30 @@ def parameters(schema: Column) -> Column:
         within = path.startswith(F.concat(items, F.lit(".")))
         return F.when(within, (_kind(schema, q) == "array") & (_kind(schema, items) == "object")).otherwise(_kind(schema, q) == "object")
 
-    above = lambda p: F.filter(prefixes(p), lambda q: q.rlike(PARAMETER) & (q != p))
-    return F.filter(nodes(schema), lambda p: p.rlike(PARAMETER) & F.forall(above(p), lambda q: F.coalesce(open_to(q, p), F.lit(False))))
+    def kept(own: Column) -> Column:
+        above = lambda p: F.filter(prefixes(p), lambda q: F.array_contains(own, q) & (q != p))
+        return F.filter(own, lambda p: F.forall(above(p), lambda q: F.coalesce(open_to(q, p), F.lit(False))))
+
+    # Every step on the way to a node is a node, so what is a parameter above one is among them.
+    return bound(F.filter(nodes(schema), lambda p: p.rlike(PARAMETER)), kept)
 
 
 def schema_metrics(schema: Column) -> Column:
     """depth, params, optional, types, string_params, free_strings (strings without an enum), described (sum of description scores), top (own parameters)."""
-    found = parameters(schema)
     level = lambda p: F.size(F.filter(prefixes(p), lambda q: q.rlike(PARAMETER)))
-    deep = F.transform(found, lambda p: level(p) - 1 + F.coalesce(_kind(schema, p).isin("object", "array"), F.lit(False)).cast("int"))
-    top = F.filter(found, lambda p: level(p) == 1)
+    each = F.transform(parameters(schema), lambda p: F.struct(p.alias("path"), level(p).alias("level"), _kind(schema, p).alias("kind")))
+    return bound(each, lambda found: bound(F.filter(found, lambda p: p["level"] == 1), lambda top: _measured(schema, found, top)))
+
+
+def _measured(schema: Column, found: Column, top: Column) -> Column:
+    deep = F.transform(found, lambda p: p["level"] - 1 + F.coalesce(p["kind"].isin("object", "array"), F.lit(False)).cast("int"))
     required = F.transform(F.filter(F.map_entries(schema), lambda e: e["key"].rlike(r"^\$\.required\[[0-9]+\]$")), lambda e: e["value"]["sval"])
-    optional = F.filter(top, lambda p: ~F.array_contains(required, key_of(F.element_at(steps(p), -1))))
-    kinds = F.array_distinct(F.transform(top, lambda p: F.coalesce(_kind(schema, p), F.lit("unknown"))))
-    strings = F.filter(top, lambda p: _kind(schema, p) == "string")
-    free = F.filter(strings, lambda p: ~F.exists(F.map_keys(schema), lambda k: (k == F.concat(p, F.lit(".enum"))) | k.startswith(F.concat(p, F.lit(".enum[")))))
-    described = F.aggregate(top, F.lit(0.0), lambda s, p: s + description_score(F.try_element_at(schema, F.concat(p, F.lit(".description")))["sval"]))
-    values = {"depth": F.coalesce(F.array_max(deep), F.lit(0)), "params": F.size(found), "optional": F.size(optional), "types": F.size(kinds), "string_params": F.size(strings), "free_strings": F.size(free), "top": F.size(top)}
+    named = lambda r: F.size(F.filter(top, lambda p: ~F.array_contains(r, key_of(F.element_at(steps(p["path"]), -1)))))
+    kinds = F.array_distinct(F.transform(top, lambda p: F.coalesce(p["kind"], F.lit("unknown"))))
+    strings = F.filter(top, lambda p: p["kind"] == "string")
+    free = lambda own: F.size(F.filter(own, lambda p: ~F.exists(F.map_keys(schema), lambda k: (k == F.concat(p["path"], F.lit(".enum"))) | k.startswith(F.concat(p["path"], F.lit(".enum["))))))
+    described = F.aggregate(top, F.lit(0.0), lambda s, p: s + description_score(F.try_element_at(schema, F.concat(p["path"], F.lit(".description")))["sval"]))
+    values = {"depth": F.coalesce(F.array_max(deep), F.lit(0)), "params": F.size(found), "optional": bound(required, named), "types": F.size(kinds), "string_params": F.size(strings), "free_strings": free(strings), "top": F.size(top)}
     return F.struct(*[v.cast("long").alias(k) for k, v in values.items()], described.alias("described"))
 
 

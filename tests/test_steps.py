@@ -1,12 +1,14 @@
 """Steps that large tables go through: what they make, and that it is made once."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
 from leafspan.functions import kernels
 from leafspan.functions.leaves import document, number_leaf, text_leaf
-from leafspan.operators import consistency, trees
+from leafspan.operators import consistency, references, schemas, trees
+from leafspan.sources import flatten
 
 
 def plan(df):
@@ -41,3 +43,17 @@ def test_null_documents_cost_no_null_lists(spark):
     assert plan(out).count("coalesce(") >= 7
     assert [(r.i, r.score is None) for r in out.orderBy("i").collect()] == [(1, False), (2, True), (3, True), (4, False)]
     assert math.isclose(out.where("i = 1").first().score, 1.0)
+
+
+def test_schemas_are_searched_once(spark):
+    text = '{"type": "object", "required": ["id"], "properties": {"id": {"type": "integer"}, "size": {"type": "object", "properties": {"w": {"type": "string", "enum": ["a"]}}}, "kind": {"type": "string", "enum": ["a", "b"]}, "bare": {"properties": {"x": {}}}}}'
+    docs = spark.createDataFrame([(text,)], "t string").select(flatten.flatten_json(F.col("t")).alias("schema"))
+    m = docs.select(schemas.schema_metrics(F.col("schema")).alias("m"))
+    assert plan(m).count("PythonUDF") <= 2 and plan(m).count(schemas.PARAMETER) <= 3
+    assert m.first().m.asDict() == {"depth": 1, "params": 5, "optional": 3, "types": 4, "string_params": 1, "free_strings": 0, "top": 4, "described": 0.0}
+
+
+def test_scores_that_change_when_made_again_lose_no_row(spark):
+    noisy = F.udf(lambda: random.random(), "double").asNondeterministic()
+    scores = spark.range(200).selectExpr("id % 2 as t", "id div 2 as i").withColumn("v", noisy())
+    assert [(r.a, r.b, r.n) for r in references.ranking_stability(scores, "t", "i", "v").collect()] == [(0, 1, 100)]
