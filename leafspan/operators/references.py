@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import FieldRules
+from ..functions.tables import saved
 from . import consistency, stats
 
 
@@ -36,8 +37,12 @@ def fisher_ratios(df: DataFrame, value: str, side: Column, exponents: tuple[floa
 
 
 def ranking_stability(scores: DataFrame, setting: str, item: str, value: str) -> DataFrame:
-    """a, b, n, rho: rank correlation of the items' scores between each two settings. Ranks are of all items of a setting."""
-    r = stats.ranked(scores.select(F.col(setting).alias("t"), F.col(item).alias("i"), F.col(value).alias("v")), "v", "rank", "t").select("t", "i", "rank")
+    """a, b, n, rho: rank correlation of the items' scores between each two settings. Ranks are of all items of a setting.
+
+    Scores are written once: ranks are joined to them by value, and a mean that is made again may differ in its last bit and find none.
+    """
+    own = saved(scores.select(F.col(setting).alias("t"), F.col(item).alias("i"), F.col(value).alias("v")), "scores")
+    r = stats.ranked(own, "v", "rank", "t").select("t", "i", "rank")
     a, b = r.alias("a"), r.alias("b")
     both = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.t") < F.col("b.t")))
     return both.groupBy(F.col("a.t").alias("a"), F.col("b.t").alias("b")).agg(F.count("*").alias("n"), F.corr("a.rank", "b.rank").alias("rho"))

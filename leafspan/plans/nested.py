@@ -356,5 +356,6 @@ def fisher_ratios(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("with v as (select o_orderpriority as t, o_custkey as i, avg(o_totalprice) as v from orders group by 1, 2), r as (select t, i, rank() over (partition by t order by v) + (count(*) over (partition by t, v) - 1) / 2.0 as r from v) select a.t as a, b.t as b, count(*) as n, round(corr(a.r, b.r), 6) as rho from r a join r b on a.i = b.i and a.t < b.t group by 1, 2")
 def ranking_stability(spark: SparkSession, sf: str) -> DataFrame:
-    v = _t(spark, sf, "orders").groupBy("o_orderpriority", "o_custkey").agg(F.avg("o_totalprice").alias("v"))
+    # To a millionth of a price, so that equal means tie in whatever order their rows were added up.
+    v = _t(spark, sf, "orders").groupBy("o_orderpriority", "o_custkey").agg(F.round(F.avg("o_totalprice"), 6).alias("v"))
     return rounded(references.ranking_stability(v, "o_orderpriority", "o_custkey", "v"), "rho")
