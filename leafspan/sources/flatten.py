@@ -57,14 +57,24 @@ def valid(value: object, strict: bool = True) -> bool:
     return True
 
 
-@shipped_udf(PARSED_DOCUMENT)
-def _parsed(text: pd.Series) -> pd.Series:
+#: Texts whose documents a Python worker holds at a time. A document takes many times its text's size there.
+PIECE = 256
+
+
+def in_pieces(batch: pd.Series | pd.DataFrame) -> Iterator[pd.Series | pd.DataFrame]:
+    """A batch of rows in pieces, so that what is made of them is sent off before more is made."""
+    return (batch.iloc[i : i + PIECE] for i in range(0, len(batch), PIECE))
 
+
+@shipped_udf(PARSED_DOCUMENT)
+def _parsed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def one(t: str | None) -> dict | None:
         ok, value = parse(t)
         return document_of(value) if ok else None
 
-    return text.map(one)
+    for text in batches:
+        for piece in in_pieces(text):
+            yield pd.Series([one(t) for t in piece], dtype=object)
 
 
 def flatten_json(text: Column) -> Column:
