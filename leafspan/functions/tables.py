@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,3 +29,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/leafspan-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def made_once(df: DataFrame, columns: list[str], made: dict[str, Column], name: str = "made") -> DataFrame:
+    """df with what is made of some of its columns: made once for each distinct combination of them and joined to the rows, nulls too. df is written once.
+
+    What is joined is as large as there are combinations; Spark sends it to every task only where its file is small.
+    """
+    rows = saved(df, f"{name}-rows")
+    kinds = saved(rows.select(*columns).distinct().select(*[F.col(c).alias(f"__{c}") for c in columns], *[x.alias(n) for n, x in made.items()]), name)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns])
+    return rows.join(kinds, same).drop(*[f"__{c}" for c in columns])

@@ -98,9 +98,13 @@ def path_f1(a: Column, b: Column) -> Column:
     """Harmonic mean of recall over a's paths and precision over b's: (f1, precision, recall)."""
     score = F.aggregate(F.map_values(F.map_zip_with(a, b, lambda _, x, y: kernels.path_kernel(x, y))), F.lit(0.0), lambda t, s: t + s)
     both_empty, one_empty = (F.size(a) == 0) & (F.size(b) == 0), (F.size(a) == 0) | (F.size(b) == 0)
-    r, p = score / F.greatest(F.size(a), F.lit(1)), score / F.greatest(F.size(b), F.lit(1))
-    f1 = F.when(both_empty, 1.0).when(one_empty | (score == 0), 0.0).otherwise(2 * p * r / (p + r))
-    return F.struct(f1.alias("f1"), F.when(both_empty, 1.0).otherwise(p).alias("precision"), F.when(both_empty, 1.0).otherwise(r).alias("recall"))
+
+    def of(score: Column) -> Column:
+        r, p = score / F.greatest(F.size(a), F.lit(1)), score / F.greatest(F.size(b), F.lit(1))
+        f1 = F.when(both_empty, 1.0).when(one_empty | (score == 0), 0.0).otherwise(2 * p * r / (p + r))
+        return F.struct(f1.alias("f1"), F.when(both_empty, 1.0).otherwise(p).alias("precision"), F.when(both_empty, 1.0).otherwise(r).alias("recall"))
+
+    return kernels.bound(score, of)
 
 
 def distinct_documents(docs: DataFrame, prompt: str = "prompt_id", run: str = "run_id", doc: str = "doc") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leafspan.functions import kernels
 from leafspan.functions.leaves import document, number_leaf, text_leaf
+from leafspan.functions.tables import made_once
 from leafspan.operators import consistency, references, schemas, trees
 from leafspan.sources import converters, flatten
 
@@ -68,3 +69,16 @@ def test_documents_leave_python_in_pieces(spark):
     df = spark.range(1000).selectExpr("id", "if(id % 10 = 3, null, concat('{\"k\": ', id, '}')) as j", "concat('<p>', id, '</p>') as h").coalesce(1)
     out = df.select("id", "j", flatten.flatten_json(F.col("j"))["$.k"]["nval"].alias("n"), converters.converted(F.col("h"), "html")["$.p"]["sval"].alias("s"))
     assert all((r.n is None if r.j is None else r.n == r.id) and r.s == str(r.id) for r in out.collect())
+
+
+def test_what_is_made_of_columns_is_made_once(spark):
+    df = spark.range(900).selectExpr("id", "if(id % 3 = 0, null, id % 3) as a", "if(id % 2 = 0, 'x', null) as b")
+    out = made_once(df, ["a", "b"], {"mark": F.concat_ws(":", "a", "b", F.uuid())})
+    assert out.columns == ["id", "a", "b", "mark"] and out.count() == 900 and out.select("mark").distinct().count() == 6
+    assert out.where("mark is null or a is null and id % 3 <> 0").isEmpty()
+
+
+def test_path_f1_scores_its_paths_once(spark):
+    doc = lambda c: document({"$.s": text_leaf(F.col(c))})
+    out = spark.createDataFrame([("ab", "ac")], "a string, b string").select(doc("a").alias("a"), doc("b").alias("b")).select(consistency.path_f1(F.col("a"), F.col("b")).alias("f"))
+    assert plan(out).count("map_zip_with") == 1 and out.first().f.asDict() == {"f1": 0.5, "precision": 0.5, "recall": 0.5}
