@@ -7,12 +7,15 @@ documents, so each distinct pair is scored once and weighted.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.leaves import canonical, shown
 from ..functions.paths import FieldRules, index_below
+from ..functions.tables import made_once, saved
 from . import assign
 
 THRESHOLD = 0.95
@@ -113,6 +116,21 @@ def distinct_documents(docs: DataFrame, prompt: str = "prompt_id", run: str = "r
     return own.groupBy("prompt_id", "h", "key").agg(F.min("run_id").alias("first"), F.first("doc").alias("doc"), F.count("*").alias("n")).drop("h")
 
 
+def _pair() -> list[Column]:
+    """prompt_id, run_a, run_b, weight of what _crossed() gives."""
+    return [F.col("a.prompt_id").alias("prompt_id"), F.col("a.first").alias("run_a"), F.col("b.first").alias("run_b"), F.when(F.col("a.key") == F.col("b.key"), F.expr("a.n * (a.n - 1) div 2")).otherwise(F.col("a.n") * F.col("b.n")).alias("weight")]
+
+
+def _crossed(own: DataFrame, large: DataFrame) -> DataFrame:
+    """Pairs (a, b) of distinct documents of each prompt, and (a, a) for what more than one run has. large: prompts that are dealt out, and to how many blocks."""
+    dealt = own.join(large, "prompt_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("first"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("cell", F.col("blocks") * F.greatest("block", "other") + F.least("block", "other"))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    once = (F.col("a.block") != F.col("b.block")) | (F.col("a.block") == F.col("a.other"))
+    equal = F.col("a.key") == F.col("b.key")  # the same row
+    return a.join(b, (F.col("a.prompt_id") == F.col("b.prompt_id")) & (F.col("a.cell") == F.col("b.cell")) & ((F.col("a.first") < F.col("b.first")) | equal & (F.col("a.n") > 1)) & once)
+
+
 def pairs(docs: DataFrame, rules: FieldRules | None = None, prompt: str = "prompt_id", run: str = "run_id", doc: str = "doc", block: int = 2048, keep: bool = False, **how) -> DataFrame:
     """Distinct pairs of documents of each prompt: prompt_id, run_a < run_b (their first runs), weight (pairs of runs it stands for), scores, min_readout.
 
@@ -121,18 +139,29 @@ def pairs(docs: DataFrame, rules: FieldRules | None = None, prompt: str = "promp
     """
     own = distinct_documents(docs, prompt, run, doc)
     large = docs.where(F.col(doc).isNotNull()).groupBy(F.col(prompt).alias("prompt_id")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")  # one for each `block` rows at most
-    dealt = own.join(large, "prompt_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("first"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("cell", F.col("blocks") * F.greatest("block", "other") + F.least("block", "other"))
-    a, b = dealt.alias("a"), dealt.alias("b")
-    once = (F.col("a.block") != F.col("b.block")) | (F.col("a.block") == F.col("a.other"))
-    equal = F.col("a.key") == F.col("b.key")  # the same row
-    cross = a.join(b, (F.col("a.prompt_id") == F.col("b.prompt_id")) & (F.col("a.cell") == F.col("b.cell")) & ((F.col("a.first") < F.col("b.first")) | equal & (F.col("a.n") > 1)) & once)
-    weight = F.when(equal, F.expr("a.n * (a.n - 1) div 2")).otherwise(F.col("a.n") * F.col("b.n"))
-    cross = cross.select(F.col("a.prompt_id").alias("prompt_id"), F.col("a.first").alias("run_a"), F.col("b.first").alias("run_b"), weight.alias("weight"), F.col("a.doc").alias("doc"), F.col("b.doc").alias("other"))
+    cross = _crossed(own, large)
+    cross = cross.select(*_pair(), F.col("a.doc").alias("doc"), F.col("b.doc").alias("other"))
     cross = with_scores(cross, "doc", "other", rules, **how).drop(*(() if keep else ("doc", "other")))
     return cross.withColumn("min_readout", F.when(F.col("run_a") == F.col("run_b"), 1.0).otherwise(min_readout(F.col("scores"))))
 
 
+def distinct_rows(rows: DataFrame, columns: list[str], prompt: str = "prompt_id", run: str = "run_id") -> DataFrame:
+    """Like distinct_documents(), but by the columns that documents are made of: prompt_id, key (these columns), first, n. Written, as it is read often."""
+    own = rows.groupBy(F.col(prompt).alias("prompt_id"), *columns).agg(F.min(run).alias("first"), F.count("*").alias("n"))
+    return saved(own.select("prompt_id", F.struct(*columns).alias("key"), "first", "n"), "distinct-rows")
+
+
+def row_pairs(own: DataFrame, make: Callable[[str], Column], rules: FieldRules | None = None, block: int = 2048, **how) -> DataFrame:
+    """pairs() of what distinct_rows() gives. make: a document from columns whose names have a prefix. Documents are made and compared once for each two
+    kinds of rows that meet in any prompt, not for each pair; rows with equal documents need not be equal. Unordered arrays take pairs()."""
+    columns = own.schema["key"].dataType.names
+    large = own.groupBy("prompt_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    sides = [F.col(f"{x}.key")[c].alias(f"{x}_{c}") for x in "ab" for c in columns]
+    scores = kernels.bound(field_scores(make("a_"), make("b_"), rules, **how), lambda s: F.struct(s.alias("scores"), min_readout(s).alias("min_readout")))
+    each = made_once(_crossed(own, large).select(*_pair(), *sides), [f"{x}_{c}" for x in "ab" for c in columns], {"made": scores}, "row-pairs")
+    return each.select("prompt_id", "run_a", "run_b", "weight", "made.scores", F.when(F.col("run_a") == F.col("run_b"), 1.0).otherwise(F.col("made.min_readout")).alias("min_readout"))
+
+
 def prompt_scores(docs: DataFrame, scored: DataFrame, threshold: float = THRESHOLD, prompt: str = "prompt_id", doc: str = "doc") -> DataFrame:
     """A row for each prompt: n_runs, n_valid, r_v, n_pairs, c_mean, c_std (of a sample; 0 for one pair), c_adj, share_same; zeros under two valid runs."""
     runs = docs.groupBy(F.col(prompt).alias("prompt_id")).agg(F.count("*").alias("n_runs"), F.count(F.col(doc)).alias("n_valid"))
@@ -182,13 +211,17 @@ def values_at(docs: DataFrame, path: str, k: int = 5, prompt: str = "prompt_id",
 
 def centroids(docs: DataFrame, scored: DataFrame, prompt: str = "prompt_id", run: str = "run_id", doc: str = "doc") -> DataFrame:
     """The run of each prompt that is most like the others, first wins: prompt_id, run_id, similarity; a single valid run scores 1."""
-    own = distinct_documents(docs, prompt, run, doc).select("prompt_id", F.col("first"), "n")
+    return centroids_of(distinct_documents(docs, prompt, run, doc), scored)
+
+
+def centroids_of(own: DataFrame, scored: DataFrame) -> DataFrame:
+    """centroids() of distinct documents or rows (prompt_id, first, n). A pair's weight holds both its counts, so each pair is read once for its two runs."""
+    own = own.select("prompt_id", "first", "n")
     total = own.groupBy("prompt_id").agg(F.sum("n").alias("runs"))
-    cross = scored.where("run_a <> run_b").select("prompt_id", "run_a", "run_b", "min_readout")
-    both = cross.unionByName(cross.select("prompt_id", F.col("run_b").alias("run_a"), F.col("run_a").alias("run_b"), "min_readout"))
-    others = own.select(F.col("prompt_id"), F.col("first").alias("run_b"), F.col("n").alias("n_b"))
-    sums = both.join(others, ["prompt_id", "run_b"]).groupBy("prompt_id", F.col("run_a").alias("first")).agg(F.sum(F.col("min_readout") * F.col("n_b")).alias("total"))
-    mean = F.when(F.col("runs") == 1, 1.0).otherwise((F.coalesce("total", F.lit(0.0)) + F.col("n") - 1) / (F.col("runs") - 1))
+    s = (F.col("weight") * F.col("min_readout")).alias("s")
+    both = scored.where("run_a <> run_b").select("prompt_id", F.inline(F.array(F.struct(F.col("run_a").alias("first"), s), F.struct(F.col("run_b").alias("first"), s))))
+    sums = both.groupBy("prompt_id", "first").agg(F.sum("s").alias("total"))
+    mean = F.when(F.col("runs") == 1, 1.0).otherwise((F.coalesce(F.col("total") / F.col("n"), F.lit(0.0)) + F.col("n") - 1) / (F.col("runs") - 1))
     each = own.join(total, "prompt_id").join(sums, ["prompt_id", "first"], "left").select("prompt_id", "first", F.round(mean, 12).alias("similarity"))
     return each.groupBy("prompt_id").agg(F.min_by("first", F.struct(-F.col("similarity"), F.col("first"))).alias("run_id"), F.max("similarity").alias("similarity"))
 

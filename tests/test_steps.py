@@ -82,3 +82,21 @@ def test_path_f1_scores_its_paths_once(spark):
     doc = lambda c: document({"$.s": text_leaf(F.col(c))})
     out = spark.createDataFrame([("ab", "ac")], "a string, b string").select(doc("a").alias("a"), doc("b").alias("b")).select(consistency.path_f1(F.col("a"), F.col("b")).alias("f"))
     assert plan(out).count("map_zip_with") == 1 and out.first().f.asDict() == {"f1": 0.5, "precision": 0.5, "recall": 0.5}
+
+
+def test_pairs_of_rows_are_those_of_documents(spark):
+    rows = [(p, i, random.Random(10 * p + i).choice(["ab", "ac", "b", None])) for p in range(4) for i in range(9)] + [(9, 0, "x")]
+    df = spark.createDataFrame(rows, "prompt_id int, run_id int, s string")
+    doc = lambda of="": document({"$.s": text_leaf(F.col(f"{of}s"))})
+    docs, own = df.withColumn("doc", doc()), consistency.distinct_rows(df, ["s"])
+    scored = consistency.pairs(docs)
+    got = lambda found: sorted((r.prompt_id, r.run_a, r.run_b, r.weight, r.min_readout, r.scores["$.s"].asDict()["status"]) for r in found.collect())
+    assert got(scored) == got(consistency.row_pairs(own, doc)) == got(consistency.row_pairs(own, doc, block=2))
+    central = consistency.centroids(docs, scored)
+    assert "Union" not in plan(central)  # every pair is scored once for its two runs
+    assert sorted(central.collect()) == sorted(consistency.centroids_of(own, scored).collect())
+    for r in central.collect():
+        texts = {i: s for p, i, s in rows if p == r.prompt_id}
+        alike = lambda a, b: 1.0 if a == b else math.sqrt(0.5) if {a, b} == {"ab", "ac"} or {a, b} == {"ab", "b"} else 0.0
+        mean = {i: round(sum(alike(texts[i], texts[j]) for j in texts if j != i) / (len(texts) - 1), 9) if len(texts) > 1 else 1.0 for i in texts}
+        assert r.run_id == min(mean, key=lambda i: (-mean[i], i)) and math.isclose(r.similarity, mean[r.run_id], abs_tol=1e-8)
