@@ -40,3 +40,9 @@ def made_once(df: DataFrame, columns: list[str], made: dict[str, Column], name:
     kinds = saved(rows.select(*columns).distinct().select(*[F.col(c).alias(f"__{c}") for c in columns], *[x.alias(n) for n, x in made.items()]), name)
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns])
     return rows.join(kinds, same).drop(*[f"__{c}" for c in columns])
+
+
+def fenced(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator of one row each. A later filter then stays behind it: nothing is made once for it and
+    once more for its columns, and no Python is taken into a join condition."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))

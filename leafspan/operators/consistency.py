@@ -15,18 +15,12 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.leaves import canonical, shown
 from ..functions.paths import FieldRules, index_below
-from ..functions.tables import made_once, saved
+from ..functions.tables import fenced, made_once, saved
 from . import assign
 
 THRESHOLD = 0.95
 
 
-def fenced(df: DataFrame) -> DataFrame:
-    """The same rows behind a generator of one row each. A later filter then stays behind it; pushed into a join, it would take the Python of unordered
-    arrays along, which no join condition can evaluate."""
-    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
-
-
 def field_scores(a: Column, b: Column, rules: FieldRules | None = None, **how) -> Column:
     """path → (status, a, b, score) for every path of either document; missing and extra score 0. Unordered arrays take with_scores()."""
     rules = rules or FieldRules()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import fenced
+
 #: Where records keep what a step needs; the first key that is set counts.
 NAMES = ("event.name", "event_name", "name")
 TOOLS = ("tool_name", "gen_ai.tool.name", "tool.name")
@@ -26,23 +28,31 @@ def _typed(value: Column) -> Column:
     return F.coalesce(*[_member(value, k) for k in ANY_VALUE], value)
 
 
-def attribute(record: Column, key: str) -> Column:
-    """A record's attribute: from attributes (an object, or pairs of key and typed value, the last of a key), else its body, else the record itself."""
+def _parts(record: Column) -> dict[str, Column]:
+    """What attribute() looks into: to be made once for a record, not once for each key."""
     pairs = F.try_variant_get(record, "$.attributes", "array<struct<key: string, value: variant>>")
-    own = F.try_element_at(F.filter(pairs, lambda p: p["key"] == key), F.lit(-1))["value"]
-    return F.coalesce(_member(F.try_variant_get(record, "$.attributes", "variant"), key), _typed(own), _member(F.try_variant_get(record, "$.body", "variant"), key), _member(record, key))
+    return {"attributes": F.try_variant_get(record, "$.attributes", "variant"), "pairs": pairs, "body": F.try_variant_get(record, "$.body", "variant"), "own": record}
+
+
+def attribute(record: Column | dict[str, Column], key: str) -> Column:
+    """A record's attribute: from attributes (an object, or pairs of key and typed value, the last of a key), else its body, else the record itself."""
+    x = record if isinstance(record, dict) else _parts(record)
+    own = F.when(x["pairs"].isNotNull(), _typed(F.try_element_at(F.filter(x["pairs"], lambda p: p["key"] == key), F.lit(-1))["value"]))
+    return F.coalesce(_member(x["attributes"], key), own, _member(x["body"], key), _member(x["own"], key))
 
 
-def _first(record: Column, keys: tuple[str, ...]) -> Column:
+def _first(record: Column | dict[str, Column], keys: tuple[str, ...]) -> Column:
     return F.coalesce(*[attribute(record, k) for k in keys])
 
 
 def steps_of(lines: DataFrame, text: str) -> DataFrame:
     """prompt, session, order_text, order_number, name, args, success, duration_ms, result_size_bytes of every line that records a step: a tool result by
     its event's name, or any record with a tool and its input. Values are as text, arguments as JSON text; lines that cannot be read are left out."""
-    each = lines.select(F.try_parse_json(text).alias("r")).where("r is not null")
+    each = fenced(lines.select(F.try_parse_json(text).alias("r"))).where("r is not null")
+    each = fenced(each.select(*[x.alias(name) for name, x in _parts(F.col("r")).items()]))
+    parts = {name: F.col(name) for name in each.columns}
     found = {"event": NAMES, "tool": TOOLS, "given": INPUTS, "prompt": PROMPTS, "session": SESSIONS, "place": SEQUENCE, "success": ("success",), "duration_ms": ("duration_ms",), "result_size_bytes": ("tool_result_size_bytes",)}
-    own = each.select(*[_first(F.col("r"), keys).alias(name) for name, keys in found.items()])
+    own = fenced(each.select(*[_first(parts, keys).alias(name) for name, keys in found.items()]))
     own = own.where(F.col("tool").isNotNull() & (F.col("event").cast("string").isin(*EVENTS) | F.col("given").isNotNull()))
     inner = F.when(F.schema_of_variant("given") == "STRING", F.try_parse_json(F.col("given").cast("string")))
     args = F.when(inner.isNull(), F.col("given").cast("string")).otherwise(inner.cast("string"))

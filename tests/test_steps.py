@@ -1,5 +1,6 @@
 """Steps that large tables go through: what they make, and that it is made once."""
 
+import hashlib
 import math
 import random
 import re
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 from leafspan.functions import kernels
 from leafspan.functions.leaves import document, number_leaf, text_leaf
 from leafspan.functions.tables import made_once
-from leafspan.operators import consistency, references, schemas, trees
-from leafspan.sources import converters, flatten
+from leafspan.operators import consistency, references, schemas, trees, verification
+from leafspan.sources import converters, flatten, traces
 
 
 def plan(df):
@@ -100,3 +101,10 @@ def test_pairs_of_rows_are_those_of_documents(spark):
         alike = lambda a, b: 1.0 if a == b else math.sqrt(0.5) if {a, b} == {"ab", "ac"} or {a, b} == {"ab", "b"} else 0.0
         mean = {i: round(sum(alike(texts[i], texts[j]) for j in texts if j != i) / (len(texts) - 1), 9) if len(texts) > 1 else 1.0 for i in texts}
         assert r.run_id == min(mean, key=lambda i: (-mean[i], i)) and math.isclose(r.similarity, mean[r.run_id], abs_tol=1e-8)
+
+
+def test_trace_records_are_taken_apart_once(spark):
+    lines = ['{"attributes": {"tool_name": "a", "tool_input": "{\\"q\\": 1}", "prompt.id": "p"}}', '{"attributes": [{"key": "tool_name", "value": {"stringValue": "b"}}, {"key": "tool_name", "value": {"stringValue": "c"}}], "body": {"tool_input": {}}}', '{"tool_name": "d", "attributes": null, "body": "x"}', "broken"]
+    steps = traces.steps_of(spark.createDataFrame(lines, "string"), "value")
+    assert plan(steps).count("$.attributes") == 2 and plan(steps).count("parseJson") + plan(steps).count("parse_json") <= 3
+    assert sorted((r.name, r.prompt, r.args) for r in steps.collect()) == [("a", "p", '{"q":1}'), ("c", None, "{}")]
