@@ -23,15 +23,32 @@ def effect_band(d: Column) -> Column:
     return out.otherwise("large")
 
 
+def _digits(share: float) -> str:
+    """The least 8 hexadecimal digits that, over 16^8, are not less than a share."""
+    return f"{math.ceil(share * (1 << 32)):08x}"
+
+
+def _times(u: Column) -> Column:
+    """How often a row is drawn by a uniform number in digits."""
+    times = F.when(u < _digits(POISSON[0]), 0)
+    for i, c in enumerate(POISSON[1:], 1):
+        times = times.when(u < _digits(c), i)
+    return times.otherwise(len(POISSON))
+
+
 def bootstrap_mean(df: DataFrame, value: str, key: str, *by: str, replicates: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
     """by, n, mean, low, high: a percentile interval of the mean. Each row is drawn a Poisson number of times in each replicate, by a digest of its key,
     so replicates are sums that combine before the shuffle and the same rows give the same interval on any cluster."""
-    r = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    each = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"), F.col(key).cast("string").alias("k"), r.alias("r"))
-    digest = F.md5(F.concat_ws(":", F.lit(seed), "k", "r"))
-    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
-    times = sum(((u >= c).cast("int") for c in POISSON), F.lit(0))
-    sums = each.select(*by, "r", "v", times.alias("w")).groupBy(*by, "r").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("w"), F.sum("v").alias("all"), F.count("*").alias("n"))
+    own = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"), F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), F.lit("")).alias("k"))
+    each = own.select(*by, "v", "k", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))).alias("b"))
+    # A digest holds the uniform numbers of four replicates, 8 digits each. These are in order of value as texts, so they are not made numbers.
+    drawn = each.select(*by, "b", "v", F.md5(F.concat("k", "b")).alias("d"))
+    drawn = drawn.select(*by, "b", "v", *[F.substring("d", 8 * j + 1, 8).alias(f"u{j}") for j in range(4)])
+    drawn = drawn.select(*by, "b", "v", *[_times(F.col(f"u{j}")).alias(f"w{j}") for j in range(4)])
+    own = [x for j in range(4) for x in (F.sum(F.col(f"w{j}") * F.col("v")).alias(f"s{j}"), F.sum(f"w{j}").alias(f"w{j}"))]
+    sums = drawn.groupBy(*by, "b").agg(*own, F.sum("v").alias("all"), F.count("*").alias("n"))
+    four = F.array(*[F.struct((4 * F.col("b") + j).alias("r"), F.col(f"s{j}").alias("s"), F.col(f"w{j}").alias("w")) for j in range(4)])
+    sums = sums.select(*by, "all", "n", F.inline(four)).where(F.col("r") < replicates)
     m = F.try_divide("s", "w")
     tail = (1 - level) / 2
     return sums.groupBy(*by).agg(F.max("n").alias("n"), F.max(F.col("all") / F.col("n")).alias("mean"), F.percentile(m, F.lit(tail)).alias("low"), F.percentile(m, F.lit(1 - tail)).alias("high"))

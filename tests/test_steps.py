@@ -108,3 +108,15 @@ def test_trace_records_are_taken_apart_once(spark):
     steps = traces.steps_of(spark.createDataFrame(lines, "string"), "value")
     assert plan(steps).count("$.attributes") == 2 and plan(steps).count("parseJson") + plan(steps).count("parse_json") <= 3
     assert sorted((r.name, r.prompt, r.args) for r in steps.collect()) == [("a", "p", '{"q":1}'), ("c", None, "{}")]
+
+
+def test_draws_are_read_from_one_digest(spark):
+    rows = [(f"r{i}", float(i)) for i in range(60)]
+    got = verification.bootstrap_mean(spark.createDataFrame(rows, "k string, v double"), "v", "k", replicates=38, level=0.0, seed=3)
+    assert plan(got).count("md5") == 1
+    means = []
+    for r in range(38):
+        w = [sum(int(hashlib.md5(f"3:{k}:{r // 4}".encode()).hexdigest()[r % 4 * 8 :][:8], 16) / (1 << 32) >= c for c in verification.POISSON) for k, _ in rows]
+        means.append(sum(n * v for n, (_, v) in zip(w, rows)) / sum(w))
+    means.sort()
+    assert math.isclose(got.first().low, (means[18] + means[19]) / 2) and math.isclose(got.first().mean, 29.5)
