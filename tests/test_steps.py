@@ -120,3 +120,9 @@ def test_draws_are_read_from_one_digest(spark):
         means.append(sum(n * v for n, (_, v) in zip(w, rows)) / sum(w))
     means.sort()
     assert math.isclose(got.first().low, (means[18] + means[19]) / 2) and math.isclose(got.first().mean, 29.5)
+
+
+def test_numbers_and_texts_are_compared_once_for_each_two(spark):
+    from leafspan.plans import queries
+
+    assert kernels.CODE not in plan(queries.QUERIES["numeric_string_equal"](spark, "/root/testdata/sf0.001"))  # the lines are joined to scores
