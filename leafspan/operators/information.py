@@ -77,13 +77,15 @@ def prefix_coverage(pairs: DataFrame, key: list[str], records: DataFrame, sigmas
 
     A set is known by the exclusive-or of its positions' hashes, and a record's class under it by that of its cells', so that a set's partition refines that
     of the prefix before it without its values being sent. Rows sent are distinct records times sets at most, counted before they are sent; likeness
-    that takes few values makes few sets. key names the columns that tell pairs apart.
+    that takes few values makes few sets. What two records agree on is added up once for each way of being alike, and joined to the pairs, which are written
+    once. key names the columns of pairs that are kept.
     """
     columns = [*sigmas]
     either = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
     marks = F.array(*[F.xxhash64(F.lit("position"), F.lit(i)) for i in range(len(columns))])
-    ordered = F.array_sort(F.array(*[F.struct((-s).alias("neg"), F.lit(i).alias("i")) for i, s in enumerate(sigmas.values())]))
-    own = pairs.select(*[F.col(f"`{k}`") for k in key], ordered.alias("__o"))
+    own = saved(pairs.select(*[F.col(f"`{k}`") for k in key], F.array(*sigmas.values()).alias("__likeness")), "likeness")
+    kinds = saved(own.select("__likeness").distinct().withColumn("__kind", F.monotonically_increasing_id()), "kinds")
+    ordered = F.array_sort(F.transform("__likeness", lambda s, i: F.struct((-s).alias("neg"), i.alias("i"))))
     ends = F.sequence(F.lit(1), F.lit(len(columns)))
 
     def prefix(n: Column) -> Column:
@@ -91,7 +93,7 @@ def prefix_coverage(pairs: DataFrame, key: list[str], records: DataFrame, sigmas
         width = -F.element_at("__o", n)["neg"] + F.coalesce(F.get("__o", n)["neg"], F.lit(0.0))
         return F.struct(width.alias("width"), either(F.transform(members, lambda i: F.get(marks, i))).alias("set"), members.alias("members"))
 
-    steps = own.withColumn("__p", F.explode(F.filter(F.transform(ends, prefix), lambda p: p["width"] > 0))).select(*own.columns[:-1], "__p.*")
+    steps = kinds.select("__kind", ordered.alias("__o")).select("__kind", F.explode(F.filter(F.transform(ends, prefix), lambda p: p["width"] > 0)).alias("p")).select("__kind", "p.*")
     spark = records.sparkSession
     whole = spark.range(1).select(either(marks).alias("set"), F.array(*map(F.lit, range(len(columns)))).alias("members"))
     sets = saved(steps.select("set", "members").unionByName(whole).dropDuplicates(["set"]), "prefixes")
@@ -102,8 +104,9 @@ def prefix_coverage(pairs: DataFrame, key: list[str], records: DataFrame, sigmas
     classes = each.select("s.set", either(F.transform("s.members", lambda i: F.get("cells", i))).alias("class"), "c")
     entropies = saved(_entropy_of(classes.groupBy("set", "class").agg(F.sum("c").alias("c")), "set").select("set", "entropy"), "prefix-entropies")
     total = entropies.join(F.broadcast(whole.select("set")), "set").select(F.col("entropy").alias("h_all"))  # one row
-    agreed = steps.join(entropies, "set").groupBy(*key).agg(F.sum(F.col("width") * F.col("entropy")).alias("h_agreed"))
-    out = own.drop("__o").join(agreed, key, "left").crossJoin(F.broadcast(total)).withColumn("h_agreed", F.coalesce("h_agreed", F.lit(0.0)))
+    agreed = steps.join(entropies, "set").groupBy("__kind").agg(F.sum(F.col("width") * F.col("entropy")).alias("h_agreed"))
+    known = saved(kinds.join(agreed, "__kind", "left").select("__likeness", F.coalesce("h_agreed", F.lit(0.0)).alias("h_agreed")), "agreed")
+    out = own.join(known, "__likeness").drop("__likeness").crossJoin(F.broadcast(total))
     return out.withColumn("coverage", F.when(F.col("h_all") <= 0, 1.0).otherwise(F.least(F.col("h_agreed") / F.col("h_all"), F.lit(1.0))))
 
 

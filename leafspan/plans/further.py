@@ -39,10 +39,9 @@ def sparse_tree_information(spark: SparkSession, sf: str) -> DataFrame:
 @query(ORACLES["line_coverage"])
 def prefix_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Coverage with entropies only of the sets that occur."""
-    pairs = saved(_line_pairs(spark, sf).withColumn("pair", F.monotonically_increasing_id()), "line-pairs")
-    c = information.prefix_coverage(pairs, ["pair"], _t(spark, sf, "lineitem"), {x: F.col(f"s{i + 1}") for i, x in enumerate(_COLS)})
-    out = pairs.select("pair", "l_orderkey", "l_linenumber", "l_partkey", "nxt").join(c.select("pair", "coverage"), "pair")
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "nxt", F.round("coverage", 6).alias("coverage"))
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "nxt"]
+    c = information.prefix_coverage(_line_pairs(spark, sf), key, _t(spark, sf, "lineitem"), {x: F.col(f"s{i + 1}") for i, x in enumerate(_COLS)})
+    return rounded(c.select(*key, "coverage"), "coverage")
 
 
 @query("select count(*) as n_texts, count(distinct p_type) as computed, 0::bigint as computed_again, round(avg(length(p_type)), 6) as mean_length, round(avg(length(p_type) - length(replace(p_type, 'E', ''))), 6) as mean_e from part")

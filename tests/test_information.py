@@ -32,6 +32,16 @@ def test_coverage_of_forty_positions(spark):
     assert got[99].coverage == 0.0 and got[100].coverage == 1.0
 
 
+def test_coverage_is_added_up_once_for_each_likeness(spark, monkeypatch):
+    sizes = {}
+    monkeypatch.setattr(information, "saved", lambda df, name, own=information.saved: sizes.setdefault(name, own(df, name)))
+    pairs = spark.range(500).selectExpr("id", "id % 7 as same", "if(id % 2 = 0, 1.0D, 0.0D) as s0", "if(id % 4 = 0, 1.0D, 0.0D) as s1")
+    rec = spark.createDataFrame([("x", "y"), ("x", "z"), ("w", "z")], "a string, b string")
+    got = information.prefix_coverage(pairs, ["same"], rec, {"a": F.col("s0"), "b": F.col("s1")})  # a key that many pairs share
+    assert sorted((round(r.coverage, 3) == 1, r["count"]) for r in got.groupBy("coverage").count().collect()) == [(False, 125), (False, 250), (True, 125)]
+    assert sizes["kinds"].count() == 3
+
+
 def cells(rng, n_runs, n_positions):
     out = []
     for run in range(n_runs):
