@@ -153,23 +153,37 @@ def tree_weights(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(tree, TREE)
 
 
+def run_kinds(cells: DataFrame, run: str, position: str, value: str) -> DataFrame:
+    """kind, cells (array of position p and digest v of its value), c: each distinct set of a run's cells and how many runs have it, written. A run's cells
+    meet in one row, as a document's leaves do; of cells repeated in a run the least value counts."""
+    v = F.col(f"`{value}`").cast("string")
+    each = cells.select(F.col(f"`{run}`").alias("run"), F.struct(F.col(f"`{position}`").alias("p"), v.isNull().alias("none"), v.alias("v")).alias("x"))
+    runs = each.groupBy("run").agg(F.sort_array(F.collect_list("x")).alias("all"))
+    first = F.filter("all", lambda x, i: (i == 0) | ~x["p"].eqNullSafe(F.get("all", i - 1)["p"]))
+    own = runs.select(F.transform(first, lambda x: F.struct(x["p"].alias("p"), F.xxhash64(x["v"]).alias("v"))).alias("cells"))
+    return saved(own.groupBy("cells").agg(F.count("*").alias("c")).withColumn("kind", F.monotonically_increasing_id()), "run-kinds")
+
+
 def sparse_pairs(cells: DataFrame, run: str, position: str, value: str) -> DataFrame:
     """a, b (a < b), h_a, h_b, joint, mutual of every pair of positions of documents given as cells (run, position, value), where a position that a run lacks
     has the value "absent". Runs without any cell are not known here.
 
-    Co-occurring values are counted by a join of each run's cells; what is absent on one side or both follows from the positions' own counts, so the rows
-    joined are the squares of runs' numbers of cells, never runs times pairs of positions. Cells repeated in a run count once, by their least value.
+    Runs with the same cells are counted first. Co-occurring values are counted by a join of the cells of each kind of run; what is absent on one side or both
+    follows from the positions' own counts, so the rows joined are the squares of numbers of cells, never runs times pairs of positions. Cells repeated in a
+    run count once, by their least value.
     """
-    own = cells.select(F.col(f"`{run}`").alias("run"), F.col(f"`{position}`").alias("p"), F.col(f"`{value}`").cast("string").alias("v")).groupBy("run", "p").agg(F.min("v").alias("v"))
-    own = saved(own.withColumn("v", F.xxhash64("v")), "cells")
-    n = own.select("run").distinct().count()
-    counts = own.groupBy("p", "v").agg(F.count("*").alias("c"))
-    single = saved(counts, "values")
+    return _kind_pairs(run_kinds(cells, run, position, value))
+
+
+def _kind_pairs(kinds: DataFrame) -> DataFrame:
+    own = kinds.select("kind", "c", F.inline("cells"))
+    n = kinds.agg(F.sum("c")).first()[0] or 0
+    single = saved(own.groupBy("p", "v").agg(F.sum("c").alias("c")), "values")
     there = single.groupBy("p").agg(F.sum("c").alias("n"))
     absent = there.where(F.col("n") < n).select("p", F.lit(None).cast("long").alias("v"), (F.lit(n) - F.col("n")).alias("c"))
     entropy = saved(_entropy_of(single.unionByName(absent), "p").select("p", "entropy"), "position-entropies").join(there, "p")
-    x, y = own.select("run", F.col("p").alias("a"), F.col("v").alias("va")), own.select("run", F.col("p").alias("b"), F.col("v").alias("vb"))
-    both = saved(x.join(y, "run").where("a < b").groupBy("a", "b", "va", "vb").agg(F.count("*").alias("c")), "co-occurring")
+    x, y = own.select("kind", "c", F.col("p").alias("a"), F.col("v").alias("va")), own.select("kind", F.col("p").alias("b"), F.col("v").alias("vb"))
+    both = saved(x.join(y, "kind").where("a < b").groupBy("a", "b", "va", "vb").agg(F.sum("c").alias("c")), "co-occurring")
     # The parts of sum(c), count and sum((c + 1/2) log(c + 1/2)) over a pair's cells: both there, one alone, neither.
     log = lambda c: (c + 0.5) * F.log(c + 0.5)
     parts = lambda df: df.groupBy("a", "b").agg(F.count("*").alias("k"), F.sum(log(F.col("c"))).alias("cl"), F.sum("c").alias("n"))
@@ -226,10 +240,11 @@ def spanning_tree(edges: DataFrame, weight: str = "mutual") -> DataFrame:
 def sparse_tree_weights(cells: DataFrame, run: str = "run", position: str = "position", value: str = "value") -> DataFrame:
     """position, parent, weight as of tree_weights(), over the sparse positions of documents: made by joins from counts to tree, whatever the number of
     positions. The tree hangs from the position of most entropy (ties to the least name); a position alone is its own root."""
-    pairs = saved(sparse_pairs(cells, run, position, value), "pairs")
-    names = cells.select(F.col(f"`{position}`").alias("position")).distinct()
+    kinds = run_kinds(cells, run, position, value)
+    pairs = saved(_kind_pairs(kinds), "pairs")
+    names = kinds.select(F.explode("cells").alias("x")).select(F.col("x.p").alias("position")).distinct()
     own = saved(pairs.select(F.col("a").alias("position"), F.col("h_a").alias("h")).union(pairs.select("b", "h_b")).distinct(), "own")
-    n = cells.select(F.col(f"`{run}`")).distinct().count()
+    n = kinds.agg(F.sum("c")).first()[0] or 0
     constant = _constant_entropy(n)
     if own.isEmpty():
         counts = cells.select(F.col(f"`{position}`").alias("position"), F.col(f"`{value}`").cast("string").alias("v")).groupBy("position", "v").agg(F.count("*").alias("c"))

@@ -80,6 +80,12 @@ def test_sparse_pairs_and_tree(spark):
         assert math.isclose(r.weight, want, abs_tol=1e-9)
 
 
+def test_runs_with_the_same_cells_are_counted_first(spark):
+    rows = [(i, p, v) for i in range(300) for p, v in (("a", str(i % 2)), ("b", "x"))] + [(0, "a", None), (1, "a", "0"), (300, "a", None), (301, "b", "x")]
+    kinds = information.run_kinds(spark.createDataFrame(rows, "run int, position string, value string"), "run", "position", "value").collect()
+    assert sorted((r.c, len(r.cells)) for r in kinds) == [(1, 1), (1, 1), (149, 2), (151, 2)]  # of run 1, "0" counts; of run 0, no null does
+
+
 def test_tree_of_one_position(spark):
     df = spark.createDataFrame([(1, "p", "x"), (2, "p", "y")], "run int, position string, value string")
     assert [(r.position, r.parent) for r in information.sparse_tree_weights(df).collect()] == [("p", None)]
